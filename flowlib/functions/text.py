@@ -43,9 +43,16 @@ SPLIT_LABELS = {
 }
 
 
+# All characters that count as white space.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(text: Column, words: tuple[str, ...] = NULL_WORDS) -> Column:
@@ -56,15 +63,13 @@ def blank_to_null(text: Column, words: tuple[str, ...] = NULL_WORDS) -> Column:
 
 def slugify(text: Column) -> Column:
     """Lower case, runs of other characters to ``_``, outer ``_`` removed, ``unknown`` when nothing is left."""
-    slug = F.regexp_replace(F.lower(strip(text)), "[^a-z0-9]+", "_")
-    slug = F.regexp_replace(slug, "^_+|_+$", "")
+    slug = F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
     return F.when(slug.isNull() | (slug == ""), F.lit("unknown")).otherwise(slug)
 
 
 def safe_tag(text: Column) -> Column:
     """Name usable in a path: letters, digits, ``-`` and ``_`` stay, each other character becomes ``_``."""
-    tag = F.regexp_replace(strip(text), r"[^\p{L}\p{N}_-]", "_")
-    tag = F.regexp_replace(tag, "^_+|_+$", "")
+    tag = F.btrim(F.regexp_replace(strip(text), r"[^\p{L}\p{N}_-]", "_"), F.lit("_"))
     return F.when(tag.isNull() | (tag == ""), F.lit("default")).otherwise(tag)
 
 

@@ -45,12 +45,16 @@ def binary_label(label_norm: Column) -> Column:
     return (label_norm != BENIGN).cast("int")
 
 
-def to_number(cell: Column) -> Column:
-    """Text to double; text that is no number is null. Java suffixes and hex digits (``1d``, ``0x1p3``) are not numbers."""
-    trimmed = strip(cell.cast("string"))
+def parse_number(trimmed: Column) -> Column:
+    """Trimmed text to double; Java suffixes and hex digits (``1d``, ``0x1p3``) are not numbers."""
     return F.when(~trimmed.rlike(r"(?i)[0-9.][df]$|x"), trimmed.try_cast("double"))
 
 
+def to_number(cell: Column) -> Column:
+    """Text to double; text that is no number is null."""
+    return parse_number(strip(cell.cast("string")))
+
+
 def finite_or_null(value: Column) -> Column:
     infinite = F.abs(value) == float("inf")
     return F.when(~(F.isnan(value) | infinite), value)

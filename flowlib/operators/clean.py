@@ -9,11 +9,12 @@ from flowlib.functions.text import blank_to_null, strip
 from flowlib.functions.values import (
     TIMESTAMP_FLOOR,
     binary_label,
+    finite_or_null,
     is_missing_label,
     is_valid_timestamp,
     normalize_label,
+    parse_number,
     parse_timestamp,
-    sanitize_number,
 )
 from flowlib.sources.flow_csv import META_COLUMNS, SOURCE_FILE, silver_columns
 
@@ -49,11 +50,19 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def sanitize_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Text to double in one projection; text that is no number, NaN and infinities become null."""
+    """Text to double; text that is no number, NaN and infinities become null.
+
+    Three plain projections, so that trimming and parsing happen once per cell.
+    """
     columns = feature_columns(df) if columns is None else columns
-    return df.select(
-        *[sanitize_number(F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns]
-    )
+    kinds = dict(df.dtypes)
+    texts = [c for c in columns if kinds[c] == "string"]
+
+    def step(frame: DataFrame, names: list[str], change) -> DataFrame:
+        return frame.withColumns({c: change(F.col(f"`{c}`")) for c in names}) if names else frame
+
+    parsed = step(step(df, texts, strip), texts, parse_number)
+    return step(step(parsed, [c for c in columns if c not in texts], lambda c: c.cast("double")), columns, finite_or_null)
 
 
 def checked_rows(raw: DataFrame, mapping: DataFrame, floor: str = TIMESTAMP_FLOOR) -> DataFrame:

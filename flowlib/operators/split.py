@@ -102,8 +102,7 @@ def split_metadata(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
         F.sum("rows").alias("_total"), F.unix_millis(F.min("min_ts")).alias("_min"), F.unix_millis(F.max("max_ts")).alias("_max")
     )
     ranges = totals.selectExpr(
-        "split", "inline(array(struct('rows' as item, '' as name, _total as count), "
-        "struct('min_epoch_ms', '', _min), struct('max_epoch_ms', '', _max)))"
+        "split", "stack(3, 'rows', '', _total, 'min_epoch_ms', '', _min, 'max_epoch_ms', '', _max) as (item, name, count)"
     )
     classes = cells.groupBy("split", F.lit("class").alias("item"), F.col("label_binary").cast("string").alias("name")).agg(F.sum("rows").alias("count"))
     families = cells.where("label_binary = 1").groupBy("split", F.lit("family").alias("item"), F.col("label").alias("name")).agg(F.sum("rows").alias("count"))

@@ -80,14 +80,16 @@ def silver_columns(names: list[str]) -> list[str]:
     return [*first, *sorted(c for c in names if c not in META_COLUMNS), SOURCE_FILE]
 
 
-def write_silver(df: DataFrame, path: str) -> None:
+def write_silver(df: DataFrame, path: str, compact: bool = False) -> None:
     """Silver parquet partitioned by day, so later day filters read only their days.
 
-    Rows keep the partitions they have; the writer sorts by day inside a task, and no shuffle puts a
-    whole hot day in one task.
+    By default rows keep the tasks they are in and each task writes one file per day it holds, without a
+    shuffle. ``compact`` rebalances rows by day first, which splits hot days and merges small ones; it is
+    worth its shuffle when the tasks hold little data each.
     """
-    ordered = df.select(*[F.col(f"`{c}`") for c in silver_columns(df.columns)])
-    ordered.withColumn("day", F.to_date("timestamp")).write.mode("overwrite").partitionBy("day").parquet(path)
+    ordered = df.select(*[F.col(f"`{c}`") for c in silver_columns(df.columns)]).withColumn("day", F.to_date("timestamp"))
+    out = ordered.hint("rebalance", "day") if compact else ordered
+    out.write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def read_silver(spark: SparkSession, path: str) -> DataFrame:
