@@ -64,19 +64,19 @@ def blank_to_null(text: Column, words: tuple[str, ...] = NULL_WORDS) -> Column:
 def slugify(text: Column) -> Column:
     """Lower case, runs of other characters to ``_``, outer ``_`` removed, ``unknown`` when nothing is left."""
     slug = F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
-    return F.when(slug.isNull() | (slug == ""), F.lit("unknown")).otherwise(slug)
+    return F.coalesce(F.nullif(slug, F.lit("")), F.lit("unknown"))
 
 
 def safe_tag(text: Column) -> Column:
     """Name usable in a path: letters, digits, ``-`` and ``_`` stay, each other character becomes ``_``."""
     tag = F.btrim(F.regexp_replace(strip(text), r"[^\p{L}\p{N}_-]", "_"), F.lit("_"))
-    return F.when(tag.isNull() | (tag == ""), F.lit("default")).otherwise(tag)
+    return F.coalesce(F.nullif(tag, F.lit("")), F.lit("default"))
 
 
 def safe_file_tag(text: Column) -> Column:
     """As :func:`safe_tag`, but dots stay, outer ``_`` stay and the fallback is ``unknown_run``."""
     tag = F.regexp_replace(strip(text), r"[^\p{L}\p{N}._-]", "_")
-    return F.when(tag.isNull() | (tag == ""), F.lit("unknown_run")).otherwise(tag)
+    return F.coalesce(F.nullif(tag, F.lit("")), F.lit("unknown_run"))
 
 
 def short_run_label(run_tag: Column) -> Column:

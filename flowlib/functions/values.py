@@ -130,8 +130,9 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator.cast("double") / denominator).otherwise(F.lit(0.0))
 
 
-def epoch_seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(1e6)
+def span_seconds(first: Column, last: Column) -> Column:
+    """Seconds between two instants; micros are subtracted as integers, so nothing is lost."""
+    return (F.unix_micros(last) - F.unix_micros(first)) / F.lit(1e6)
 
 
 def content_bucket(key: Column, buckets: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlib.functions.values import epoch_seconds, key_text
+from flowlib.functions.values import key_text, span_seconds
 from flowlib.operators.ordered import join_same, with_previous, with_row_number
 from flowlib.operators.percentiles import GATHER_LIMIT, exact_percentiles
 
@@ -196,7 +196,7 @@ def emit_gap_stats(
             "_late": F.greatest((F.unix_micros(emitted) - F.unix_micros(due)) / 1000.0, F.lit(0.0)),
         }
     )
-    elapsed = F.greatest(epoch_seconds(F.max(emitted)) - epoch_seconds(F.min(due)), F.lit(0.0))
+    elapsed = F.greatest(span_seconds(F.min(due), F.max(emitted)), F.lit(0.0))
     sums = steps.groupBy(*keys).agg(
         F.count("*").alias("sent_rows"),
         elapsed.alias("actual_elapsed_sec"),

@@ -23,9 +23,9 @@ UNMAPPED = "_unmapped"
 
 
 def join_label_mapping(df: DataFrame, mapping: DataFrame, label: str = "label") -> DataFrame:
-    """Add ``mapped`` from the label table by exact match of the trimmed label. The table is a short fixed list."""
+    """Add ``mapped`` from the label table by exact match of the trimmed label."""
     names = mapping.select(F.col("raw_label").alias("_raw"), F.col("normalized_label").alias("mapped"))
-    return df.join(F.broadcast(names), blank_to_null(F.col(label)) == F.col("_raw"), "left").drop("_raw")
+    return df.join(names, blank_to_null(F.col(label)) == F.col("_raw"), "left").drop("_raw")
 
 
 def normalize_labels(df: DataFrame, mapping: DataFrame, label: str = "label") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlib.functions.text import short_run_label
-from flowlib.functions.values import DEFAULT_PHASE, epoch_seconds, in_phase, metric_phase, numeric_or_null
+from flowlib.functions.values import DEFAULT_PHASE, in_phase, metric_phase, numeric_or_null, span_seconds
 from flowlib.operators.ordered import join_same, with_row_number
 from flowlib.operators.percentiles import GATHER_LIMIT, exact_percentiles
 
@@ -23,7 +23,7 @@ def latency_summary(
     """
     inside = in_phase(preds, phase)
     emit = F.when(inside, F.col("emit_time"))
-    span = epoch_seconds(F.max(emit)) - epoch_seconds(F.min(emit))
+    span = span_seconds(F.min(emit), F.max(emit))
     counts = preds.groupBy("run_tag").agg(F.count_if(inside).alias("_rows"), span.alias("_span"))
     if runs is not None:
         counts = runs.select("run_tag").distinct().join(counts, "run_tag", "left")
@@ -128,7 +128,7 @@ def fault_phase_summary(preds: DataFrame, runs: DataFrame, gather_limit: int = G
     members = runs.select("run_tag", fault_phase(F.col("fault_kind")).alias("_phase"))
     rows = join_same(preds, members, ["run_tag"], "inner").where(metric_phase(F.col("benchmark_phase")) == F.col("_phase"))
     rows = rows.select("run_tag", "emit_time", numeric_or_null(preds, "end_to_end_ms").alias("_ms"))
-    span = epoch_seconds(F.max("emit_time")) - epoch_seconds(F.min("emit_time"))
+    span = span_seconds(F.min("emit_time"), F.max("emit_time"))
     rates = rows.groupBy("run_tag").agg(F.count("_ms").alias("_n"), span.alias("_span")).where("_n > 0")
     rates = rates.select("run_tag", F.when(F.col("_span") > 0, F.col("_n") / F.col("_span")).alias("phase_output_rps"))
     ranks = exact_percentiles(rows.where("_ms is not null"), ["run_tag"], {"phase_e2e_p95_ms": ("_ms", 0.95)}, gather_limit=gather_limit)

@@ -27,9 +27,9 @@ def pool_split(key: Column) -> Column:
 
 
 def with_day_role(df: DataFrame, roles: DataFrame, timestamp: str = "timestamp") -> DataFrame:
-    """Add ``role`` of the row's calendar day (null for an unknown day). One small row per configured day."""
+    """Add ``role`` of the row's calendar day (null for an unknown day)."""
     days = roles.select(F.col("day").alias("_day"), "role")
-    return df.join(F.broadcast(days), F.to_date(timestamp) == F.col("_day"), "left").drop("_day")
+    return df.join(days, F.to_date(timestamp) == F.col("_day"), "left").drop("_day")
 
 
 def assign_splits(df: DataFrame, roles: DataFrame, key: Column, timestamp: str = "timestamp") -> DataFrame:
@@ -62,7 +62,7 @@ def day_profile(df: DataFrame, roles: DataFrame, timestamp: str = "timestamp", l
         F.count("*").alias("rows"), F.sum(F.col(label).cast("long")).alias("attack_rows")
     )
     pct = F.round(F.col("attack_rows") * 100.0 / F.col("rows"), 4)
-    return days.withColumn("attack_pct", pct).join(F.broadcast(roles), "day", "left")
+    return days.withColumn("attack_pct", pct).join(roles, "day", "left")
 
 
 def _cells(df: DataFrame, timestamp: str) -> DataFrame:

@@ -114,7 +114,7 @@ def join_lookup(spark, sf):
 SELECT m.raw_label, m.normalized_label, count(*) AS rows FROM checked JOIN label_map m ON label_text = m.raw_label GROUP BY 1, 2""")
 def load_label_mapping(spark, sf):
     names = label_mapping(spark)
-    rows = views.dirty(spark, sf).join(F.broadcast(names), text.strip(F.col("label")) == F.col("raw_label"))
+    rows = views.dirty(spark, sf).join(names, text.strip(F.col("label")) == F.col("raw_label"))
     return rows.groupBy("raw_label", "normalized_label").agg(F.count("*").alias("rows"))
 
 

@@ -43,7 +43,7 @@ def label_coverage(spark, sf):
 SELECT event_id, kafka_partition, kafka_offset FROM flows WHERE event_id % 19 <> 0 AND (kafka_partition, kafka_offset) IN (SELECT (kafka_partition, kafka_offset) FROM preds WHERE run_tag = 'run2')""")
 def semi_join_required_keys(spark, sf):
     inputs = _inputs(spark, sf)
-    sent = inputs.where("event_id % 5 = 2").select("kafka_partition", "kafka_offset")
+    sent = views.preds(spark, sf, offsets=True).where("run_tag = 'run2'")
     return labels.semi_join_required_keys(inputs, sent).select("event_id", "kafka_partition", "kafka_offset")
 
 

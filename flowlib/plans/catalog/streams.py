@@ -26,7 +26,7 @@ def _records(spark, sf):
 
 _RECORDS = "(SELECT *, NULL::VARCHAR AS \"timestamp\" FROM timed) AS t"
 _CONFIG = scoring.ScoringConfig(
-    features=tuple(FEATURES), model_name="ratio", feature_set="full", run_tag="live", score="least(value / 200.0D, 1.0D)", threshold=0.3, stream_started_epoch_ms=STARTED_MS
+    features=tuple(FEATURES), model_name="ratio", feature_set="full", run_tag="live", score="if(value > 200.0D, 1.0D, value / 200.0D)", threshold=0.3, stream_started_epoch_ms=STARTED_MS
 )
 
 
@@ -111,8 +111,7 @@ def rate_limited_source(spark, sf):
 
 
 _PREDICTIONS = f"""SELECT flow_id, 'ratio' AS model_name, 'full' AS feature_set, 'live' AS run_tag, benchmark_phase,
-  CASE WHEN least(value / 200.0::DOUBLE, CASE WHEN value IS NOT NULL THEN 1.0::DOUBLE END) >= 0.3::DOUBLE THEN 1 WHEN value IS NULL THEN 1 ELSE 0 END AS prediction_label,
-  CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE least(value / 200.0::DOUBLE, 1.0::DOUBLE) END AS prediction_score, 0.3::DOUBLE AS threshold_used, kafka_partition, kafka_offset,
+  CASE WHEN value >= 60 THEN 1 ELSE 0 END AS prediction_label, CASE WHEN value > 200 THEN 1.0::DOUBLE ELSE value / 200.0::DOUBLE END AS prediction_score, 0.3::DOUBLE AS threshold_used, kafka_partition, kafka_offset,
   event_time_ts, ingest_time, make_timestamp(epoch_us(kafka_timestamp) + 250000) AS emit_time, source_to_ingest_ms, {_PROC}, event_lateness_ms, (event_lateness_ms > 0)::INT AS is_late_event
 FROM timed WHERE NOT is_control"""
 
@@ -182,8 +181,8 @@ def end_of_input_marker(spark, sf):
 
 
 @query("input_sentinel", sql="""
-SELECT run_tag||'__input_sentinel' AS flow_id, run_tag AS replay_run_tag, 'control' AS benchmark_phase, at AS event_time, at AS source_ingest_ts, ms AS source_ingest_epoch_ms, 1 AS is_control_record, 'input_sentinel' AS control_type
-FROM (SELECT 'run'||(event_id % 5) AS run_tag, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f')||'Z' AS at, epoch_us(max(ts)) // 1000 AS ms FROM events GROUP BY 1)""")
+SELECT run_tag||'__input_sentinel' AS flow_id, run_tag AS replay_run_tag, 'control' AS benchmark_phase, t AS event_time, t AS source_ingest_ts, ms AS source_ingest_epoch_ms, 1 AS is_control_record, 'input_sentinel' AS control_type
+FROM (SELECT 'run'||(event_id % 5) AS run_tag, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f')||'Z' AS t, epoch_us(max(ts)) // 1000 AS ms FROM events GROUP BY 1)""")
 def input_sentinel(spark, sf):
     from flowlib.operators.arrivals import input_sentinel as sentinel
 

@@ -49,7 +49,8 @@ class ExperimentResult:
 
 
 def _scored_path(config: ExperimentConfig) -> str:
-    return f"{config.root}/scored"
+    """A folder per run: result tables are lazy and must not see a later run's files."""
+    return f"{config.root}/scored/run={config.run_version}"
 
 
 def run_experiment(

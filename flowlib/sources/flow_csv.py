@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+import re
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +15,12 @@ from flowlib.functions.text import CSV_NULL_CELLS
 
 META_COLUMNS = ("timestamp", "label", "label_norm", "label_binary", "source_file")
 SOURCE_FILE = "source_file"
+HEADER_READERS = 8
 
 
 def source_name():
     """Name of the capture a row came from: the first path part ending in ``.csv`` (a file, or a folder of parts)."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+\.csv)(?:/|$)", 1)
+    return F.url_decode(F.regexp_extract(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")), r"/([^/]+\.csv)(?:/|$)", 1))
 
 
 def normalize_header(names: list[str]) -> list[str]:
@@ -30,15 +34,20 @@ def normalize_header(names: list[str]) -> list[str]:
     return stripped
 
 
+def _plain(uri: str) -> str:
+    """File name as a reader takes it: unescaped, with one slash after the scheme of local files."""
+    return re.sub(r"^file:/+", "file:/", unquote(uri))
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> list[str]:
     reader = spark.read.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return sorted(reader.load(path).inputFiles())
+    return sorted(_plain(f) for f in reader.load(path).inputFiles())
 
 
 def non_utf8_files(spark: SparkSession, files: list[str]) -> set[str]:
     """Files holding bytes that are no valid UTF-8 (one pass; the result is at most the file list)."""
-    text = spark.read.text(files).where(F.col("value").contains("�"))
-    return {r[0] for r in text.select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    text = spark.read.text(files).where(~F.is_valid_utf8("value"))
+    return {_plain(r[0]) for r in text.select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
 
 
 def union_schemas(frames: list[DataFrame]) -> DataFrame:
@@ -46,31 +55,57 @@ def union_schemas(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _capture(file: str) -> str:
+    """Capture a file belongs to: itself, or the ``.csv`` folder whose part it is."""
+    parts = file.split("/")
+    for i, part in enumerate(parts):
+        if part.endswith(".csv"):
+            return "/".join(parts[: i + 1])
+    return file
+
+
 def scan_flow_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """All CSV files under ``path`` as text columns with ``timestamp``, ``label`` and ``source_file``.
 
-    Only header lines are read while planning. Files sharing a header and an encoding form one scan, so
-    the plan grows with the number of layouts, not of files. Without ``encoding``, files that are no valid
-    UTF-8 are read as Latin-1, which takes one extra pass over the text.
+    One header line per capture is read while planning. Captures sharing a header and an encoding form one
+    scan, so the plan grows with the number of layouts, not of files; a part whose header differs from its
+    capture's fails the scan. Without ``encoding``, captures that are no valid UTF-8 are read as Latin-1,
+    which takes one extra pass over the text.
     """
     files = list_files(spark, path)
     if not files:
         raise FileNotFoundError(f"no CSV files under {path}")
-    latin = set() if encoding else non_utf8_files(spark, files)
-    groups: dict[tuple, list[str]] = {}
+    latin = set() if encoding else {_capture(f) for f in non_utf8_files(spark, files)}
+    captures: dict[str, list[str]] = {}
     for file in files:
-        charset = encoding or ("ISO-8859-1" if file in latin else "UTF-8")
-        header = tuple(spark.read.option("header", "true").option("encoding", charset).csv(file).columns)
-        groups.setdefault((header, charset), []).append(file)
+        captures.setdefault(_capture(file), []).append(file)
+
+    def layout(capture: str) -> tuple:
+        charset = encoding or ("ISO-8859-1" if capture in latin else "UTF-8")
+        # Spark may write an empty first part without a header.
+        for file in captures[capture]:
+            header = tuple(spark.read.option("header", "true").option("encoding", charset).csv(file).columns)
+            if header:
+                return header, charset
+        return (), charset
+
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        layouts = dict(zip(captures, pool.map(layout, captures)))
+    groups: dict[tuple, list[str]] = {}
+    for capture, members in captures.items():
+        groups.setdefault(layouts[capture], []).extend(members)
     frames = []
     for (header, charset), members in groups.items():
         if not header:
             continue
-        names = normalize_header(list(header))
-        schema = StructType([StructField(n, StringType()) for n in names])
-        raw = spark.read.schema(schema).option("header", "true").option("encoding", charset).csv(members)
-        cells = [F.when(~F.col(f"`{n}`").isin(*CSV_NULL_CELLS), F.col(f"`{n}`")).alias(n) for n in names]
-        frames.append(raw.select(*cells, source_name().alias(SOURCE_FILE)))
+        schema = StructType([StructField(n, StringType()) for n in header])
+        reader = spark.read.schema(schema).option("header", "true").option("enforceSchema", "false")
+        raw = reader.option("encoding", charset).csv(members).select("*", source_name().alias("_file"))
+        cells = [
+            F.when(~F.col(f"`{h}`").isin(*CSV_NULL_CELLS), F.col(f"`{h}`")).alias(n)
+            for h, n in zip(header, normalize_header(list(header)))
+        ]
+        frames.append(raw.select(*cells, F.col("_file").alias(SOURCE_FILE)))
     return union_schemas(frames)
 
 

@@ -81,10 +81,16 @@ def feature_list(names) -> list[str]:
     return out
 
 
+def small_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Rows of a driver-side lookup as an inline table. Its size is known to the planner, which broadcasts it by itself."""
+    cells = {f"c{i}_{j}": cell for i, row in enumerate(rows) for j, cell in enumerate(row)}
+    marks = ", ".join("(" + ", ".join(f":c{i}_{j}" for j in range(len(names))) + ")" for i in range(len(rows)))
+    return spark.sql(f"SELECT * FROM VALUES {marks} AS t({', '.join(names)})", args=cells)
+
+
 def label_mapping(spark: SparkSession, pairs: dict[str, str] = LABEL_MAPPING) -> DataFrame:
-    return spark.createDataFrame(list(clean_mapping(pairs).items()), "raw_label string, normalized_label string")
+    return small_table(spark, list(clean_mapping(pairs).items()), ["raw_label", "normalized_label"])
 
 
 def day_roles(spark: SparkSession, roles: dict[str, str] = DAY_ROLES) -> DataFrame:
-    rows = spark.createDataFrame(list(roles.items()), "day string, role string")
-    return rows.selectExpr("cast(day as date) as day", "role")
+    return small_table(spark, list(roles.items()), ["day", "role"]).selectExpr("cast(day as date) as day", "role")
