@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from flowlib.functions.values import key_text, span_seconds
 from flowlib.operators.ordered import join_same, with_previous, with_row_number
 from flowlib.operators.percentiles import GATHER_LIMIT, exact_percentiles
+from flowlib.scratch import stored
 
-# A rate plan is a short list of (rows per second, seconds) steps.
+# A rate plan is a short list of (rows per second, seconds) steps; a constant rate is one step of 0 seconds.
 RatePlan = list[tuple[float, float]]
 
 
@@ -102,6 +103,12 @@ def rows_for_elapsed(seconds: Column, plan: RatePlan) -> Column:
     return chain.otherwise(F.lit(sent) + (seconds - F.lit(waited)) * F.lit(last))
 
 
+def rate_for_rows(rows: Column, plan: RatePlan) -> Column:
+    """Mean rate at which the plan sends ``rows`` rows; null for a plan that takes no time."""
+    elapsed = elapsed_for_rows(rows, plan)
+    return F.when(elapsed > 0, rows / elapsed)
+
+
 def arrival_schedule(df: DataFrame, plan: RatePlan, start: Column, row_index: str = "row_index") -> DataFrame:
     """Add ``elapsed_sec`` and ``scheduled_ts`` at which each row (0-based index) is due."""
     elapsed = elapsed_for_rows(F.col(row_index) + 1, plan)
@@ -189,13 +196,17 @@ def emit_gap_stats(
     emits: DataFrame, keys: list[str], emitted: str = "emit_ts", due: str = "due_ts", unique: str = "row_index", gather_limit: int = GATHER_LIMIT
 ) -> DataFrame:
     """Gaps between consecutive emits and delay against schedule per run, by nearest rank, and the actual rate."""
-    steps = with_previous(emits, keys, [emitted, unique], {"_prev": emitted})
-    steps = steps.withColumns(
-        {
-            "_gap": (F.unix_micros(emitted) - F.unix_micros("_prev")) / 1000.0,
-            "_late": F.greatest((F.unix_micros(emitted) - F.unix_micros(due)) / 1000.0, F.lit(0.0)),
-        }
+    narrow = emits.select(*keys, emitted, due, unique)
+    steps = with_previous(narrow, keys, [emitted, unique], {"_prev": emitted}).select(
+        *keys,
+        emitted,
+        due,
+        ((F.unix_micros(emitted) - F.unix_micros("_prev")) / 1000.0).alias("_gap"),
+        F.greatest((F.unix_micros(emitted) - F.unix_micros(due)) / 1000.0, F.lit(0.0)).alias("_late"),
     )
+    # Counts and percentiles pass over the steps several times; the ordered window runs once.
+    steps = stored(steps, "emit-steps")
+    # Elapsed time runs from the first due time to the last emit.
     elapsed = F.greatest(span_seconds(F.min(due), F.max(emitted)), F.lit(0.0))
     sums = steps.groupBy(*keys).agg(
         F.count("*").alias("sent_rows"),

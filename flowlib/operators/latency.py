@@ -9,6 +9,7 @@ from flowlib.functions.text import short_run_label
 from flowlib.functions.values import DEFAULT_PHASE, in_phase, metric_phase, numeric_or_null, span_seconds
 from flowlib.operators.ordered import join_same, with_row_number
 from flowlib.operators.percentiles import GATHER_LIMIT, exact_percentiles
+from flowlib.scratch import small_side
 
 LATENCIES = {"source": "source_to_ingest_ms", "processing": "processing_ms", "e2e": "end_to_end_ms"}
 
@@ -53,7 +54,7 @@ def latency_timeseries(preds: DataFrame, gather_limit: int = GATHER_LIMIT) -> Da
     """Rows, rate and percentiles per run, phase (as written) and whole second since the run's first emit."""
     emitted = preds.where("emit_time is not null")
     starts = emitted.groupBy("run_tag").agg(F.min("emit_time").alias("_start"))
-    placed = join_same(emitted, starts, ["run_tag"], "inner")
+    placed = join_same(emitted, small_side(starts), ["run_tag"], "inner")
     second = F.floor((F.unix_micros("emit_time") - F.unix_micros("_start")) / 1e6)
     rows = placed.select(
         "run_tag",
@@ -91,7 +92,7 @@ def latency_distribution(
 ) -> DataFrame:
     """End-to-end latency pooled over the repeats of each group of runs: rows, mean, range and q90/q95/q99."""
     wanted_phase = fault_phase(F.col("fault_kind")) if phase_by_fault_kind else F.lit(phase)
-    members = runs.dropna(subset=group).select("run_tag", *group, wanted_phase.alias("_phase"))
+    members = small_side(runs.dropna(subset=group).select("run_tag", *group, wanted_phase.alias("_phase")))
     rows = join_same(preds.select("run_tag", "benchmark_phase", numeric_or_null(preds, "end_to_end_ms").alias("_ms")), members, ["run_tag"], "inner")
     rows = rows.where("_ms is not null")
     if phase_by_fault_kind or phase is not None:
@@ -125,7 +126,7 @@ def first_emit_delay(preds: DataFrame, starts: DataFrame, phase: str) -> DataFra
 
 def fault_phase_summary(preds: DataFrame, runs: DataFrame, gather_limit: int = GATHER_LIMIT) -> DataFrame:
     """Per run, p95 and rate of the phase that counts for its fault kind; only rows with a latency are counted."""
-    members = runs.select("run_tag", fault_phase(F.col("fault_kind")).alias("_phase"))
+    members = small_side(runs.select("run_tag", fault_phase(F.col("fault_kind")).alias("_phase")))
     rows = join_same(preds, members, ["run_tag"], "inner").where(metric_phase(F.col("benchmark_phase")) == F.col("_phase"))
     rows = rows.select("run_tag", "emit_time", numeric_or_null(preds, "end_to_end_ms").alias("_ms"))
     span = span_seconds(F.min("emit_time"), F.max("emit_time"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlib.scratch import stored
+from flowlib.scratch import small_side, stored
 
 CHUNK = "_chunk"
 POSITION = "_position"
@@ -61,7 +61,8 @@ def with_row_number(
         (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_start"),
         *([F.sum("_n").over(per_key).alias(total)] if total else []),
     )
-    numbered = join_same(rows, starts, [*keys, CHUNK], "inner")
+    # With the few chunk rows broadcast, the numbered rows are not shuffled again.
+    numbered = join_same(rows, small_side(starts), [*keys, CHUNK], "inner")
     return numbered.withColumn(name, F.col(POSITION) + F.col("_start")).drop("_start", CHUNK, POSITION)
 
 

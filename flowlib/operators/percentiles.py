@@ -62,8 +62,11 @@ def _gathered(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
     columns = sorted({column for column, _ in wanted.values()})
     values = df.select(*keys, *[F.expr(f"cast(nanvl(cast(`{c}` as double), null) as double) as _v{i}") for i, c in enumerate(columns)])
     if method == "linear":
-        out = [F.expr(f"percentile(_v{columns.index(c)}, {q!r}D) as `{name}`") for name, (c, q) in wanted.items()]
-        return values.groupBy(*keys).agg(*out)
+        # One buffer per column serves all its percentiles.
+        shares = {c: sorted({q for column, q in wanted.values() if column == c}) for c in columns}
+        arrays = [F.expr(f"percentile(_v{i}, array({', '.join(f'{q!r}D' for q in shares[c])})) as _p{i}") for i, c in enumerate(columns)]
+        picks = [F.expr(f"_p{columns.index(c)}[{shares[c].index(q)}] as `{name}`") for name, (c, q) in wanted.items()]
+        return values.groupBy(*keys).agg(*arrays).select(*keys, *picks)
     lists = values.groupBy(*keys).agg(*[F.expr(f"array_sort(collect_list(_v{i})) as _l{i}") for i in range(len(columns))])
     picks = []
     for name, (c, q) in wanted.items():

@@ -14,6 +14,7 @@ from flowlib.functions.values import apply_threshold, next_above
 from flowlib.operators.ordered import join_same
 from flowlib.operators.percentiles import magnitude_bucket_sql
 from flowlib.operators.quality import rates_or_zero
+from flowlib.scratch import small_side, stored
 
 # Budgets reported for every model, and the one that picks its threshold.
 FPR_BUDGETS = (0.01, 0.03, 0.05, 0.10)
@@ -111,10 +112,10 @@ def operating_points(
 ) -> DataFrame:
     """Threshold, confusion counts, rates and AUC at every budget and at 0.5, one row per group and point.
 
-    All points are counted in one pass over the distinct scores.
+    The distinct scores are stored once; thresholds, and then all points together, are passes over them.
     """
-    scores = score_table(df, keys, label, score)
-    found = thresholds_for_budgets(scores, keys, budgets).withColumn("default_0.5", F.lit(DEFAULT_THRESHOLD))
+    scores = stored(score_table(df, keys, label, score), "scores")
+    found = small_side(thresholds_for_budgets(scores, keys, budgets)).withColumn("default_0.5", F.lit(DEFAULT_THRESHOLD))
     names = [*[budget_name(b) for b in budgets], "default_0.5"]
     joined = join_same(scores.select(*keys, "score", "pos", "neg"), found, keys, "inner")
     sums = [F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), F.max("roc_auc").alias("roc_auc")]

@@ -19,6 +19,7 @@ from flowlib.operators.threshold import (
     roc_auc,
     select_best_model,
 )
+from flowlib.scratch import small_side, stored
 from flowlib.sources.tables import modeling_frame, save_scored_split
 
 
@@ -79,18 +80,20 @@ def run_experiment(
     names = [s.name for s in config.models]
     scored = spark.read.parquet(_scored_path(config)).where(F.col("model").isin(names) & F.col("split").isin(list(splits)))
 
-    out.points = operating_points(scored.where("split = 'calibration'"), ["model"], config.budgets, config.label)
+    # Every later table starts from these small stored ones, so scored rows are read once per metric.
+    out.points = stored(operating_points(scored.where("split = 'calibration'"), ["model"], config.budgets, config.label), "points")
     primary = out.points.where(F.col("point") == budget_name(config.primary_budget))
-    thresholds = primary.select("model", "threshold")
+    thresholds = small_side(primary.select("model", "threshold"))
     predicted = predict_at(scored, thresholds, ["model"])
     quality = confusion_metrics(predicted, ["model", "split"], config.label)
     aucs = roc_auc(scored, ["model", "split"], config.label).withColumn("roc_auc", F.round("roc_auc", 6))
     timing = spark.createDataFrame([(f.spec.name, round(f.train_time_s, 2), f.path) for f in out.fitted], "model string, train_time_s double, model_path string")
-    summary = (
+    summary = stored(
         quality.join(aucs, ["model", "split"])
         .join(F.broadcast(timing), "model")
         .join(thresholds.withColumnRenamed("threshold", "opt_threshold"), "model")
-        .withColumns({"fpr_budget": F.lit(config.primary_budget), "version": F.lit(config.run_version)})
+        .withColumns({"fpr_budget": F.lit(config.primary_budget), "version": F.lit(config.run_version)}),
+        "experiment-summary",
     )
     default = out.points.where("point = 'default_0.5'").select(
         "model", *[F.col(c).alias(f"default_{c}") for c in ("recall", "precision", "f1", "fpr")]

@@ -24,6 +24,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_side(df: DataFrame, name: str = "small") -> DataFrame:
+    """A table meant for the small side of a join, stored so that the planner knows its size.
+
+    An aggregate has no known size before it runs, so a join with it would shuffle the large side first.
+    Read back from files, it is broadcast if it is under ``spark.sql.autoBroadcastJoinThreshold`` and
+    shuffled otherwise.
+    """
+    return stored(df, name)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet and read it back: later plans see one fixed table, even after lost executors."""
     path = new_path(df.sparkSession, name)
