@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlib.functions.text import format_fixed, format_mean_std, mode_label
-from flowlib.functions.values import first_numeric, numeric_or_null
+from flowlib.functions.values import first_numeric, metric_phase, numeric_or_null
 from flowlib.operators.lag import backlog_summary
-from flowlib.operators.latency import fault_phase_summary, latency_distribution, latency_summary
+from flowlib.operators.latency import fault_phase_summary, first_emit_delay, latency_distribution, latency_summary
 from flowlib.operators.ordered import join_same
 from flowlib.operators.quality import prediction_quality
-from flowlib.operators.rules import classify_overload, evaluate_slo, with_overload_ratios
+from flowlib.operators.rules import classify_overload, evaluate_slo, recovery_status, with_overload_ratios
 
 QUALITY_FIELDS = ("quality_status", "precision", "recall", "f1", "fpr", "fnr")
 DISTRIBUTION_FIELDS = ("avg", "min", "max", "q90", "q95", "q99")
@@ -90,6 +90,86 @@ def run_summary(
     return judged.withColumns({"degradation_status": verdict, "status": status})
 
 
+def model_feature_run_summary(preds: DataFrame, samples: DataFrame, runs: DataFrame, phase: str = "measure") -> DataFrame:
+    """One row per run of a model and feature set: latency, quality and backlog under the names its report reads."""
+    names = {
+        "rows_total": "rows",
+        "artifact_source_p95_ms": "source_p95_ms",
+        "artifact_source_p99_ms": "source_p99_ms",
+        "artifact_processing_p95_ms": "proc_p95_ms",
+        "artifact_processing_p99_ms": "proc_p99_ms",
+        "artifact_e2e_p95_ms": "e2e_p95_ms",
+        "artifact_e2e_p99_ms": "e2e_p99_ms",
+    }
+    kept = ["run_tag", "latency_status", "artifact_rows_total", "drain_rps", *names]
+    latency = latency_summary(preds, phase, runs).select(*kept).withColumnsRenamed(names)
+    quality = prediction_quality(preds, phase, runs).select(
+        "run_tag", *QUALITY_FIELDS, "scored_rows_total",
+        F.col("avg_prediction_score_weighted").alias("avg_prediction_score"), F.col("attack_ratio_weighted").alias("attack_ratio"),
+    )
+    wide = join_same(join_same(runs, latency, ["run_tag"], "left"), quality, ["run_tag"], "left")
+    wide = join_same(wide, backlog_summary(samples), ["run_tag"], "left")
+    good = (F.col("latency_status") == "ok") | (F.col("quality_status") == "ok")
+    return wide.withColumn("status", F.when(good, F.lit("ok")).otherwise(F.lit("quality_missing")))
+
+
+def fault_run_summary(preds: DataFrame, samples: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row per cold start or crash run: rows before and after, time to the first result, latency, backlog, verdict.
+
+    ``runs`` states ``fault_kind``, ``initial_expected_rows``, ``post_fault_expected_rows``, ``started_epoch_ms``,
+    ``restarted_epoch_ms``, ``checkpoint_present_before_restart`` and ``reset_outputs``.
+    """
+    cold = F.col("fault_kind") == "none"
+    phase = metric_phase(F.col("benchmark_phase"))
+    counts = preds.groupBy("run_tag").agg(F.count_if(phase == "cold_start").alias("_cold"), F.count_if(phase == "pre_fault").alias("_pre"))
+    after = latency_summary(preds, "post_fault", runs).select(
+        "run_tag",
+        F.col("rows_total").alias("post_fault_rows"),
+        F.col("drain_rps").alias("drain_rps_after_fault"),
+        F.col("artifact_processing_p95_ms").alias("proc_p95_ms_after_fault"),
+        F.col("artifact_e2e_p95_ms").alias("e2e_p95_ms_after_fault"),
+    )
+    startup = first_emit_delay(preds, runs.select("run_tag", F.col("started_epoch_ms").alias("since_epoch_ms")), "cold_start")
+    recovery = first_emit_delay(preds, runs.select("run_tag", F.col("restarted_epoch_ms").alias("since_epoch_ms")), "post_fault")
+    wide = join_same(runs, counts, ["run_tag"], "left")
+    for part in (
+        after,
+        startup.withColumnRenamed("first_emit_delay_sec", "startup_seconds"),
+        recovery.withColumnRenamed("first_emit_delay_sec", "recovery_seconds"),
+        backlog_summary(samples),
+    ):
+        wide = join_same(wide, part, ["run_tag"], "left")
+    initial = F.coalesce(F.when(cold, F.col("_cold")).otherwise(F.col("_pre")), F.lit(0))
+    crash_only = ("post_fault_rows", "drain_rps_after_fault", "proc_p95_ms_after_fault", "e2e_p95_ms_after_fault", "recovery_seconds")
+    wide = wide.withColumns(
+        {
+            "initial_rows": initial,
+            "startup_seconds": F.when(cold, F.col("startup_seconds")),
+            "kafka_lag_max_after_fault": F.col("kafka_lag_peak_records"),
+            "checkpoint_reused": F.when(~cold, F.coalesce("checkpoint_present_before_restart", F.lit(False)) & ~F.coalesce("reset_outputs", F.lit(False))),
+            **{c: F.when(~cold, F.col(c)) for c in crash_only},
+        }
+    ).drop("_cold", "_pre")
+    status = recovery_status(
+        F.col("fault_kind"), F.col("initial_rows"), F.col("initial_expected_rows"), F.col("post_fault_rows"),
+        F.col("post_fault_expected_rows"), F.col("checkpoint_present_before_restart"), F.col("reset_outputs"),
+    )
+    wide = wide.withColumn("status", status)
+
+    def shortfall(name: str, rows: str, expected: str) -> Column:
+        seen = F.coalesce(F.col(rows), F.lit(0)).cast("bigint").cast("string")
+        return F.concat(F.lit(f"{name}="), seen, F.lit(" expected="), F.col(expected).cast("bigint").cast("string"))
+
+    notes = (
+        F.when(F.col("status") == "artifact_incomplete", shortfall("cold_start_rows", "initial_rows", "initial_expected_rows"))
+        .when(F.col("status") == "pre_fault_incomplete", shortfall("pre_fault_rows", "initial_rows", "initial_expected_rows"))
+        .when(F.col("status") == "post_fault_incomplete", shortfall("post_fault_rows", "post_fault_rows", "post_fault_expected_rows"))
+        .when(F.col("status") == "checkpoint_missing", F.lit("checkpoint was not present before restart"))
+        .otherwise(F.lit(""))
+    )
+    return wide.withColumn("notes", notes)
+
+
 def _distribution_text() -> list[Column]:
     texts = [format_fixed(F.col(f"latency_{f}_ms")).alias(f"e2e_latency_{f}_ms") for f in DISTRIBUTION_FIELDS]
     return [format_fixed(F.col("latency_rows"), 0).alias("latency_rows"), *texts]

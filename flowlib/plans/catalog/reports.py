@@ -59,6 +59,55 @@ def run_summary_row(spark, sf):
     return rows.select(*_SHOWN)
 
 
+_MF_SHOWN = [
+    "run_tag", "candidate_label", "feature_set", "latency_status", "artifact_rows_total", "drain_rps", "rows", "source_p95_ms", "source_p99_ms", "proc_p95_ms", "proc_p99_ms",
+    "e2e_p95_ms", "e2e_p99_ms", "quality_status", "precision", "recall", "f1", "fpr", "fnr", "scored_rows_total", "avg_prediction_score", "attack_ratio", "kafka_lag_samples", "status",
+]
+
+
+@query("model_feature_run_summary", sql=f"""
+SELECT run_tag, candidate_label, feature_set, latency_status, artifact_rows_total, drain_rps, rows_total AS rows, artifact_source_p95_ms AS source_p95_ms, artifact_source_p99_ms AS source_p99_ms,
+  artifact_processing_p95_ms AS proc_p95_ms, artifact_processing_p99_ms AS proc_p99_ms, artifact_e2e_p95_ms AS e2e_p95_ms, artifact_e2e_p99_ms AS e2e_p99_ms, quality_status, precision, recall, f1,
+  fpr, fnr, scored_rows_total, avg_prediction_score_weighted AS avg_prediction_score, attack_ratio_weighted AS attack_ratio, kafka_lag_samples, 'ok' AS status
+FROM base_runs JOIN ({LATENCY_SQL}) AS a USING (run_tag) JOIN ({_QUALITY}) AS q USING (run_tag) JOIN ({LAG_SQL}) AS l USING (run_tag)""",
+       floats="drain_rps source_p95_ms source_p99_ms proc_p95_ms proc_p99_ms e2e_p95_ms e2e_p99_ms precision recall f1 fpr fnr avg_prediction_score attack_ratio")
+def model_feature_run_summary(spark, sf):
+    return summary.model_feature_run_summary(views.preds(spark, sf), views.lag_samples(spark, sf), views.base_runs(spark, sf)).select(*_MF_SHOWN)
+
+
+_FAULT_RUN_SHOWN = [
+    "run_tag", "scenario", "initial_rows", "post_fault_rows", "drain_rps_after_fault", "proc_p95_ms_after_fault", "e2e_p95_ms_after_fault", "startup_seconds", "recovery_seconds",
+    "checkpoint_reused", "kafka_lag_samples", "status", "notes",
+]
+
+
+@query("fault_run_summary", sql="""
+SELECT *, CASE status WHEN 'artifact_incomplete' THEN 'cold_start_rows='||initial_rows||' expected='||ie WHEN 'pre_fault_incomplete' THEN 'pre_fault_rows='||initial_rows||' expected='||ie
+  WHEN 'post_fault_incomplete' THEN 'post_fault_rows='||post_fault_rows||' expected='||pe WHEN 'checkpoint_missing' THEN 'checkpoint was not present before restart' ELSE '' END AS notes
+FROM (SELECT *, CASE WHEN scenario LIKE 'cold%' THEN CASE WHEN initial_rows < ie * 0.95::DOUBLE THEN 'artifact_incomplete' ELSE 'ok' END WHEN initial_rows < ie * 0.95::DOUBLE THEN 'pre_fault_incomplete'
+    WHEN post_fault_rows < pe * 0.95::DOUBLE THEN 'post_fault_incomplete' WHEN NOT checkpoint_reused THEN 'checkpoint_missing' ELSE 'ok' END AS status
+  FROM (SELECT run_tag, scenario, n0 AS initial_rows, CASE WHEN i <> 4 THEN n1 END AS post_fault_rows, CASE WHEN i <> 4 THEN n1 / span END AS drain_rps_after_fault, CASE WHEN i <> 4 THEN p END AS proc_p95_ms_after_fault,
+      CASE WHEN i <> 4 THEN e END AS e2e_p95_ms_after_fault, CASE WHEN i = 4 THEN greatest((f0 - 1704067200000) / 1000.0::DOUBLE, 0) END AS startup_seconds,
+      CASE WHEN i <> 4 THEN greatest((f1 - 1704153600000) / 1000.0::DOUBLE, 0) END AS recovery_seconds, CASE WHEN i <> 4 THEN i <> 2 END AS checkpoint_reused, s AS kafka_lag_samples, ie, pe
+    FROM (SELECT run_tag, repeat_index AS i, scenario, count(*) FILTER (ph IN ('cold_start', 'pre_fault')) AS n0, count(*) FILTER (ph = 'post_fault') AS n1,
+        (epoch_us(max(emit_time) FILTER (ph = 'post_fault')) - epoch_us(min(emit_time) FILTER (ph = 'post_fault'))) / 1e6::DOUBLE AS span,
+        quantile_cont(processing_ms, 0.95::DOUBLE) FILTER (ph = 'post_fault') AS p, quantile_cont(end_to_end_ms, 0.95::DOUBLE) FILTER (ph = 'post_fault') AS e,
+        epoch_us(min(emit_time) FILTER (ph = 'cold_start')) // 1000 AS f0, epoch_us(min(emit_time) FILTER (ph = 'post_fault')) // 1000 AS f1,
+        any_value(floor(initial_expected_rows * (20 + repeat_index) / 100))::BIGINT AS ie, any_value(floor(initial_expected_rows * (28 - repeat_index) / 100))::BIGINT AS pe
+      FROM (SELECT run_tag, emit_time, processing_ms, end_to_end_ms, CASE event_id % 4 WHEN 0 THEN CASE WHEN run_tag = 'run4' THEN 'cold_start' ELSE 'pre_fault' END WHEN 1 THEN 'post_fault' ELSE 'measure' END AS ph FROM preds)
+      JOIN base_runs USING (run_tag) GROUP BY 1, 2, 3) JOIN (SELECT run_tag, count(*) AS s FROM lag_samples GROUP BY 1) USING (run_tag)))""".replace("SELECT *, CASE status", "SELECT * EXCLUDE (ie, pe), CASE status", 1),
+       floats="drain_rps_after_fault proc_p95_ms_after_fault e2e_p95_ms_after_fault")
+def fault_run_summary(spark, sf):
+    phase = F.expr("case event_id % 4 when 0 then if(run_tag = 'run4', 'cold_start', 'pre_fault') when 1 then 'post_fault' else 'measure' end")
+    preds = views.preds(spark, sf).withColumn("benchmark_phase", phase)
+    declared = views.base_runs(spark, sf).selectExpr(
+        "run_tag", "scenario", "fault_kind", "floor(initial_expected_rows * (20 + repeat_index) / 100) as initial_expected_rows",
+        "floor(initial_expected_rows * (28 - repeat_index) / 100) as post_fault_expected_rows", "1704067200000 as started_epoch_ms", "1704153600000 as restarted_epoch_ms",
+        "repeat_index <> 2 as checkpoint_present_before_restart", "false as reset_outputs",
+    )
+    return summary.fault_run_summary(preds, views.lag_samples(spark, sf), declared).select(*_FAULT_RUN_SHOWN)
+
+
 def _hourly(spark, sf):
     """A small run per user: its rows, rate and latencies, to exercise the rules on many rows."""
     rows = views.table(spark, sf, "events").groupBy("user_id").agg(

@@ -224,3 +224,10 @@ def test_selected_configuration(spark):
     got = summary.selected_configuration(runs, other).first()
     assert (got.trigger_interval, got.shuffle_partitions, got.spark_master, got.kafka_partitions) == ("2 seconds", "8", "local[4]", "1")
     assert summary.selected_configuration(runs.where("mode = 'pass_through'"), other).first().trigger_interval == "7 s"
+
+
+def test_summary_csv_keeps_the_union_of_columns(spark, tmp_path):
+    frames = [spark.createDataFrame([("a", 1)], "run_tag string, x int"), spark.createDataFrame([("b", 2.5)], "run_tag string, y double")]
+    summary.write_summary_rows(summary.union_summary_rows(frames), str(tmp_path / "s"))
+    back = spark.read.option("header", "true").csv(str(tmp_path / "s"))
+    assert back.columns == ["run_tag", "x", "y"] and rows(back, "run_tag") == [("a", "1", None), ("b", None, "2.5")]
