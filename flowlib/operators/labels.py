@@ -18,7 +18,8 @@ def semi_join_required_keys(inputs: DataFrame, preds: DataFrame, run_tag: str |
         rows = rows.where(F.coalesce("replay_run_tag", F.lit("")) == run_tag)
     if "is_control_record" in inputs.columns:
         rows = rows.where(F.coalesce("is_control_record", F.lit(0)) == 0)
-    needed = preds.select(*OFFSET_KEYS).dropna()
+    # Repeats are combined before the shuffle that the join needs anyway.
+    needed = preds.select(*OFFSET_KEYS).dropna().distinct()
     return rows.join(needed, OFFSET_KEYS, "left_semi")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlib.functions.values import DEFAULT_PHASE, in_phase
 from flowlib.operators.ordered import join_same, with_previous
+from flowlib.scratch import small_side
 
 REPLAY_END = "measure_replay_end"
 
@@ -83,10 +84,11 @@ def lag_summary(samples: DataFrame) -> DataFrame:
 
 def lag_clear_seconds(samples: DataFrame) -> DataFrame:
     """Seconds from the end of input to the first empty sample; 0 if already empty, null if never."""
-    placed = join_same(measure_samples(samples), replay_end(samples), ["run_tag"], "inner")
+    ends = small_side(replay_end(samples))
+    placed = join_same(measure_samples(samples), ends, ["run_tag"], "inner")
     empty = (F.col("ts_epoch_ms") >= F.col("end_ms")) & (F.col("lag_records") <= 0)
     cleared = placed.groupBy("run_tag").agg(F.min(F.when(empty, F.col("ts_epoch_ms"))).alias("_cleared"))
-    both = join_same(replay_end(samples), cleared, ["run_tag"], "left")
+    both = join_same(ends, cleared, ["run_tag"], "left")
     seconds = F.when(F.col("end_lag") <= 0, F.lit(0.0)).when(
         F.col("end_lag").isNotNull(), (F.col("_cleared") - F.col("end_ms")) / 1000.0
     )
@@ -116,4 +118,4 @@ def rebase_lag_series(samples: DataFrame) -> DataFrame:
     ).dropna(subset=["_ms", "value"])
     starts = rows.groupBy("run_tag").agg(F.min("_ms").alias("_start"))
     second = F.floor((F.col("_ms") - F.col("_start")) / 1000.0)
-    return join_same(rows, starts, ["run_tag"], "inner").select("run_tag", second.alias("second"), "value")
+    return join_same(rows, small_side(starts), ["run_tag"], "inner").select("run_tag", second.alias("second"), "value")

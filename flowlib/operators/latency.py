@@ -147,7 +147,7 @@ def rebase_latency_series(series: DataFrame, metric: str) -> DataFrame:
         "run_tag", numeric_or_null(series, "second").cast("long").alias("second"), numeric_or_null(series, metric).alias("value")
     ).dropna(subset=["second", "value"])
     starts = rows.groupBy("run_tag").agg(F.min("second").alias("_start"))
-    return join_same(rows, starts, ["run_tag"], "inner").select("run_tag", (F.col("second") - F.col("_start")).alias("second"), "value")
+    return join_same(rows, small_side(starts), ["run_tag"], "inner").select("run_tag", (F.col("second") - F.col("_start")).alias("second"), "value")
 
 
 def empirical_cdf(df: DataFrame, keys: list[str], value: str, unique: str) -> DataFrame:

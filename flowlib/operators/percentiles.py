@@ -20,7 +20,8 @@ BROADCAST_ROWS = 200_000
 
 
 def magnitude_bucket_sql(value: str, per_octave: int = BUCKETS_PER_OCTAVE) -> str:
-    size = f"(floor(log2(abs({value})) * {per_octave}) + {1100 * per_octave})"
+    # Infinities share the bucket of the largest numbers.
+    size = f"(floor(log2(least(abs({value}), 1.7976931348623157E308D)) * {per_octave}) + {1100 * per_octave})"
     return f"cast(case when {value} = 0 then 0 when {value} < 0 then -{size} else {size} end as int)"
 
 

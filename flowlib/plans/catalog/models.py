@@ -122,6 +122,14 @@ def save_load_model(spark, sf):
     return first.join(second, "vec_id").agg(F.count("*").alias("rows"), F.count_if(F.col("a") == F.col("b")).alias("same"))
 
 
+@query("fit_persist")
+def fit_persist(spark, sf):
+    """Fill values of a stored and reloaded fit."""
+    path = new_path(spark, "persisted")
+    ml.fit_model(embedded(spark, sf), EMBEDDED, SPECS["logistic_regression"], path, weight=None)
+    return ml.fill_values(ml.load_model(path), EMBEDDED)
+
+
 @query("score_stream", sql="SELECT count(*) AS rows, count(*) AS same FROM embeddings")
 def score_stream(spark, sf):
     """Scores of a stream equal those of the batch."""

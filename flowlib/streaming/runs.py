@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from flowlib.sources.tables import PREDICTION_COLUMNS, artifact_frame
 
@@ -72,19 +73,53 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("key", F.from_json("value", schema).alias("_r")).select("key", "_r.*")
 
 
+def _progress_cells(report) -> list[tuple]:
+    """Rows of one progress report, one per source."""
+    data = report if isinstance(report, dict) else json.loads(report.json)
+    took = data.get("durationMs", {})
+    return [
+        (
+            data.get("name"), int(data.get("batchId", 0)), data.get("timestamp"), int(source.get("numInputRows", 0)),
+            float(source.get("processedRowsPerSecond") or 0.0), int(took.get("triggerExecution", 0)), int(took.get("addBatch", 0)),
+            source.get("description"), *[json.dumps(source.get(k)) for k in ("startOffset", "endOffset", "latestOffset")],
+        )
+        for source in data.get("sources", [])
+    ]
+
+
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """One row per source and reported micro-batch (Spark keeps the last hundred reports)."""
-    rows = []
-    for report in query.recentProgress:
-        data = report if isinstance(report, dict) else json.loads(report.json)
-        for source in data.get("sources", []):
-            took = data.get("durationMs", {})
-            rows.append((
-                data.get("name"), int(data.get("batchId", 0)), data.get("timestamp"), int(source.get("numInputRows", 0)),
-                float(source.get("processedRowsPerSecond") or 0.0), int(took.get("triggerExecution", 0)), int(took.get("addBatch", 0)),
-                source.get("description"), *[json.dumps(source.get(k)) for k in ("startOffset", "endOffset", "latestOffset")],
-            ))
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA)
+    return spark.createDataFrame([cells for report in query.recentProgress for cells in _progress_cells(report)], PROGRESS_SCHEMA)
+
+
+class ProgressLog(StreamingQueryListener):
+    """Progress of all queries of a session while they run; ``flush`` appends what has come in to a table.
+
+    Register with ``spark.streams.addListener``. A report is one short row per source, and ``flush`` empties
+    the buffer, so it stays small however long a query runs.
+    """
+
+    def __init__(self) -> None:
+        self._rows: deque[tuple] = deque()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self._rows.extend(_progress_cells(event.progress))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def flush(self, spark: SparkSession, path: str) -> int:
+        """Append the buffered rows to ``path``; the number of rows written."""
+        taken = [self._rows.popleft() for _ in range(len(self._rows))]
+        if taken:
+            spark.createDataFrame(taken, PROGRESS_SCHEMA).write.mode("append").parquet(path)
+        return len(taken)
 
 
 def lag_samples_from_progress(progress: DataFrame, run_tag: str, topic: str, phase: str = "measure") -> DataFrame:

@@ -101,3 +101,34 @@ def test_bucket_never_falls(spark):
     xs = sorted([0.0, 1e-300, -1e-300, 5e-324, 1.0, -1.0, 1e300, *np.random.default_rng(1).normal(0, 100, 500).tolist()])
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, v double").orderBy("i").select(magnitude_bucket("v")).collect()]
     assert got == sorted(got)
+
+
+def test_selection_without_broadcast_and_without_adaptive_plans(spark, monkeypatch):
+    from flowlib.operators import percentiles
+
+    monkeypatch.setattr(percentiles, "BROADCAST_ROWS", 0)
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 5003 - 2000).cast("double").alias("v"))
+    want = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.99).alias("b")).collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = exact_percentiles(df, ["g"], {"a": ("v", 0.5), "b": ("v", 0.99)}, gather_limit=0)
+        assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.g: (r.a, r.b) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("gather_limit", [0, 10**6])
+def test_infinite_values_have_a_rank(spark, gather_limit):
+    df = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),), (float("inf"),)], "v double")
+    got = exact_percentiles(df, [], {"a": ("v", 0.5), "b": ("v", 1.0), "c": ("v", 0.0)}, gather_limit=gather_limit).first()
+    assert (got.a, got.b, got.c) == (2.0, float("inf"), float("-inf"))
+
+
+def test_one_value_may_hold_most_rows(spark):
+    df = spark.range(9000).select(F.expr("if(id % 3 = 0, id / 7D, 42D)").alias("v"))
+    got = exact_percentiles(df, [], {"p": ("v", 0.5), "q": ("v", 0.95)}, gather_limit=0).first()
+    want = df.agg(F.percentile("v", 0.5), F.percentile("v", 0.95)).first()
+    assert (got.p, got.q) == (want[0], pytest.approx(want[1]))

@@ -130,6 +130,24 @@ def test_progress_rows(spark, folder, tmp_path):
     assert got[0] == 9 and got[1] >= 0
 
 
+def test_progress_log_collects_while_running(spark, folder, tmp_path):
+    import time
+
+    log, path = runs.ProgressLog(), str(tmp_path / "progress")
+    spark.streams.addListener(log)
+    try:
+        records = source.parse_json_flow(source.file_envelope(spark, folder, 1), FEATURES)
+        runs.drain(runs.table_writer(records, str(tmp_path / "o"), str(tmp_path / "c"), "t9"))
+        seen, until = 0, time.time() + 20
+        while seen < 9 and time.time() < until:
+            log.flush(spark, path)
+            seen = spark.read.parquet(path).where("query_name = 't9'").agg(F.coalesce(F.sum("input_rows"), F.lit(0))).first()[0] if (tmp_path / "progress").exists() else 0
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    assert seen == 9 and log.flush(spark, path) == 0
+
+
 def test_lag_samples_from_kafka_offsets(spark):
     progress = spark.createDataFrame(
         [("q", 3, "2024-01-01T12:00:00.000Z", 5, 1.0, 1, 1, "KafkaV2", "{}", '{"t":{"0":10,"1":4}}', '{"t":{"0":12,"1":4,"2":3}}')], runs.PROGRESS_SCHEMA
