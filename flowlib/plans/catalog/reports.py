@@ -193,9 +193,11 @@ def recovery_status(spark, sf):
 
 def _threshold_inputs(spark, sf):
     points = operating_points(views.scored(spark, sf), ["model"])
-    metrics = points.where("point = 'fpr_3pct' and model = 'm0'").select(F.lit(" m0 ").alias("model"), F.lit("full").alias("feature_set"), F.col("threshold").cast("string").alias("opt_threshold"), F.lit(1).alias("version"))
-    stored = points.where("point = 'fpr_5pct'").select("model", F.lit("full").alias("feature_set"), F.col("threshold").cast("string").alias("opt_threshold"))
-    return metrics, stored
+    metrics = points.where("point = 'fpr_3pct'").selectExpr(
+        "concat(' ', model, ' ') as model", "'full' as feature_set", "case when model = 'm0' then cast(threshold as string) else 'n/a' end as opt_threshold", "1 as version"
+    )
+    held = points.where("point = 'fpr_5pct'").select("model", F.lit("full").alias("feature_set"), F.col("threshold").cast("string").alias("opt_threshold"))
+    return metrics, held
 
 
 @query("resolve_threshold", sql=f"""
@@ -203,9 +205,9 @@ SELECT m.model, m.feature_set, coalesce(CASE WHEN m.model = 'm0' AND m.feature_s
 FROM (SELECT DISTINCT 'm'||l_linenumber % 3 AS model, CASE WHEN l_linenumber % 4 = 0 THEN 'reduced' ELSE 'full' END AS feature_set FROM flows_li) m
 LEFT JOIN (SELECT model, threshold FROM ({POINTS_SQL}) AS p WHERE point = 'fpr_3pct') a USING (model) LEFT JOIN (SELECT model, threshold FROM ({POINTS_SQL}) AS p WHERE point = 'fpr_5pct') b USING (model)""")
 def resolve_threshold(spark, sf):
-    metrics, stored = _threshold_inputs(spark, sf)
+    metrics, held = _threshold_inputs(spark, sf)
     models = views.flows_li(spark, sf).selectExpr("concat('m', l_linenumber % 3) as model", "case when l_linenumber % 4 = 0 then 'reduced' else 'full' end as feature_set").distinct()
-    return rules.resolve_threshold(models, metrics, stored)
+    return rules.resolve_threshold(models, metrics, held)
 
 
 @query("union_summary_rows", sql=f"""
