@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from flowlib.functions.text import short_run_label
 from flowlib.functions.values import DEFAULT_PHASE, in_phase, metric_phase, numeric_or_null, span_seconds
 from flowlib.operators.ordered import join_same, with_row_number
-from flowlib.operators.percentiles import GATHER_LIMIT, exact_percentiles
+from flowlib.operators.percentiles import GATHER_LIMIT, percentiles
 from flowlib.scratch import small_side
 
 LATENCIES = {"source": "source_to_ingest_ms", "processing": "processing_ms", "e2e": "end_to_end_ms"}
 
 
 def latency_summary(
-    preds: DataFrame, phase: str | None = "measure", runs: DataFrame | None = None, gather_limit: int = GATHER_LIMIT
+    preds: DataFrame,
+    phase: str | None = "measure",
+    runs: DataFrame | None = None,
+    gather_limit: int = GATHER_LIMIT,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Rows, p50/p95/p99 of the three latencies, emit span and drain rate of each run in a phase.
 
     ``drain_rps`` divides all rows of the phase by the emit span; both are null when the span is not
-    positive. ``runs`` lists the runs to report; one without any prediction is ``latency_missing``.
+    positive. ``runs`` lists the runs to report; one without any prediction is ``latency_missing``. Percentiles
+    are exact unless an ``accuracy`` asks for sketches.
     """
     inside = in_phase(preds, phase)
     emit = F.when(inside, F.col("emit_time"))
@@ -31,7 +36,7 @@ def latency_summary(
     wanted = {
         f"artifact_{name}_p{int(q * 100)}_ms": (column, q) for name, column in LATENCIES.items() for q in (0.50, 0.95, 0.99)
     }
-    ranks = exact_percentiles(preds.where(inside), ["run_tag"], wanted, gather_limit=gather_limit)
+    ranks = percentiles(preds.where(inside), ["run_tag"], wanted, gather_limit, accuracy)
     rows = F.coalesce(F.col("_rows"), F.lit(0))
     wall = F.when((rows > 0) & (F.col("_span") > 0), F.col("_span"))
     status = (
@@ -50,7 +55,7 @@ def latency_summary(
     return join_same(base, ranks, ["run_tag"], "left")
 
 
-def latency_timeseries(preds: DataFrame, gather_limit: int = GATHER_LIMIT) -> DataFrame:
+def latency_timeseries(preds: DataFrame, gather_limit: int = GATHER_LIMIT, accuracy: int | None = None) -> DataFrame:
     """Rows, rate and percentiles per run, phase (as written) and whole second since the run's first emit."""
     emitted = preds.where("emit_time is not null")
     starts = emitted.groupBy("run_tag").agg(F.min("emit_time").alias("_start"))
@@ -72,7 +77,7 @@ def latency_timeseries(preds: DataFrame, gather_limit: int = GATHER_LIMIT) -> Da
         "e2e_p95_ms": ("end_to_end_ms", 0.95),
         "e2e_p99_ms": ("end_to_end_ms", 0.99),
     }
-    ranks = exact_percentiles(rows, keys, wanted, gather_limit=gather_limit)
+    ranks = percentiles(rows, keys, wanted, gather_limit, accuracy)
     counts = counts.withColumn("throughput_rps", F.col("rows").cast("double"))
     return join_same(counts, ranks, keys, "left")
 
@@ -89,6 +94,7 @@ def latency_distribution(
     phase: str | None = DEFAULT_PHASE,
     phase_by_fault_kind: bool = False,
     gather_limit: int = GATHER_LIMIT,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """End-to-end latency pooled over the repeats of each group of runs: rows, mean, range and q90/q95/q99."""
     wanted_phase = fault_phase(F.col("fault_kind")) if phase_by_fault_kind else F.lit(phase)
@@ -104,7 +110,7 @@ def latency_distribution(
         F.max("_ms").alias("latency_max_ms"),
     )
     wanted = {f"latency_q{int(q * 100)}_ms": ("_ms", q) for q in (0.90, 0.95, 0.99)}
-    return join_same(stats, exact_percentiles(rows, group, wanted, gather_limit=gather_limit), group, "left")
+    return join_same(stats, percentiles(rows, group, wanted, gather_limit, accuracy), group, "left")
 
 
 def pool_runs(frames: list[DataFrame], columns: list[str]) -> DataFrame:
@@ -132,7 +138,7 @@ def fault_phase_summary(preds: DataFrame, runs: DataFrame, gather_limit: int = G
     span = span_seconds(F.min("emit_time"), F.max("emit_time"))
     rates = rows.groupBy("run_tag").agg(F.count("_ms").alias("_n"), span.alias("_span")).where("_n > 0")
     rates = rates.select("run_tag", F.when(F.col("_span") > 0, F.col("_n") / F.col("_span")).alias("phase_output_rps"))
-    ranks = exact_percentiles(rows.where("_ms is not null"), ["run_tag"], {"phase_e2e_p95_ms": ("_ms", 0.95)}, gather_limit=gather_limit)
+    ranks = percentiles(rows.where("_ms is not null"), ["run_tag"], {"phase_e2e_p95_ms": ("_ms", 0.95)}, gather_limit)
     return join_same(rates, ranks, ["run_tag"], "left")
 
 

@@ -59,6 +59,24 @@ def exact_percentiles(
     return _selected(df, keys, wanted, method, columns, small=groups * len(columns) * ranks <= BROADCAST_ROWS)
 
 
+def approx_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000) -> DataFrame:
+    """As :func:`exact_percentiles` from bounded sketches in one pass; ranks are off by at most ``n / accuracy``."""
+    out = [
+        F.percentile_approx(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")), q, accuracy).alias(name)
+        for name, (c, q) in wanted.items()
+    ]
+    return df.groupBy(*keys).agg(*out)
+
+
+def percentiles(
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], gather_limit: int = GATHER_LIMIT, accuracy: int | None = None
+) -> DataFrame:
+    """Exact percentiles, or approximate ones when an ``accuracy`` is given."""
+    if accuracy is not None:
+        return approx_percentiles(df, keys, wanted, accuracy)
+    return exact_percentiles(df, keys, wanted, gather_limit=gather_limit)
+
+
 def _gathered(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], method: str) -> DataFrame:
     columns = sorted({column for column, _ in wanted.values()})
     values = df.select(*keys, *[F.expr(f"cast(nanvl(cast(`{c}` as double), null) as double) as _v{i}") for i, c in enumerate(columns)])

@@ -8,6 +8,7 @@ from flowlib.operators import lag, latency
 from flowlib.operators.percentiles import exact_percentiles
 from flowlib.plans import views
 from flowlib.plans.registry import query
+from flowlib.scratch import new_path
 
 _Q = [(n, c, q) for n, c in (("source", "source_to_ingest_ms"), ("processing", "processing_ms"), ("e2e", "end_to_end_ms")) for q in (0.5, 0.95, 0.99)]
 LATENCY_FLOATS = " ".join([*[f"artifact_{n}_p{int(q * 100)}_ms" for n, _, q in _Q], "drain_rps", "measure_wall_clock_sec"])
@@ -68,6 +69,27 @@ def pool_runs(spark, sf):
     return latency.pool_runs(parts, ["run_tag", "end_to_end_ms", "processing_ms", "absent"])
 
 
+@query("pool_stored_runs", sql="""
+SELECT count(*) AS rows, count(DISTINCT run_tag) AS runs, sum(kafka_partition)::BIGINT AS partitions, max(end_to_end_ms) AS e2e_max_ms FROM preds
+WHERE coalesce(lower(benchmark_phase), 'measure') NOT IN ('warmup', 'cold_start', 'post_fault')""")
+def pool_stored_runs(spark, sf):
+    """All runs of one stored table, one phase."""
+    from flowlib.sources import tables
+
+    path = new_path(spark, "run-artifacts")
+    tables.write_run_artifacts(views.preds(spark, sf), path)
+    pooled = tables.read_run_artifacts(spark, path, [f"run{i}" for i in range(5)], "measure")
+    return pooled.agg(
+        F.count("*").alias("rows"), F.count_distinct("run_tag").alias("runs"), F.sum("kafka_partition").alias("partitions"), F.max("end_to_end_ms").alias("e2e_max_ms")
+    )
+
+
+@query("latency_summary_approx")
+def latency_summary_approx(spark, sf):
+    """No SQL twin: sketched percentiles."""
+    return latency.latency_summary(views.preds(spark, sf), accuracy=10_000)
+
+
 @query("first_emit_delay", sql="""
 SELECT run_tag, greatest((epoch_us(f) // 1000 - since) / 1000.0::DOUBLE, 0) AS first_emit_delay_sec FROM (SELECT run_tag, 1704153600000 + repeat_index * 3600000 AS since FROM base_runs)
 LEFT JOIN (SELECT run_tag, min(emit_time) AS f FROM preds WHERE benchmark_phase = 'post_fault' AND day(emit_time) > 2 GROUP BY 1) USING (run_tag)

@@ -43,6 +43,13 @@ def hash_split(spark, sf):
     return rows.groupBy("split").agg(F.count("*").alias("rows"), F.sum("l_linenumber").alias("lines"))
 
 
+@query("hash_split_fast")
+def hash_split_fast(spark, sf):
+    """No SQL twin: Spark's own 64-bit hash."""
+    rows = views.flows_li(spark, sf).withColumn("split", split.pool_split_fast(*[c for c in views.flows_li(spark, sf).columns]))
+    return rows.groupBy("split").agg(F.count("*").alias("rows"), F.sum("l_linenumber").alias("lines"))
+
+
 @query("temporal_split", sql=f"SELECT flow_id, split FROM ({_ASSIGNED}) AS a")
 def temporal_split(spark, sf):
     return _assigned(spark, sf).select("flow_id", "split")

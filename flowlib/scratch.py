@@ -21,7 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below one folder per application, which may be deleted when the application has ended."""
+    return f"{scratch_root(spark)}/flowlib-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def small_side(df: DataFrame, name: str = "small") -> DataFrame:

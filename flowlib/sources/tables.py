@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlib.functions.values import collector_phase
+
 # Layout of a prediction response and of the stored artifact.
 PREDICTION_COLUMNS = {
     "flow_id": "string",
@@ -78,6 +80,20 @@ def write_prediction_artifact(df: DataFrame, path: str) -> None:
     artifact_frame(df).write.mode("overwrite").parquet(path)
 
 
+def write_run_artifacts(df: DataFrame, path: str) -> None:
+    """Artifacts of many runs as one table partitioned by run and normalized phase, so that both filters skip files."""
+    stored = artifact_frame(df).withColumn("benchmark_phase", collector_phase(F.col("benchmark_phase")))
+    stored.write.mode("overwrite").partitionBy("run_tag", "benchmark_phase").parquet(path)
+
+
+def read_run_artifacts(spark: SparkSession, path: str, runs: list[str] | None = None, phase: str | None = None) -> DataFrame:
+    """Pooled artifacts of the named runs and phase (all by default); other runs' and phases' files are not read."""
+    df = spark.read.parquet(path)
+    if runs is not None:
+        df = df.where(F.col("run_tag").isin(list(runs)))
+    return df.where(F.col("benchmark_phase") == phase) if phase else df
+
+
 def save_scored_split(scored: DataFrame, path: str, model: str, split: str) -> None:
     """Replace one (model, split) part of the scored table and leave the others."""
     scored.drop("model", "split").write.mode("overwrite").parquet(f"{path}/model={model}/split={split}")

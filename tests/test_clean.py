@@ -172,3 +172,10 @@ def test_latest_file_and_manifest(spark, tmp_path):
     newest = tables.latest_file(manifest).first()
     best = max(manifest.collect(), key=lambda r: (r.modified, r.path))
     assert (newest.path, newest.modified) == (best.path, best.modified)
+
+
+def test_fast_split_has_the_same_shares_and_repeats(spark):
+    df = spark.range(20_000).withColumn("s", split.pool_split_fast("id"))
+    counts = {r.s: r["count"] for r in df.groupBy("s").count().collect()}
+    assert abs(counts["train_fit"] / 20_000 - 0.70) < 0.02 and abs(counts["feature_select"] / 20_000 - 0.15) < 0.02
+    assert df.exceptAll(spark.range(20_000).repartition(9).withColumn("s", split.pool_split_fast("id"))).count() == 0

@@ -231,3 +231,21 @@ def test_summary_csv_keeps_the_union_of_columns(spark, tmp_path):
     summary.write_summary_rows(summary.union_summary_rows(frames), str(tmp_path / "s"))
     back = spark.read.option("header", "true").csv(str(tmp_path / "s"))
     assert back.columns == ["run_tag", "x", "y"] and rows(back, "run_tag") == [("a", "1", None), ("b", None, "2.5")]
+
+
+def test_sketched_percentiles_stay_close(spark):
+    df = spark.range(20_000).select(F.expr("concat('r', id % 2)").alias("run_tag"), F.lit("measure").alias("benchmark_phase"), F.expr("timestamp_seconds(id)").alias("emit_time"),
+                                    *[F.expr("cast(id % 1000 as double)").alias(c) for c in ("source_to_ingest_ms", "processing_ms", "end_to_end_ms")])
+    exact = {r.run_tag: r.artifact_e2e_p95_ms for r in latency.latency_summary(df).collect()}
+    near = {r.run_tag: r.artifact_e2e_p95_ms for r in latency.latency_summary(df, accuracy=1000).collect()}
+    assert all(abs(exact[k] - near[k]) <= 3 for k in exact)
+
+
+def test_stored_runs_are_pruned_by_run_and_phase(spark, preds, tmp_path):
+    from flowlib.sources import tables
+
+    tables.write_run_artifacts(preds, str(tmp_path / "runs"))
+    got = tables.read_run_artifacts(spark, str(tmp_path / "runs"), ["a", "cold"], "measure")
+    assert got.count() == 4
+    filters = got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+    assert "run_tag" in filters and "benchmark_phase" in filters
