@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowlib.functions.values import key_text, span_seconds
 from flowlib.operators.ordered import join_same, with_previous, with_row_number
 from flowlib.operators.percentiles import GATHER_LIMIT, exact_percentiles
-from flowlib.scratch import stored
+from flowlib.scratch import small_side, stored
 
 # A rate plan is a short list of (rows per second, seconds) steps; a constant rate is one step of 0 seconds.
 RatePlan = list[tuple[float, float]]
@@ -180,7 +180,7 @@ def inject_late_events(
         f"sum(_c) over (partition by {by} order by _part rows unbounded preceding) - _c as _before",
         f"sum(_c) over (partition by {by}) as _n",
     )
-    placed = join_same(rows, parts, [*keys, "_part"], "left")
+    placed = join_same(rows, small_side(parts), [*keys, "_part"], "left")
     inner = ", ".join([*keys, "_part"])
     # Rows without a time never compete; spread them by their hash so that they are not one group.
     rank = F.expr(f"row_number() over (partition by {inner}, case when _part is null then _hash end order by _hash, `{unique}`)")

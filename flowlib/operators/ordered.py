@@ -70,10 +70,12 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str | Column], col
     """For each ``new: old`` pair, ``lag(old)`` over (keys, order)."""
     rows = in_chunks(df, keys, order)
     fields = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
-    last = rows.groupBy(*keys, CHUNK).agg(F.max_by(fields, POSITION).alias("_last"))
+    ends = small_side(rows.groupBy(*keys, CHUNK).agg(F.max(POSITION).alias("_end")))
+    tagged = rows.select(*keys, CHUNK, POSITION, fields.alias("_last"))
+    last = join_same(tagged, ends, [*keys, CHUNK], "inner").where(F.col(POSITION) == F.col("_end"))
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
     carried = last.select(*keys, CHUNK, F.lag("_last").over(per_key.orderBy(CHUNK)).alias("_carried"))
     inside = F.lag(fields).over(Window.partitionBy(*keys, CHUNK).orderBy(POSITION))
-    joined = join_same(rows.withColumn("_inside", inside), carried, [*keys, CHUNK], "inner")
+    joined = join_same(rows.withColumn("_inside", inside), small_side(carried), [*keys, CHUNK], "inner")
     previous = F.coalesce(F.col("_inside"), F.col("_carried"))
     return joined.withColumns({new: previous[new] for new in columns}).drop("_inside", "_carried", CHUNK, POSITION)

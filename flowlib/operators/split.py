@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlib.functions.values import content_bucket
+from flowlib.scratch import small_side
 
 # Shares of the training pool.
 HASH_BUCKETS = 10_000
@@ -89,10 +90,9 @@ def split_rows(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
 
 def split_classes(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
     """Count and share (6 decimals) of each class per split."""
-    cells = _cells(df, timestamp).groupBy("split", "label_binary").agg(F.sum("rows").alias("count"))
-    totals = cells.groupBy("split").agg(F.sum("count").alias("_total"))
-    share = F.round(F.col("count") / F.greatest(F.col("_total"), F.lit(1)), 6)
-    return cells.join(totals, "split").select("split", "label_binary", "count", share.alias("ratio"))
+    classes = _cells(df, timestamp).groupBy("split", "label_binary").agg(F.sum("rows").alias("count"))
+    share = F.expr("round(count / greatest(sum(count) over (partition by split), 1), 6)")
+    return classes.withColumn("ratio", share)
 
 
 def split_families(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
@@ -105,7 +105,7 @@ def split_families(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
 
 def split_metadata(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
     """All split profiles as one long table ``(split, item, name, count, ratio)`` from a single pass."""
-    cells = _cells(df, timestamp)
+    cells = small_side(_cells(df, timestamp), "split-cells")
     totals = cells.groupBy("split").agg(
         F.sum("rows").alias("_total"), F.unix_millis(F.min("min_ts")).alias("_min"), F.unix_millis(F.max("max_ts")).alias("_max")
     )

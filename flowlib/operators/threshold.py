@@ -40,17 +40,22 @@ def score_table(df: DataFrame, keys: list[str], label: str = "label_binary", sco
     distinct = rows.where("score is not null and not isnan(score)").groupBy(*keys, "score").agg(
         F.sum("_y").alias("pos"), F.sum("_z").alias("neg")
     ).withColumn("_b", score_bucket())
-    by = ", ".join(f"`{k}`" for k in keys) or "1"
-    buckets = distinct.groupBy(*keys, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    # One text key without nulls, so that the join below and the window after it share one shuffle.
+    group = ["_g"] if keys else []
+    if keys:
+        distinct = distinct.withColumn("_g", F.to_json(F.struct(*keys)))
+    by = "_g" if keys else "1"
+    buckets = distinct.groupBy(*group, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     buckets = buckets.selectExpr(
-        *[f"`{k}`" for k in keys],
+        *group,
         "_b",
         f"sum(_bn) over (partition by {by} order by _b rows unbounded preceding) - _bn as _before",
         f"sum(_bp) over (partition by {by}) as n_pos",
         f"sum(_bn) over (partition by {by}) as n_neg",
     )
-    placed = join_same(distinct, buckets, [*keys, "_b"], "inner")
-    below = f"_before + sum(neg) over (partition by {by}, _b order by score rows unbounded preceding) - neg"
+    inside = ", ".join([*group, "_b"])
+    below = f"_before + sum(neg) over (partition by {inside} order by score rows unbounded preceding) - neg"
+    placed = distinct.join(buckets, [*group, "_b"])
     return placed.selectExpr(
         *[f"`{k}`" for k in keys], "score", "pos", "neg", "n_pos", "n_neg", f"{below} as neg_below"
     ).withColumn("neg_from", F.col("n_neg") - F.col("neg_below"))

@@ -46,9 +46,11 @@ def test_lookups_are_broadcast_and_rows_stay_put(spark):
 
 def test_split_metadata_combines_before_the_shuffle(spark):
     rows = split.assign_splits(views.flows(spark, SF), day_roles(spark), F.col("flow_id"), "event_time").where("split is not null")
-    text = plan(split.split_metadata(rows, "event_time"))
+    text = plan(split.split_rows(rows, "event_time"))
     first = text.rindex("partial_count(1)")
     assert "Exchange" not in text[first:].split("FileScan")[0].replace("BroadcastExchange", "")
+    # All profiles of the metadata read the small stored table, not the rows.
+    assert "event_type" not in plan(split.split_metadata(rows, "event_time"))
 
 
 def test_row_numbers_broadcast_chunks_only(spark):

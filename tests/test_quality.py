@@ -71,6 +71,25 @@ def test_threshold_and_auc_match_brute_force(spark, cells, budget):
         assert sum(1 for y, s in zip(labels, scores) if not y and s >= t) / negatives <= budget
 
 
+def test_score_table_of_null_and_missing_groups(spark):
+    df = spark.createDataFrame([(None, 1, 0.9), (None, 0, 0.1), ("a", 0, 0.9), ("a", 1, 0.1)], "model string, label_binary int, score double")
+    assert {r.model: r.roc_auc for r in threshold.roc_auc(df, ["model"]).collect()} == {None: 1.0, "a": 0.0}
+    assert threshold.roc_auc(df, []).first().roc_auc == 0.5
+
+
+def test_join_and_window_of_scores_share_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = scored(spark, [1, 0], [0.9, 0.1])
+        plan = threshold.score_table(df, ["model"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    window, join = plan.index("Window [sum(neg"), plan.index("SortMergeJoin")
+    assert window < join and "Exchange" not in plan[window:join]
+
+
 def test_continuous_scores_on_both_ends(spark):
     rng = np.random.default_rng(5)
     scores = 1 / (1 + np.exp(-rng.normal(0, 6, 4000)))
