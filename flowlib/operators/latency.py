@@ -82,6 +82,14 @@ def latency_timeseries(preds: DataFrame, gather_limit: int = GATHER_LIMIT, accur
     return join_same(counts, ranks, keys, "left")
 
 
+def export_latency_timeseries(preds: DataFrame, path: str, gather_limit: int = GATHER_LIMIT) -> DataFrame:
+    """Write the series of all runs, partitioned by run; returns the manifest: run, path, rows, status."""
+    latency_timeseries(preds, gather_limit).write.mode("overwrite").partitionBy("run_tag").parquet(path)
+    written = preds.sparkSession.read.parquet(path).groupBy("run_tag").agg(F.sum("rows").alias("rows"))
+    where = F.concat(F.lit(f"{path}/run_tag="), F.col("run_tag"))
+    return written.select("run_tag", where.alias("latency_timeseries_path"), "rows", F.lit("ok").alias("status"))
+
+
 def fault_phase(fault_kind):
     """Phase that counts for a fault run: ``cold_start`` without a fault, else ``post_fault``."""
     return F.when(F.coalesce(fault_kind, F.lit("")) == "none", F.lit("cold_start")).otherwise(F.lit("post_fault"))

@@ -42,6 +42,11 @@ def latency_timeseries(spark, sf):
     return latency.latency_timeseries(views.preds(spark, sf))
 
 
+@query("latency_timeseries_manifest", sql="SELECT run_tag, count(*) AS rows, 'ok' AS status FROM preds GROUP BY 1")
+def latency_timeseries_manifest(spark, sf):
+    return latency.export_latency_timeseries(views.preds(spark, sf), new_path(spark, "series")).drop("latency_timeseries_path")
+
+
 _DIST = """count(*) AS latency_rows, avg(end_to_end_ms) AS latency_avg_ms, min(end_to_end_ms) AS latency_min_ms, max(end_to_end_ms) AS latency_max_ms,
   quantile_cont(end_to_end_ms, 0.9::DOUBLE) AS latency_q90_ms, quantile_cont(end_to_end_ms, 0.95::DOUBLE) AS latency_q95_ms, quantile_cont(end_to_end_ms, 0.99::DOUBLE) AS latency_q99_ms"""
 _DIST_FLOATS = "latency_avg_ms latency_min_ms latency_max_ms latency_q90_ms latency_q95_ms latency_q99_ms"

@@ -67,6 +67,26 @@ def drain(writer: DataStreamWriter, timeout_sec: float = 600.0) -> StreamingQuer
     return query
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop path and its file system, so that any shared storage works."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def checkpoint_present(spark: SparkSession, checkpoint: str) -> bool:
+    """Whether a checkpoint folder exists and holds anything, that is, whether a restart would go on from it."""
+    target, fs = _file_system(spark, checkpoint)
+    return bool(fs.exists(target)) and len(fs.listStatus(target)) > 0
+
+
+def reset_run(spark: SparkSession, *paths: str) -> None:
+    """Delete the named checkpoint and output folders, so that the next start begins anew. Restarts must not call this."""
+    for path in paths:
+        target, fs = _file_system(spark, path)
+        if fs.exists(target):
+            fs.delete(target, True)
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Written prediction records as typed columns."""
     schema = ", ".join(f"{n} {k}" for n, k in PREDICTION_COLUMNS.items())

@@ -2,10 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flowlib.functions import text, values
@@ -54,9 +53,10 @@ def test_infinity_is_a_number_until_sanitized(spark):
     assert one(spark, values.to_number(F.col("x")), x="inf") == math.inf
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.floats(allow_nan=False, allow_infinity=False, min_value=-1e300, max_value=1e300).filter(lambda v: v == 0 or abs(v) > 1e-290), min_size=1, max_size=40))
-def test_next_above(spark, xs):
+def test_next_above(spark):
+    rng = random.Random(4)
+    xs = [0.0, 1.0, -1.0, 0.5, 1 - 2**-53, 1 + 2**-52, 2.0**52, 0.1, 1e300, -1e300]
+    xs += [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-280, 290) for _ in range(3000)]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(values.next_above(F.col("x"))).collect()]
     assert got == [math.nextafter(x, math.inf) for x in xs]
 

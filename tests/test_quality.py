@@ -57,7 +57,7 @@ def test_a_tie_group_is_taken_whole(spark):
     assert threshold.threshold_for_fpr_budget(df, ["model"], 0.25).first().threshold == 0.9
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 1), st.integers(-3, 13)), min_size=2, max_size=60), st.sampled_from([0.01, 0.1, 0.34, 0.5]))
 def test_threshold_and_auc_match_brute_force(spark, cells, budget):
     labels, scores = [y for y, _ in cells], [s / 10 for _, s in cells]

@@ -107,6 +107,26 @@ def test_restart_equals_one_run(spark, folder, tmp_path):
     assert spark.read.parquet(out).select("kafka_offset").distinct().count() == 9
 
 
+def test_reset_begins_anew(spark, folder, tmp_path):
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def attempt():
+        records = source.parse_json_flow(source.file_envelope(spark, folder), FEATURES)
+        runs.drain(runs.table_writer(records, out, cp, "t10"))
+        return spark.read.parquet(out).count()
+
+    assert not runs.checkpoint_present(spark, cp)
+    assert (attempt(), runs.checkpoint_present(spark, cp), attempt()) == (9, True, 9)
+    runs.reset_run(spark, out, cp, str(tmp_path / "never"))
+    assert not runs.checkpoint_present(spark, cp) and attempt() == 9
+
+
+def test_kafka_sink_is_described_without_starting(spark, folder, tmp_path):
+    scored = scoring.score_pipeline(source.file_envelope(spark, folder), CONFIG)
+    assert runs.prediction_kafka_writer(scored, "nowhere:1", "t", str(tmp_path / "c"), "t11") is not None
+    assert runs.prediction_records(scored).columns == ["key", "value"]
+
+
 def test_repeated_offsets_can_be_dropped(spark, envelope, tmp_path):
     inbox = str(tmp_path / "in")
     envelope.union(envelope).write.parquet(inbox)
