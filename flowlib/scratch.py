@@ -9,17 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one is set only where neither it nor a checkpoint dir is."""
+    """Folder named by ``spark.checkpoint.dir``, else the checkpoint folder already set.
+
+    Only a session that runs in one process may do without either; it gets a temporary folder. On a cluster every
+    executor would write to a disk of its own, and what is read back would be incomplete, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlib-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def cleanup(spark: SparkSession) -> bool:
+    """Delete all tables that this application has stored; DataFrames that read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/flowlib-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below one folder per application, which may be deleted when the application has ended."""
     return f"{scratch_root(spark)}/flowlib-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
