@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from flowlib.llm.arrays import map_texts, text_bytes
 
-SLICE_BYTES = 8 << 20
-CACHE_UNITS = 1_500_000
+SLICE_BYTES = 4 << 20
+CACHE_UNITS = 1_000_000
 BATCH_UNITS = 20_000
 
 LETTER = np.zeros(256, bool)
