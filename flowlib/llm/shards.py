@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlib.llm.arrays import byte_slices, mix64
-from flowlib.llm.tokens import encoder
+from flowlib.llm.tokens import SLICE_BYTES, encoder
 
 LENGTH = 512
 ROUNDS = 6
 SEED = 20240607
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+MAX_SHARDS = 1_000_000
 END = 50256
 NO_ID = -(1 << 63)
 
@@ -92,20 +93,20 @@ def _records(docs: DataFrame, path: str, end: int, length: int, shards_for: int,
     for part, rooms, check in rows:
         begins[part] = (total, check)
         total += rooms
-    shards = max(1, -(-total * record_type(length).itemsize // shards_for))
+    shards = min(MAX_SHARDS, max(1, -(-total * record_type(length).itemsize // shards_for)))
     shared = docs.sparkSession.sparkContext.broadcast(begins)
 
     def encode(batches):
         begin, expected = shared.value[TaskContext.get().partitionId()]
         check = 0
         for batch in batches:
-            for part in byte_slices(batch, 1):
+            for part in byte_slices(batch, 1, SLICE_BYTES):
                 rooms = _rooms(part.column(1), length)
                 check = _mixed(check, rooms)
                 base = begin + np.cumsum(rooms) - rooms
                 begin += int(rooms.sum())
                 slot, out = sequences(part.column(0), part.column(1), base, path, end, length, total, seed)
-                shard = (slot.astype(object) * shards // total).astype(np.int32) if total * shards >= 1 << 62 else (slot * shards // total).astype(np.int32)
+                shard = (slot // -(-total // shards)).astype(np.int32)
                 payload = np.ascontiguousarray(out).view(np.uint8).reshape(len(out), -1)[:, :-1]
                 size = payload.shape[1]
                 flat = pa.py_buffer(np.ascontiguousarray(payload))
@@ -159,8 +160,9 @@ def read_shards(spark: SparkSession, target: str, length: int = LENGTH, first: i
     """
     wanted = manifest(spark, target, length).where(F.col("first_slot") + F.col("sequences") > first)
     wanted = wanted.where(F.col("first_slot") < last) if last is not None else wanted
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target).select(F.col("path").alias("p"), "content")
-    rows = files.join(wanted, F.col("p") == F.col("path")).select("content", "shard", "first_slot")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    # Two numbers per shard, and MAX_SHARDS at most: the files' contents aren't shuffled.
+    rows = files.join(F.broadcast(wanted.select("shard", "first_slot")), "shard").select("content", "shard", "first_slot")
     kind = record_type(length)
 
     def run(batches):

@@ -5,7 +5,7 @@ safe boundaries, places where the tokenizer's own splitting rule always ends one
 stands around them. Here these are: a visible ASCII character other than white space, then a space and an ASCII
 letter; or an ASCII letter, then one of ``, . ; : ! ? )``. Tokens of a text are then the sum over its units, so equal
 units of a slice are encoded once, in one batch call, and units seen before by this worker aren't encoded again
-(``CACHE_UNITS`` at most are remembered). No special token holds such a boundary, which is checked on loading.
+(``CACHE_UNITS`` at most are remembered; those met in few slices are forgotten first). No special token holds such a boundary, which is checked on loading.
 Other tokenizers (sentencepiece, word BPE) get whole texts in batches of equal bytes.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each for itself; strings
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from flowlib.llm.arrays import map_texts, text_bytes
 
-SLICE_BYTES = 4 << 20
-CACHE_UNITS = 1_000_000
-BATCH_UNITS = 20_000
+SLICE_BYTES = 2 << 20
+CACHE_UNITS = 500_000
+BATCH_UNITS = 5_000
 
 LETTER = np.zeros(256, bool)
 LETTER[ord("A"): ord("Z") + 1] = LETTER[ord("a"): ord("z") + 1] = True
@@ -61,7 +61,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         kind = os.path.splitext(path)[1]
-        self.safe = False
+        self.safe, self.narrow = False, False
         if kind == ".json":
             from tokenizers import Tokenizer
 
@@ -69,6 +69,7 @@ class Encoder:
             library = Tokenizer.from_file(path)
             library.no_truncation()
             library.no_padding()
+            self.narrow = library.get_vocab_size() <= 1 << 16
             self.ids = lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
             self.lengths = lambda texts: [len(x) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
             split = rules.get("pre_tokenizer") or {}
@@ -85,6 +86,7 @@ class Encoder:
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
             library = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.narrow = max(ranks.values()) < 1 << 16
             self.ids = lambda texts: [library.encode_ordinary(t) for t in texts]
             self.lengths = lambda texts: [len(library.encode_ordinary(t)) for t in texts]
             self.safe = True
@@ -96,10 +98,18 @@ class Encoder:
             self.lengths = lambda texts: [len(x) for x in self.ids(texts)]
         self.forget()
 
-    def forget(self) -> None:
-        self.known = pa.array([], pa.large_binary())
-        self.known_lengths = np.zeros(0, np.int64)
-        self.known_ids = [np.zeros(0, np.int32)]
+    def forget(self, least: int | None = None) -> None:
+        """Forget all units, or those met in fewer than ``least`` slices."""
+        if least is None:
+            self.known = pa.array([], pa.large_binary())
+            self.known_lengths, self.slices = np.zeros(0, np.int32), np.zeros(0, np.int32)
+            self.known_ids = np.zeros(0, np.uint16 if self.narrow else np.int32)
+            return
+        kept = self.slices >= least
+        if len(self.known_ids):
+            self.known_ids = self.known_ids[np.repeat(kept, self.known_lengths)]
+        self.known = self.known.filter(pa.array(kept))
+        self.known_lengths, self.slices = self.known_lengths[kept], self.slices[kept]
 
     def units(self, column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
         """Units of a slice as a dictionary column, and the units' offsets per text."""
@@ -110,26 +120,33 @@ class Encoder:
 
     def learn(self, units: pa.Array, with_ids: bool) -> np.ndarray:
         """Places of the units among the known ones; new ones are encoded in batches."""
+        least = 2
+        while len(self.known) and len(self.known) + len(units) > CACHE_UNITS:
+            self.forget(least)
+            least *= 2
         place = pc.index_in(units, value_set=self.known)
         if place.null_count:
-            fresh = units.filter(pc.is_null(place))
-            if len(self.known) and len(self.known) + len(fresh) > CACHE_UNITS:
-                self.forget()
-                return self.learn(units, with_ids)
-            lengths = [self.known_lengths]
+            new = pc.is_null(place)
+            fresh = units.filter(new)
+            lengths, ids = [self.known_lengths], [self.known_ids]
             for start in range(0, len(fresh), BATCH_UNITS):
                 texts = fresh.slice(start, BATCH_UNITS).cast(pa.large_string()).to_pylist()
                 if with_ids:
                     rows = self.ids(texts)
-                    lengths.append(np.fromiter(map(len, rows), np.int64, len(rows)))
-                    self.known_ids.append(np.fromiter((i for r in rows for i in r), np.int32, int(lengths[-1].sum())))
+                    lengths.append(np.fromiter(map(len, rows), np.int32, len(rows)))
+                    ids.append(np.fromiter((i for r in rows for i in r), self.known_ids.dtype, int(lengths[-1].sum())))
                 else:
-                    lengths.append(np.array(self.lengths(texts), np.int64))
+                    lengths.append(np.array(self.lengths(texts), np.int32))
+            known = len(self.known)
             self.known = pa.concat_arrays([self.known, fresh])
-            self.known_lengths = np.concatenate(lengths)
-            self.known_ids = [np.concatenate(self.known_ids)]
-            place = pc.index_in(units, value_set=self.known)
-        return place.to_numpy(zero_copy_only=False).astype(np.int64)
+            self.known_lengths, self.known_ids = np.concatenate(lengths), np.concatenate(ids)
+            self.slices = np.concatenate([self.slices, np.zeros(len(fresh), np.int32)])
+            at = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at[new.to_numpy(zero_copy_only=False)] = np.arange(known, len(self.known))
+        else:
+            at = place.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.slices[at] += 1
+        return at
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Number of tokens of each text."""
@@ -137,19 +154,19 @@ class Encoder:
         if not len(units):
             return np.zeros(len(column), np.int64)
         places = self.learn(units.dictionary, False)
-        run = np.concatenate([[0], np.cumsum(self.known_lengths[places][units.indices.to_numpy()])])
+        run = np.concatenate([[0], np.cumsum(self.known_lengths[places][units.indices.to_numpy()], dtype=np.int64)])
         return run[of[1:]] - run[of[:-1]]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts on end, and their offsets per text."""
         of, units = self.units(column)
         if not len(units):
-            return np.zeros(0, np.int32), np.zeros(len(column) + 1, np.int64)
+            return np.zeros(0, self.known_ids.dtype), np.zeros(len(column) + 1, np.int64)
         places = self.learn(units.dictionary, True)[units.indices.to_numpy()]
         lengths = self.known_lengths[places]
-        begins = np.concatenate([[0], np.cumsum(self.known_lengths)[:-1]])[places]
-        run = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.known_ids[0][np.arange(run[-1]) + np.repeat(begins - run[:-1], lengths)]
+        begins = (np.cumsum(self.known_lengths, dtype=np.int64) - self.known_lengths)[places]
+        run = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        ids = self.known_ids[np.arange(run[-1]) + np.repeat(begins - run[:-1], lengths)]
         return ids, run[of]
 
 
