@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,6 +164,13 @@ def bitmap(tokens: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.unpackbits(filled.view(np.uint8), bitorder="little").view(bool)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let an Arrow batch hold fewer rows than Spark's 10,000, unless the user chose a number: rows here are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def map_texts(
     docs: DataFrame,
     keep: list[Column],

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlib.llm import chat, decontaminate, fingerprints, licenses, mixing, neardup, passages, quality, shards, tokens
+from flowlib.llm.arrays import small_batches
 from flowlib.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,11 @@ BASE_LICENSES = (("under the mit license", "mit"), ("apache license version 2",
 
 def query(name: str):
     def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return build(spark, sf_dir)
+
+        QUERIES[name] = run
         return build
 
     return register

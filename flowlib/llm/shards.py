@@ -112,6 +112,7 @@ def _records(docs: DataFrame, path: str, end: int, length: int, shards_for: int,
                 flat = pa.py_buffer(np.ascontiguousarray(payload))
                 binary = pa.BinaryArray.from_buffers(pa.binary(), len(out), [None, pa.py_buffer((np.arange(len(out) + 1) * size).astype(np.int32)), flat])
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot), binary], ["shard", "number", "record"])
+        encoder(path, "ids").forget()  # the worker goes on to other work
         if check != expected:
             raise RuntimeError("documents came in another order than in the first pass; store them before writing shards")
 
