@@ -17,15 +17,6 @@ CHUNK = "_chunk"
 POSITION = "_position"
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality of all keys, null matching null; Spark still plans it as an equi-join."""
-    condition = None
-    for key in keys:
-        one = left[key].eqNullSafe(right[key])
-        condition = one if condition is None else condition & one
-    return condition
-
-
 def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on null-safe equality of ``keys``; key columns appear once."""
     renamed = right.select(*[F.col(f"`{k}`").alias(f"_r_{i}") for i, k in enumerate(keys)],

@@ -48,7 +48,7 @@ def exact_percentiles(
     """One row per group with ``wanted = {output: (column, q)}``; nulls and NaN are ignored.
 
     ``method="linear"`` interpolates between neighbours, ``"nearest"`` takes the value at the rank rounded
-    half to even. A group without any value has nulls, or is absent when it is selected by rank.
+    half to even. A group without any value has nulls. Text that is no number counts as null.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     largest, groups = sizes.agg(F.max("n"), F.count("*")).first()
@@ -56,7 +56,9 @@ def exact_percentiles(
         return _gathered(df, keys, wanted, method)
     columns = sorted({column for column, _ in wanted.values()})
     ranks = 2 * len({q for _, q in wanted.values()})
-    return _selected(df, keys, wanted, method, columns, small=groups * len(columns) * ranks <= BROADCAST_ROWS)
+    found = _selected(df, keys, wanted, method, columns, small=groups * len(columns) * ranks <= BROADCAST_ROWS)
+    # Groups without any value stay, as they do when values are gathered.
+    return join_same(sizes.select(*keys), found, keys, "left") if keys else found
 
 
 def approx_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000) -> DataFrame:
@@ -79,7 +81,7 @@ def percentiles(
 
 def _gathered(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], method: str) -> DataFrame:
     columns = sorted({column for column, _ in wanted.values()})
-    values = df.select(*keys, *[F.expr(f"cast(nanvl(cast(`{c}` as double), null) as double) as _v{i}") for i, c in enumerate(columns)])
+    values = df.select(*keys, *[F.expr(f"cast(nanvl(try_cast(`{c}` as double), null) as double) as _v{i}") for i, c in enumerate(columns)])
     if method == "linear":
         # One buffer per column serves all its percentiles.
         shares = {c: sorted({q for column, q in wanted.values() if column == c}) for c in columns}
@@ -99,9 +101,9 @@ def _selected(
     df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], method: str, columns: list[str], small: bool
 ) -> DataFrame:
     if len(columns) == 1:
-        long = df.select(*keys, F.expr(f"0 as _m"), F.expr(f"cast(`{columns[0]}` as double) as _v"))
+        long = df.select(*keys, F.expr("0 as _m"), F.expr(f"try_cast(`{columns[0]}` as double) as _v"))
     else:
-        cells = ", ".join(f"cast(`{c}` as double)" for c in columns)
+        cells = ", ".join(f"try_cast(`{c}` as double)" for c in columns)
         long = df.select(*keys, F.expr(f"posexplode(array({cells})) as (_m, _v)"))
     long = long.where("_v is not null and not isnan(_v)").withColumn("_b", magnitude_bucket("_v"))
 

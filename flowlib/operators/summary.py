@@ -36,14 +36,16 @@ def write_summary_rows(df: DataFrame, path: str) -> None:
 def upsert_summary(existing: DataFrame | None, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """History plus new rows with the last row per key; of equal versions the later frame wins.
 
-    ``version`` orders rows inside a frame. The newest row is an aggregate, combined before the shuffle.
+    ``version`` orders rows inside a frame. Of rows of one key, frame and version (or without that column) the
+    largest, column by column, stays, so the answer doesn't depend on partitioning. The newest row is an aggregate,
+    combined before the shuffle.
     """
     parts = [new.withColumn("_part", F.lit(1))]
     if existing is not None:
         parts.insert(0, existing.withColumn("_part", F.lit(0)))
     rows = union_summary_rows(parts)
     columns = [c for c in rows.columns if c not in (*keys, "_part")]
-    age = F.struct("_part", *([F.col("version")] if "version" in columns else []))
+    age = F.struct("_part", *([F.col("version")] if "version" in columns else []), *columns)
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), age).alias("_row")).select(*keys, "_row.*")
     return newest.orderBy(*order) if order else newest
 

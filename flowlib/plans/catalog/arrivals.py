@@ -44,11 +44,11 @@ def arrival_schedule(spark, sf):
 
 
 @query("tick_targets", sql="""
-SELECT event_id, elapsed_sec, least(2500, floor(CASE WHEN elapsed_sec <= 20 THEN elapsed_sec * 100 WHEN elapsed_sec <= 23 THEN 2000 WHEN elapsed_sec <= 43 THEN 2000 + (elapsed_sec - 23) * 50
+SELECT event_id, elapsed_sec, least((SELECT count(*) FROM events), floor(CASE WHEN elapsed_sec <= 20 THEN elapsed_sec * 100 WHEN elapsed_sec <= 23 THEN 2000 WHEN elapsed_sec <= 43 THEN 2000 + (elapsed_sec - 23) * 50
   ELSE 3000 + (elapsed_sec - 43) * 50 END))::BIGINT AS target_rows FROM (SELECT event_id, greatest(event_id, 1) * 0.125::DOUBLE AS elapsed_sec FROM events)""")
 def tick_targets(spark, sf):
     rows = views.table(spark, sf, "events").select("event_id")
-    return arrivals.tick_targets(rows, PLAN, F.lit(2500), 0.125, "event_id")
+    return arrivals.tick_targets(rows, PLAN, F.lit(rows.count()), 0.125, "event_id")
 
 
 @query("rate_plan_summary", sql="""

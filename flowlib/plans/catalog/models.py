@@ -10,7 +10,7 @@ from flowlib.plans.experiment import ExperimentConfig, run_experiment
 from flowlib.plans.registry import query
 from flowlib.scratch import new_path
 
-DIMENSIONS = 8
+DIMENSIONS = 64
 EMBEDDED = [f"x{i}" for i in range(DIMENSIONS)]
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SPECS = {
@@ -21,7 +21,7 @@ SPECS = {
 
 
 def embedded(spark, sf):
-    """Embeddings as flows: eight numbers with gaps, and a class."""
+    """Embeddings as flows: all their numbers with gaps, and a class."""
     cells = [F.when(F.expr(f"vec_id % 17 <> {i}"), F.col("embedding")[i].cast("double")).alias(f"x{i}") for i in range(DIMENSIONS)]
     return views.table(spark, sf, "embeddings").select(
         "vec_id", *cells, F.expr("cast(label % 2 = 1 as int)").alias("label_binary"), F.expr("concat('c', label)").alias("label")

@@ -59,15 +59,11 @@ def parse_json_flow(envelope: DataFrame, features: list[str], drop_malformed: bo
     """Typed columns from the JSON text.
 
     A text that is no JSON object gives an all-null record, which is kept unless ``drop_malformed``; a field
-    of the wrong type is null and the others stay.
+    of the wrong type, or a missing one, is null and the record stays.
     """
     schema = record_schema(features)
     if drop_malformed:
-        marked = StructType.fromDDL(schema.toDDL() + ", _malformed string")
-        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
-        parsed = envelope.select(*ENVELOPE, F.from_json("value", marked, options).alias("_r"))
-        parsed = parsed.where("_r is not null and (_r._malformed is null or _r.flow_id is not null)")
-        return parsed.select(*ENVELOPE, *[F.col(f"_r.`{f.name}`") for f in schema.fields])
+        envelope = envelope.where(F.from_json("value", "map<string,string>").isNotNull())
     return envelope.select(*ENVELOPE, F.from_json("value", schema).alias("_r")).select(*ENVELOPE, "_r.*")
 
 
