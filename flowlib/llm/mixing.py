@@ -94,9 +94,9 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     floor = low.select(F.col("source").alias("s2"), (F.shiftleft("at", HASH_BITS - 2 * LEVEL_BITS) - 1).alias("range_start"))
     source = F.col("source")
     ends = targets.join(floor, source.eqNullSafe(F.col("s2")), "left").join(last, source.eqNullSafe(F.col("s1")), "left")
-    return ends.select(
-        "source", "source_size", "target", "whole", F.coalesce("inside_last", "range_start", F.lit(-1).cast("bigint")).alias("last")
-    )
+    found = ends.select("source", "source_size", "target", "whole", F.coalesce("inside_last", "range_start", F.lit(-1).cast("bigint")).alias("last"))
+    # Stored, its size is known: while it is small the planner sends it to the documents, and no document moves.
+    return stored(found, "mix_plan")
 
 
 def size_rows(docs: DataFrame, seed: str = SEED) -> DataFrame:
