@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlib.functions.values import key_text, span_seconds
 from flowlib.operators.ordered import join_same, with_previous, with_row_number
-from flowlib.operators.percentiles import GATHER_LIMIT, exact_percentiles
+from flowlib.operators.percentiles import exact_percentiles
 from flowlib.scratch import small_side, stored
 
 # A rate plan is a short list of (rows per second, seconds) steps; a constant rate is one step of 0 seconds.
@@ -193,7 +193,7 @@ def inject_late_events(
 
 
 def emit_gap_stats(
-    emits: DataFrame, keys: list[str], emitted: str = "emit_ts", due: str = "due_ts", unique: str = "row_index", gather_limit: int = GATHER_LIMIT
+    emits: DataFrame, keys: list[str], emitted: str = "emit_ts", due: str = "due_ts", unique: str = "row_index"
 ) -> DataFrame:
     """Gaps between consecutive emits and delay against schedule per run, by nearest rank, and the actual rate."""
     narrow = emits.select(*keys, emitted, due, unique)
@@ -217,4 +217,4 @@ def emit_gap_stats(
     sums = sums.withColumn("actual_rps", F.when(F.col("actual_elapsed_sec") > 0, F.col("sent_rows") / F.col("actual_elapsed_sec")))
     wanted = {f"emit_gap_p{int(q * 100)}_ms": ("_gap", q) for q in (0.50, 0.95, 0.99)}
     wanted["tick_lag_p95_ms"] = ("_late", 0.95)
-    return join_same(sums, exact_percentiles(steps, keys, wanted, method="nearest", gather_limit=gather_limit), keys, "left")
+    return join_same(sums, exact_percentiles(steps, keys, wanted, method="nearest"), keys, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowlib.functions.text import short_run_label
 from flowlib.functions.values import DEFAULT_PHASE, in_phase, metric_phase, numeric_or_null, span_seconds
 from flowlib.operators.ordered import join_same, with_row_number
-from flowlib.operators.percentiles import GATHER_LIMIT, percentiles
+from flowlib.operators.percentiles import percentiles
 from flowlib.scratch import small_side
 
 LATENCIES = {"source": "source_to_ingest_ms", "processing": "processing_ms", "e2e": "end_to_end_ms"}
@@ -18,7 +18,6 @@ def latency_summary(
     preds: DataFrame,
     phase: str | None = "measure",
     runs: DataFrame | None = None,
-    gather_limit: int = GATHER_LIMIT,
     accuracy: int | None = None,
 ) -> DataFrame:
     """Rows, p50/p95/p99 of the three latencies, emit span and drain rate of each run in a phase.
@@ -36,7 +35,7 @@ def latency_summary(
     wanted = {
         f"artifact_{name}_p{int(q * 100)}_ms": (column, q) for name, column in LATENCIES.items() for q in (0.50, 0.95, 0.99)
     }
-    ranks = percentiles(preds.where(inside), ["run_tag"], wanted, gather_limit, accuracy)
+    ranks = percentiles(preds.where(inside), ["run_tag"], wanted, accuracy)
     rows = F.coalesce(F.col("_rows"), F.lit(0))
     wall = F.when((rows > 0) & (F.col("_span") > 0), F.col("_span"))
     status = (
@@ -55,7 +54,7 @@ def latency_summary(
     return join_same(base, ranks, ["run_tag"], "left")
 
 
-def latency_timeseries(preds: DataFrame, gather_limit: int = GATHER_LIMIT, accuracy: int | None = None) -> DataFrame:
+def latency_timeseries(preds: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Rows, rate and percentiles per run, phase (as written) and whole second since the run's first emit."""
     emitted = preds.where("emit_time is not null")
     starts = emitted.groupBy("run_tag").agg(F.min("emit_time").alias("_start"))
@@ -77,14 +76,14 @@ def latency_timeseries(preds: DataFrame, gather_limit: int = GATHER_LIMIT, accur
         "e2e_p95_ms": ("end_to_end_ms", 0.95),
         "e2e_p99_ms": ("end_to_end_ms", 0.99),
     }
-    ranks = percentiles(rows, keys, wanted, gather_limit, accuracy)
+    ranks = percentiles(rows, keys, wanted, accuracy)
     counts = counts.withColumn("throughput_rps", F.col("rows").cast("double"))
     return join_same(counts, ranks, keys, "left")
 
 
-def export_latency_timeseries(preds: DataFrame, path: str, gather_limit: int = GATHER_LIMIT) -> DataFrame:
+def export_latency_timeseries(preds: DataFrame, path: str) -> DataFrame:
     """Write the series of all runs, partitioned by run; returns the manifest: run, path, rows, status."""
-    latency_timeseries(preds, gather_limit).write.mode("overwrite").partitionBy("run_tag").parquet(path)
+    latency_timeseries(preds).write.mode("overwrite").partitionBy("run_tag").parquet(path)
     written = preds.sparkSession.read.parquet(path).groupBy("run_tag").agg(F.sum("rows").alias("rows"))
     where = F.concat(F.lit(f"{path}/run_tag="), F.col("run_tag"))
     return written.select("run_tag", where.alias("latency_timeseries_path"), "rows", F.lit("ok").alias("status"))
@@ -101,7 +100,6 @@ def latency_distribution(
     group: list[str],
     phase: str | None = DEFAULT_PHASE,
     phase_by_fault_kind: bool = False,
-    gather_limit: int = GATHER_LIMIT,
     accuracy: int | None = None,
 ) -> DataFrame:
     """End-to-end latency pooled over the repeats of each group of runs: rows, mean, range and q90/q95/q99."""
@@ -118,7 +116,7 @@ def latency_distribution(
         F.max("_ms").alias("latency_max_ms"),
     )
     wanted = {f"latency_q{int(q * 100)}_ms": ("_ms", q) for q in (0.90, 0.95, 0.99)}
-    return join_same(stats, percentiles(rows, group, wanted, gather_limit, accuracy), group, "left")
+    return join_same(stats, percentiles(rows, group, wanted, accuracy), group, "left")
 
 
 def pool_runs(frames: list[DataFrame], columns: list[str]) -> DataFrame:
@@ -138,7 +136,7 @@ def first_emit_delay(preds: DataFrame, starts: DataFrame, phase: str) -> DataFra
     return starts.join(first, "run_tag", "left").select("run_tag", delay.alias("first_emit_delay_sec"))
 
 
-def fault_phase_summary(preds: DataFrame, runs: DataFrame, gather_limit: int = GATHER_LIMIT) -> DataFrame:
+def fault_phase_summary(preds: DataFrame, runs: DataFrame) -> DataFrame:
     """Per run, p95 and rate of the phase that counts for its fault kind; only rows with a latency are counted."""
     members = small_side(runs.select("run_tag", fault_phase(F.col("fault_kind")).alias("_phase")))
     rows = join_same(preds, members, ["run_tag"], "inner").where(metric_phase(F.col("benchmark_phase")) == F.col("_phase"))
@@ -146,7 +144,7 @@ def fault_phase_summary(preds: DataFrame, runs: DataFrame, gather_limit: int = G
     span = span_seconds(F.min("emit_time"), F.max("emit_time"))
     rates = rows.groupBy("run_tag").agg(F.count("_ms").alias("_n"), span.alias("_span")).where("_n > 0")
     rates = rates.select("run_tag", F.when(F.col("_span") > 0, F.col("_n") / F.col("_span")).alias("phase_output_rps"))
-    ranks = percentiles(rows.where("_ms is not null"), ["run_tag"], {"phase_e2e_p95_ms": ("_ms", 0.95)}, gather_limit)
+    ranks = percentiles(rows.where("_ms is not null"), ["run_tag"], {"phase_e2e_p95_ms": ("_ms", 0.95)})
     return join_same(rates, ranks, ["run_tag"], "left")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlib.functions.values import apply_threshold
-from flowlib.operators.percentiles import GATHER_LIMIT, exact_percentiles
+from flowlib.operators.percentiles import exact_percentiles
 
 WEIGHT = "class_weight"
 HARD_PREDICTION = "spark_prediction"
@@ -67,13 +67,13 @@ def with_class_weight(df: DataFrame, label: str = "label_binary") -> DataFrame:
     return joined.withColumn(WEIGHT, F.coalesce(WEIGHT, F.lit(1.0)))
 
 
-def impute_values(df: DataFrame, features: list[str], strategy: str = "median", gather_limit: int = GATHER_LIMIT) -> DataFrame:
+def impute_values(df: DataFrame, features: list[str], strategy: str = "median") -> DataFrame:
     """Exact fill value of each feature as rows ``(feature, fill_value)``; 0.0 for a feature without values."""
     if strategy == "mean":
         one = df.agg(*[F.avg(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))).alias(f"f{i}") for i, c in enumerate(features)])
     elif strategy == "median":
-        renamed = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(features)])
-        one = exact_percentiles(renamed, [], {f"f{i}": (f"c{i}", 0.5) for i in range(len(features))}, gather_limit=gather_limit)
+        renamed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(features)])
+        one = exact_percentiles(renamed, [], {f"f{i}": (f"c{i}", 0.5) for i in range(len(features))})
     else:
         raise ValueError(f"impute strategy must be median or mean, got {strategy!r}")
     cells = [F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(f"f{i}"), F.lit(0.0)).alias("fill_value")) for i, c in enumerate(features)]

@@ -1,33 +1,18 @@
-"""Exact percentiles of groups of any size.
+"""Exact percentiles of groups of any size, on one path whatever the size.
 
-``percentile()`` keeps every distinct value of a group in one buffer, so it is used only after a count
-shows that the largest group is small. Beyond that, two narrow passes select the wanted ranks: value
-counts per magnitude bucket (combined before the shuffle) name the buckets that hold a wanted rank;
-only rows of those buckets, already collapsed to distinct values, are ordered. No group is gathered
-whole, and ties cost one row.
+Values are first collapsed to one counted row per distinct value, combined before the shuffle, so ties cost one row.
+The distinct values are range-partitioned by (group, column, value) and stored once with chunk and position; sums per
+chunk, one small row each, say which chunks hold a wanted rank, and only those chunks are ordered. A chunk is one
+range of the sample, so values that lie close together are spread like any others and no group is gathered whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlib.operators.ordered import join_same
-
-BUCKETS_PER_OCTAVE = 4096
-GATHER_LIMIT = 1_000_000
-BROADCAST_ROWS = 200_000
-
-
-def magnitude_bucket_sql(value: str, per_octave: int = BUCKETS_PER_OCTAVE) -> str:
-    # Infinities share the bucket of the largest numbers.
-    size = f"(floor(log2(least(abs({value}), 1.7976931348623157E308D)) * {per_octave}) + {1100 * per_octave})"
-    return f"cast(case when {value} = 0 then 0 when {value} < 0 then -{size} else {size} end as int)"
-
-
-def magnitude_bucket(value: str, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
-    """Bucket number that never falls as the named column rises; widths grow with the distance from 0."""
-    return F.expr(magnitude_bucket_sql(value, per_octave))
+from flowlib.operators.ordered import CHUNK, POSITION, in_chunks, join_same
+from flowlib.scratch import small_side
 
 
 def _rank_sql(q: float, n: str, method: str) -> tuple[str, str, str]:
@@ -38,112 +23,58 @@ def _rank_sql(q: float, n: str, method: str) -> tuple[str, str, str]:
     return f"floor{exact}", f"ceil{exact}", f"({exact} - floor{exact})"
 
 
-def exact_percentiles(
-    df: DataFrame,
-    keys: list[str],
-    wanted: dict[str, tuple[str, float]],
-    method: str = "linear",
-    gather_limit: int = GATHER_LIMIT,
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], method: str = "linear") -> DataFrame:
     """One row per group with ``wanted = {output: (column, q)}``; nulls and NaN are ignored.
 
     ``method="linear"`` interpolates between neighbours, ``"nearest"`` takes the value at the rank rounded
     half to even. A group without any value has nulls. Text that is no number counts as null.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    largest, groups = sizes.agg(F.max("n"), F.count("*")).first()
-    if (largest or 0) <= gather_limit:
-        return _gathered(df, keys, wanted, method)
-    columns = sorted({column for column, _ in wanted.values()})
-    ranks = 2 * len({q for _, q in wanted.values()})
-    found = _selected(df, keys, wanted, method, columns, small=groups * len(columns) * ranks <= BROADCAST_ROWS)
-    # Groups without any value stay, as they do when values are gathered.
-    return join_same(sizes.select(*keys), found, keys, "left") if keys else found
-
-
-def approx_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000) -> DataFrame:
-    """As :func:`exact_percentiles` from bounded sketches in one pass; ranks are off by at most ``n / accuracy``."""
-    out = [
-        F.percentile_approx(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")), q, accuracy).alias(name)
-        for name, (c, q) in wanted.items()
-    ]
-    return df.groupBy(*keys).agg(*out)
-
-
-def percentiles(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], gather_limit: int = GATHER_LIMIT, accuracy: int | None = None
-) -> DataFrame:
-    """Exact percentiles, or approximate ones when an ``accuracy`` is given."""
-    if accuracy is not None:
-        return approx_percentiles(df, keys, wanted, accuracy)
-    return exact_percentiles(df, keys, wanted, gather_limit=gather_limit)
-
-
-def _gathered(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], method: str) -> DataFrame:
     columns = sorted({column for column, _ in wanted.values()})
-    values = df.select(*keys, *[F.expr(f"cast(nanvl(try_cast(`{c}` as double), null) as double) as _v{i}") for i, c in enumerate(columns)])
-    if method == "linear":
-        # One buffer per column serves all its percentiles.
-        shares = {c: sorted({q for column, q in wanted.values() if column == c}) for c in columns}
-        arrays = [F.expr(f"percentile(_v{i}, array({', '.join(f'{q!r}D' for q in shares[c])})) as _p{i}") for i, c in enumerate(columns)]
-        picks = [F.expr(f"_p{columns.index(c)}[{shares[c].index(q)}] as `{name}`") for name, (c, q) in wanted.items()]
-        return values.groupBy(*keys).agg(*arrays).select(*keys, *picks)
-    lists = values.groupBy(*keys).agg(*[F.expr(f"array_sort(collect_list(_v{i})) as _l{i}") for i in range(len(columns))])
-    picks = []
-    for name, (c, q) in wanted.items():
-        cell = f"_l{columns.index(c)}"
-        rank, _, _ = _rank_sql(q, f"size({cell})", method)
-        picks.append(F.expr(f"get({cell}, cast({rank} as int)) as `{name}`"))
-    return lists.select(*keys, *picks)
-
-
-def _selected(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], method: str, columns: list[str], small: bool
-) -> DataFrame:
-    if len(columns) == 1:
-        long = df.select(*keys, F.expr("0 as _m"), F.expr(f"try_cast(`{columns[0]}` as double) as _v"))
-    else:
-        cells = ", ".join(f"try_cast(`{c}` as double)" for c in columns)
-        long = df.select(*keys, F.expr(f"posexplode(array({cells})) as (_m, _v)"))
-    long = long.where("_v is not null and not isnan(_v)").withColumn("_b", magnitude_bucket("_v"))
-
+    cells = ", ".join(f"nanvl(try_cast(`{c}` as double), cast(null as double))" for c in columns)
     group = [*keys, "_m"]
-    by = ", ".join(f"`{k}`" for k in group)
-    placed = long.groupBy(*group, "_b").agg(F.expr("count(*) as _c")).selectExpr(
-        *[f"`{k}`" for k in group],
-        "_b",
-        "_c",
-        f"sum(_c) over (partition by {by} order by _b rows unbounded preceding) - _c as _below",
+    # A null is kept as a row that counts nothing, so that a group without values isn't lost.
+    values = df.select(*keys, F.expr(f"posexplode(array({cells})) as (_m, _v)")).groupBy(*group, "_v").agg(F.count("_v").alias("_c"))
+    rows = in_chunks(values, group, ["_v"], "percentile_values")
+
+    names = [f"`{k}`" for k in group]
+    by = ", ".join(names)
+    chunks = rows.groupBy(*group, CHUNK).agg(F.sum("_c").alias("_c")).selectExpr(
+        *names, CHUNK, "_c",
+        f"sum(_c) over (partition by {by} order by {CHUNK} rows unbounded preceding) - _c as _base",
         f"sum(_c) over (partition by {by}) as _n",
     )
     qs = sorted({q for _, q in wanted.values()})
     ends = [r for q in qs for r in _rank_sql(q, "_n", method)[:2]]
-    hit = " or ".join(f"({r} >= _below and {r} < _below + _c)" for r in dict.fromkeys(ends))
-    targets = placed.where(hit).drop("_c")
-
-    # The target side is bounded by the counted number of groups; past the limit both sides are shuffled.
-    near = join_same(long, F.broadcast(targets) if small else targets, [*group, "_b"], "inner")
-    distinct = near.groupBy(*group, "_b", "_v").agg(F.expr("count(*) as _c"), F.expr("max(_below) as _base"), F.expr("max(_n) as _n"))
-    ordered = distinct.selectExpr(
-        *[f"`{k}`" for k in group],
-        "_v",
-        "_n",
-        "_c",
-        f"_base + sum(_c) over (partition by {by}, _b order by _v rows unbounded preceding) - _c as _below",
+    hit = " or ".join(f"({r} >= _base and {r} < _base + _c)" for r in dict.fromkeys(ends))
+    # Stored, the wanted chunks have a known size: while they are few, the values aren't shuffled again.
+    targets = small_side(chunks.where(hit).drop("_c"), "percentile_chunks")
+    ordered = join_same(rows, targets, [*group, CHUNK], "inner").selectExpr(
+        *names, "_v", "_n", "_c", f"_base + sum(_c) over (partition by {by}, {CHUNK} order by {POSITION} rows unbounded preceding) - _c as _below"
     )
     picks = []
     for i, q in enumerate(qs):
         low, high, _ = _rank_sql(q, "_n", method)
         for side, r in (("lo", low), ("hi", high)):
             picks.append(F.expr(f"max(case when {r} >= _below and {r} < _below + _c then _v end) as _{side}{i}"))
-    per_metric = ordered.groupBy(*group).agg(F.expr("max(_n) as _n"), *picks)
+    per_column = ordered.groupBy(*group).agg(F.expr("max(_n) as _n"), *picks)
     exprs = []
     for i, q in enumerate(qs):
         share = _rank_sql(q, "_n", method)[2]
         exprs.append(f"case when _lo{i} = _hi{i} then _lo{i} else _lo{i} * (1 - {share}) + _hi{i} * {share} end as _q{i}")
-    per_metric = per_metric.selectExpr(*[f"`{k}`" for k in group], *exprs)
+    out = [F.expr(f"max(case when _m = {columns.index(c)} then _q{qs.index(q)} end) as `{name}`") for name, (c, q) in wanted.items()]
+    found = per_column.selectExpr(*names, *exprs).groupBy(*keys).agg(*out)
+    return join_same(rows.select(*keys).distinct(), found, keys, "left") if keys else found
+
+
+def approx_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000) -> DataFrame:
+    """As :func:`exact_percentiles` from bounded sketches in one pass; ranks are off by at most ``n / accuracy``."""
     out = [
-        F.expr(f"max(case when _m = {columns.index(c)} then _q{qs.index(q)} end) as `{name}`")
+        F.percentile_approx(F.expr(f"nanvl(try_cast(`{c}` as double), cast(null as double))"), q, accuracy).alias(name)
         for name, (c, q) in wanted.items()
     ]
-    return per_metric.groupBy(*keys).agg(*out)
+    return df.groupBy(*keys).agg(*out)
+
+
+def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int | None = None) -> DataFrame:
+    """Exact percentiles, or approximate ones when an ``accuracy`` is given."""
+    return exact_percentiles(df, keys, wanted) if accuracy is None else approx_percentiles(df, keys, wanted, accuracy)

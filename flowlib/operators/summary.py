@@ -16,7 +16,7 @@ from flowlib.functions.values import first_numeric, metric_phase, numeric_or_nul
 from flowlib.operators.lag import backlog_summary
 from flowlib.operators.latency import fault_phase_summary, first_emit_delay, latency_distribution, latency_summary
 from flowlib.operators.ordered import join_same
-from flowlib.operators.percentiles import GATHER_LIMIT, exact_percentiles
+from flowlib.operators.percentiles import exact_percentiles
 from flowlib.operators.quality import prediction_quality
 from flowlib.operators.rules import classify_overload, evaluate_slo, recovery_status, with_overload_ratios
 
@@ -64,12 +64,12 @@ def mean_std(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return df.dropna(subset=keys).groupBy(*keys).agg(*out)
 
 
-def median_min_max(df: DataFrame, keys: list[str], metrics: list[str], gather_limit: int = GATHER_LIMIT) -> DataFrame:
+def median_min_max(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Median, range and repeat count of each metric per group; null keys are dropped."""
     rows = df.dropna(subset=keys).select(*keys, *[numeric_or_null(df, m).alias(m) for m in metrics])
     ranges = [f(m).alias(f"{m}_{name}") for m in metrics for name, f in (("min", F.min), ("max", F.max))]
     counts = rows.groupBy(*keys).agg(*ranges, F.count("*").alias("repeat_count"))
-    medians = exact_percentiles(rows, keys, {f"{m}_median": (m, 0.5) for m in metrics}, gather_limit=gather_limit)
+    medians = exact_percentiles(rows, keys, {f"{m}_median": (m, 0.5) for m in metrics})
     return join_same(counts, medians, keys, "left")
 
 

@@ -1,8 +1,9 @@
 """ROC AUC, thresholds under a false-positive budget, operating points and the best model.
 
-Scores are collapsed to one row per distinct score first, so ties, however many, cost one row. Ranks
-then come from prefix sums on two levels (score buckets, scores inside a bucket): no window ever holds
-all scores. A threshold admits or rejects a whole tie group, so it never breaks its budget.
+Scores are collapsed to one row per distinct score first, so ties, however many, cost one row. They are
+then range-partitioned and stored in chunks; ranks come from prefix sums over chunks and inside a chunk,
+so no window ever holds all scores, however close together they lie. A threshold admits or rejects a
+whole tie group, so it never breaks its budget.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlib.functions.values import apply_threshold, next_above
-from flowlib.operators.ordered import join_same
-from flowlib.operators.percentiles import magnitude_bucket_sql
+from flowlib.operators.ordered import CHUNK, POSITION, in_chunks, join_same
 from flowlib.operators.quality import rates_or_zero
 from flowlib.scratch import small_side, stored
 
@@ -20,16 +20,6 @@ from flowlib.scratch import small_side, stored
 FPR_BUDGETS = (0.01, 0.03, 0.05, 0.10)
 PRIMARY_FPR_BUDGET = 0.03
 DEFAULT_THRESHOLD = 0.5
-BUCKETS_PER_OCTAVE = 16384
-
-
-def score_bucket() -> Column:
-    """Monotone bucket of ``score``: finer towards 0 and, for scores in (0.5, 1], finer towards 1."""
-    low = magnitude_bucket_sql("score", BUCKETS_PER_OCTAVE)
-    top = 2 * 1100 * BUCKETS_PER_OCTAVE
-    high = f"{top} - {magnitude_bucket_sql('(1 - score)', BUCKETS_PER_OCTAVE)}"
-    above = f"{top} + {low}"
-    return F.expr(f"case when score <= 0.5 then {low} when score <= 1 then {high} else {above} end")
 
 
 def score_table(df: DataFrame, keys: list[str], label: str = "label_binary", score: str = "score") -> DataFrame:
@@ -37,28 +27,21 @@ def score_table(df: DataFrame, keys: list[str], label: str = "label_binary", sco
     positive = (F.col(label) == 1).cast("long")
     negative = (F.col(label) == 0).cast("long")
     rows = df.select(*keys, F.col(score).cast("double").alias("score"), positive.alias("_y"), negative.alias("_z"))
-    distinct = rows.where("score is not null and not isnan(score)").groupBy(*keys, "score").agg(
-        F.sum("_y").alias("pos"), F.sum("_z").alias("neg")
-    ).withColumn("_b", score_bucket())
-    # One text key without nulls, so that the join below and the window after it share one shuffle.
-    group = ["_g"] if keys else []
-    if keys:
-        distinct = distinct.withColumn("_g", F.to_json(F.struct(*keys)))
-    by = "_g" if keys else "1"
-    buckets = distinct.groupBy(*group, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    buckets = buckets.selectExpr(
-        *group,
-        "_b",
-        f"sum(_bn) over (partition by {by} order by _b rows unbounded preceding) - _bn as _before",
+    distinct = rows.where("score is not null and not isnan(score)").groupBy(*keys, "score").agg(F.sum("_y").alias("pos"), F.sum("_z").alias("neg"))
+    placed = in_chunks(distinct, keys, ["score"], "score_values")
+    names = [f"`{k}`" for k in keys]
+    by = ", ".join(names) or "1"
+    chunks = placed.groupBy(*keys, CHUNK).agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn")).selectExpr(
+        *names,
+        CHUNK,
+        f"sum(_bn) over (partition by {by} order by {CHUNK} rows unbounded preceding) - _bn as _before",
         f"sum(_bp) over (partition by {by}) as n_pos",
         f"sum(_bn) over (partition by {by}) as n_neg",
     )
-    inside = ", ".join([*group, "_b"])
-    below = f"_before + sum(neg) over (partition by {inside} order by score rows unbounded preceding) - neg"
-    placed = distinct.join(buckets, [*group, "_b"])
-    return placed.selectExpr(
-        *[f"`{k}`" for k in keys], "score", "pos", "neg", "n_pos", "n_neg", f"{below} as neg_below"
-    ).withColumn("neg_from", F.col("n_neg") - F.col("neg_below"))
+    inside = ", ".join([*names, CHUNK])
+    below = f"_before + sum(neg) over (partition by {inside} order by {POSITION} rows unbounded preceding) - neg"
+    joined = join_same(placed, small_side(chunks, "score_chunks"), [*keys, CHUNK], "inner")
+    return joined.selectExpr(*names, "score", "pos", "neg", "n_pos", "n_neg", f"{below} as neg_below").withColumn("neg_from", F.col("n_neg") - F.col("neg_below"))
 
 
 def _auc() -> Column:

@@ -27,8 +27,9 @@ def latency_summary(spark, sf):
 
 @query("latency_summary_selected", sql=LATENCY_SQL, floats=LATENCY_FLOATS)
 def latency_summary_selected(spark, sf):
-    """The same answer by the rank selection that large groups take."""
-    return latency.latency_summary(views.preds(spark, sf), gather_limit=0)
+    """The same answer from latencies that come as text."""
+    rows = views.preds(spark, sf)
+    return latency.latency_summary(rows.withColumns({c: F.col(c).cast("string") for c in latency.LATENCIES.values()}))
 
 
 @query("latency_timeseries", sql="""
@@ -170,7 +171,7 @@ SELECT lang, max(n_chars) FILTER (rn = round_even((c - 1) * 0.5::DOUBLE, 0) + 1)
 FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS rn, count(*) OVER (PARTITION BY lang) AS c FROM documents) GROUP BY 1""")
 def nearest_rank_percentiles(spark, sf):
     rows = views.table(spark, sf, "documents")
-    return exact_percentiles(rows, ["lang"], {"p50": ("n_chars", 0.5), "p95": ("n_chars", 0.95)}, method="nearest", gather_limit=0)
+    return exact_percentiles(rows, ["lang"], {"p50": ("n_chars", 0.5), "p95": ("n_chars", 0.95)}, method="nearest")
 
 
 @query("max_offset_per_partition", sql="""

@@ -59,17 +59,19 @@ def test_row_numbers_broadcast_chunks_only(spark):
 
 
 def test_selected_percentiles_never_gather_a_group(spark):
-    df = exact_percentiles(views.preds(spark, SF), ["run_tag"], {"p": ("end_to_end_ms", 0.95)}, gather_limit=0)
+    df = exact_percentiles(views.preds(spark, SF), ["run_tag"], {"p": ("end_to_end_ms", 0.95)})
     text = plan(df)
     assert "percentile(" not in text and "collect_list" not in text and "ObjectHashAggregate" not in text
-    # Ordered windows run inside (group, bucket) or over bucket counts; the counted target side is broadcast.
+    # Ordered windows run inside (group, chunk); the stored target side is broadcast.
     assert "BroadcastHashJoin" in text and "SinglePartition" not in text
+    ordered = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[(_position[^\]]*)\]", text)
+    assert ordered and all("_chunk" in keys for keys, _ in ordered)
 
 
-def test_scores_are_ordered_inside_buckets(spark):
+def test_scores_are_ordered_inside_chunks(spark):
     text = plan(roc_auc(views.scored(spark, SF), ["model"]))
-    ordered = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[(score[^\]]*)\]", text)
-    assert ordered and all("_b" in keys for keys, _ in ordered)
+    ordered = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[([^\]]*)\]", text)
+    assert ordered and all("_chunk" in keys and order.startswith("_position") for keys, order in ordered)
 
 
 def test_label_join_is_one_equi_join(spark):

@@ -27,16 +27,15 @@ def preds(spark):
     return spark.createDataFrame(data, PREDS)
 
 
-@pytest.mark.parametrize("gather_limit", [0, 10**6])
-def test_latency_summary(spark, preds, gather_limit):
+def test_latency_summary(spark, preds):
     runs = spark.createDataFrame([("a",), ("flat",), ("gone",), ("cold",)], "run_tag string")
-    got = {r.run_tag: r for r in latency.latency_summary(preds, "measure", runs, gather_limit).collect()}
+    got = {r.run_tag: r for r in latency.latency_summary(preds, "measure", runs).collect()}
     a = got["a"]
     assert (a.latency_status, a.rows_total, a.measure_wall_clock_sec, a.drain_rps) == ("ok", 3, 4.0, 0.75)
     assert (a.artifact_e2e_p50_ms, a.artifact_processing_p50_ms) == (20.0, 3.0) and a.artifact_e2e_p95_ms == pytest.approx(29.0)
     assert (got["flat"].measure_wall_clock_sec, got["flat"].drain_rps, got["flat"].rows_total) == (None, None, 2)
     assert (got["gone"].latency_status, got["gone"].artifact_rows_total, got["gone"].rows_total) == ("latency_missing", 0, None)
-    only_warm = latency.latency_summary(preds.where("benchmark_phase = 'warmup'"), "measure", gather_limit=gather_limit).first()
+    only_warm = latency.latency_summary(preds.where("benchmark_phase = 'warmup'"), "measure").first()
     assert (only_warm.latency_status, only_warm.artifact_e2e_p50_ms) == ("no_predictions", None)
 
 
