@@ -43,11 +43,17 @@ def hash_split(spark, sf):
     return rows.groupBy("split").agg(F.count("*").alias("rows"), F.sum("l_linenumber").alias("lines"))
 
 
-@query("hash_split_fast")
+@query("hash_split_fast", sql="""
+SELECT count(*) AS rows, sum(l_linenumber)::BIGINT AS lines, 3::BIGINT AS splits, true AS near_shares FROM flows_li""")
 def hash_split_fast(spark, sf):
-    """No SQL twin: Spark's own 64-bit hash."""
-    rows = views.flows_li(spark, sf).withColumn("split", split.pool_split_fast(*[c for c in views.flows_li(spark, sf).columns]))
-    return rows.groupBy("split").agg(F.count("*").alias("rows"), F.sum("l_linenumber").alias("lines"))
+    """Spark's own 64-bit hash: no row is lost, and each split is within five standard errors of its share."""
+    rows = views.flows_li(spark, sf)
+    parts = rows.withColumn("split", split.pool_split_fast(*rows.columns)).groupBy("split").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("l"))
+    shares = parts.withColumn("share", F.expr("case split when 'train_fit' then 0.7D else 0.15D end")).agg(
+        F.sum("n").alias("rows"), F.sum("l").alias("lines"), F.count("*").alias("splits"), F.collect_list(F.struct("n", "share")).alias("parts")
+    )
+    near = F.forall("parts", lambda p: F.abs(p["n"] - p["share"] * F.col("rows")) <= 5 * F.sqrt(F.col("rows") * p["share"] * (1 - p["share"])))
+    return shares.select("rows", "lines", "splits", near.alias("near_shares"))
 
 
 @query("temporal_split", sql=f"SELECT flow_id, split FROM ({_ASSIGNED}) AS a")

@@ -190,13 +190,17 @@ def input_sentinel(spark, sf):
     return sentinel(ends).drop("timestamp", "label", "label_binary")
 
 
-@query("stream_progress_lag")
+@query("stream_progress_lag", sql="SELECT count(*) AS input_rows, true AS every_batch, true AS timed_batches FROM timed")
 def stream_progress_lag(spark, sf):
-    """No SQL twin: rows per micro-batch of a running query, with wall-clock durations."""
-    path, checkpoint = new_path(spark, "watched"), new_path(spark, "watched-checkpoint")
+    """Progress of a running query, logged while it runs: every micro-batch with all its rows."""
+    path, checkpoint, progress = (new_path(spark, n) for n in ("watched", "watched-checkpoint", "watched-progress"))
     records = source.parse_json_flow(_stream(spark, sf, per_trigger=1), FEATURES)
-    done = runs.drain(runs.table_writer(records, path, checkpoint, "watched"))
-    return runs.progress_rows(spark, done)
+    with runs.logged_progress(spark, progress):
+        runs.drain(runs.table_writer(records, path, checkpoint, "watched"))
+    seen = spark.read.schema(runs.PROGRESS_SCHEMA).parquet(progress).where("query_name = 'watched'")
+    return seen.agg(
+        F.sum("input_rows").alias("input_rows"), (F.count_distinct("batch_id") == F.max("batch_id") + 1).alias("every_batch"), (F.min("batch_ms") >= 0).alias("timed_batches")
+    )
 
 
 @query("stream_label_join", sql="SELECT p.event_id, p.kafka_partition, p.kafka_offset, f.label_binary, f.label FROM preds p JOIN flows f USING (kafka_partition, kafka_offset)")

@@ -202,7 +202,7 @@ def envelope_files(spark: SparkSession, sf: str) -> str:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _ENVELOPE_PATHS:
         path = new_path(spark, "envelope")
-        envelope(spark, sf).drop("event_id").repartition(4, "kafka_offset").write.parquet(path)
+        envelope(spark, sf).drop("event_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kafka_offset").write.parquet(path)
         _ENVELOPE_PATHS[key] = path
     return _ENVELOPE_PATHS[key]
 

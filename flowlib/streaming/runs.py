@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import threading
 from collections import deque
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,31 +111,42 @@ def _progress_cells(report) -> list[tuple]:
 
 
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per source and reported micro-batch (Spark keeps the last hundred reports)."""
-    return spark.createDataFrame([cells for report in query.recentProgress for cells in _progress_cells(report)], PROGRESS_SCHEMA)
+    """One row per source and micro-batch of a short run.
+
+    Spark keeps a limited number of reports; a run that has reached it may have lost some, which is an error here.
+    Use :func:`logged_progress` for such runs.
+    """
+    reports, kept = query.recentProgress, int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    if len(reports) >= kept:
+        raise RuntimeError(f"only the last {kept} progress reports are kept: log them while the query runs")
+    return spark.createDataFrame([cells for report in reports for cells in _progress_cells(report)], PROGRESS_SCHEMA)
 
 
 class ProgressLog(StreamingQueryListener):
     """Progress of all queries of a session while they run; ``flush`` appends what has come in to a table.
 
-    Register with ``spark.streams.addListener``. A report is one short row per source, and ``flush`` empties
-    the buffer, so it stays small however long a query runs.
+    Register with ``spark.streams.addListener``. A report is one short row per source. With a session and a path the
+    log flushes by itself at ``limit`` rows, so what it holds is bounded however long a query runs.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, session: SparkSession | None = None, path: str | None = None, limit: int = 1000) -> None:
         self._rows: deque[tuple] = deque()
+        self._session, self._path, self._limit = session, path, limit
+        self.ended = threading.Event()
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         self._rows.extend(_progress_cells(event.progress))
+        if self._path and len(self._rows) >= self._limit:
+            self.flush(self._session, self._path)
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
-        pass
+        self.ended.set()
 
     def flush(self, spark: SparkSession, path: str) -> int:
         """Append the buffered rows to ``path``; the number of rows written."""
@@ -142,6 +156,21 @@ class ProgressLog(StreamingQueryListener):
         return len(taken)
 
 
+@contextlib.contextmanager
+def logged_progress(spark: SparkSession, path: str, limit: int = 1000) -> Iterator[ProgressLog]:
+    """Log to ``path`` every progress report of the one query that starts and ends inside the block."""
+    log = ProgressLog(spark, path, limit)
+    spark.streams.addListener(log)
+    try:
+        yield log
+        # Reports arrive in order and late: the end of the query is the last of them.
+        if not log.ended.wait(60):
+            raise TimeoutError("the end of the query was not reported")
+    finally:
+        spark.streams.removeListener(log)
+        log.flush(spark, path)
+
+
 def lag_samples_from_progress(progress: DataFrame, run_tag: str, topic: str, phase: str = "measure") -> DataFrame:
     """Backlog samples: rows available less rows taken, from offsets ``{topic: {partition: offset}}`` of a Kafka source."""
     kind = "map<string,map<string,bigint>>"
