@@ -9,6 +9,7 @@ from flowlib.functions.values import collector_phase
 from flowlib.sources.tables import artifact_frame
 
 OFFSET_KEYS = ["kafka_partition", "kafka_offset"]
+SPREAD = "_spread"
 
 
 def semi_join_required_keys(inputs: DataFrame, preds: DataFrame, run_tag: str | None = None) -> DataFrame:
@@ -27,18 +28,19 @@ def join_labels_by_offset(preds: DataFrame, inputs: DataFrame, run_tag: str | No
     """Every prediction (repeats included) with the label of its input record, null where there is none.
 
     (partition, offset) names one input record, so the join key is never hot. Predictions without an
-    offset match nothing and skip the shuffle, since they would all hash to one task.
+    offset match nothing; a hash of the row spreads them, since their null keys would all go to one task.
     """
     labels = inputs
     if run_tag is not None and "replay_run_tag" in inputs.columns:
         labels = labels.where(F.coalesce("replay_run_tag", F.lit("")) == run_tag)
     if "is_control_record" in inputs.columns:
         labels = labels.where(F.coalesce("is_control_record", F.lit(0)) == 0)
-    labels = labels.select(*OFFSET_KEYS, "label_binary", "label")
+    labels = labels.select(*OFFSET_KEYS, F.lit(0).cast("bigint").alias(SPREAD), "label_binary", "label")
     bare = preds.drop("label_binary", "label")
     placed = F.col("kafka_partition").isNotNull() & F.col("kafka_offset").isNotNull()
-    joined = bare.where(placed).join(labels, OFFSET_KEYS, "left").select(*bare.columns, "label_binary", "label")
-    return joined.unionByName(bare.where(~placed), allowMissingColumns=True)
+    cells = [F.col(f"`{c}`") for c, kind in bare.dtypes if "map<" not in kind]
+    spread = bare.withColumn(SPREAD, F.when(placed, F.lit(0).cast("bigint")).otherwise(F.xxhash64(*cells)))
+    return spread.join(labels, [*OFFSET_KEYS, SPREAD], "left").select(*[F.col(f"`{c}`") for c in bare.columns], "label_binary", "label")
 
 
 def collect_artifact(preds: DataFrame, inputs: DataFrame, run_tag: str, phases: list[str]) -> DataFrame:

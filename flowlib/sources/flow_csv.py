@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import re
-from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,6 @@ from flowlib.functions.text import CSV_NULL_CELLS
 
 META_COLUMNS = ("timestamp", "label", "label_norm", "label_binary", "source_file")
 SOURCE_FILE = "source_file"
-HEADER_READERS = 8
 
 
 def source_name():
@@ -39,15 +37,29 @@ def _plain(uri: str) -> str:
     return re.sub(r"^file:/+", "file:/", unquote(uri))
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> list[str]:
-    reader = spark.read.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return sorted(_plain(f) for f in reader.load(path).inputFiles())
+def csv_layouts(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """One row per distinct layout: ``latin`` (some line is no valid UTF-8), ``sample`` (a file with the header) and its ``files``.
 
-
-def non_utf8_files(spark: SparkSession, files: list[str]) -> set[str]:
-    """Files holding bytes that are no valid UTF-8 (one pass; the result is at most the file list)."""
-    text = spark.read.text(files).where(~F.is_valid_utf8("value"))
-    return {_plain(r[0]) for r in text.select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    One pass over the text, whatever the number of files: a file's header is its first line that isn't blank, in the
+    split that begins the file. A capture has the header of its first part that has one (Spark may write an empty
+    part), and is Latin-1 as a whole if any of its parts is.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    lines = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value",
+    )
+    begins = (F.col("start") == 0) & (F.trim("value") != "")
+    files = lines.groupBy("file").agg(
+        F.min(F.when(begins, F.struct("at", F.md5("value").alias("header")))).alias("first"), F.bool_or(~F.is_valid_utf8("value")).alias("latin")
+    )
+    # A capture is a file, or the folder named .csv whose part a file is.
+    capture = F.coalesce(F.nullif(F.regexp_extract("file", r"^(.*?\.csv)(?:/|$)", 1), F.lit("")), F.col("file"))
+    named = F.when(F.col("first").isNotNull(), F.col("file"))
+    captures = files.groupBy(capture.alias("capture")).agg(
+        F.min_by("first.header", named).alias("header"), F.min(named).alias("sample"), F.bool_or("latin").alias("latin"), F.collect_list("file").alias("files")
+    )
+    return captures.where("header is not null").groupBy("header", "latin").agg(F.min("sample").alias("sample"), F.flatten(F.collect_list("files")).alias("files"))
 
 
 def union_schemas(frames: list[DataFrame]) -> DataFrame:
@@ -55,49 +67,22 @@ def union_schemas(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _capture(file: str) -> str:
-    """Capture a file belongs to: itself, or the ``.csv`` folder whose part it is."""
-    parts = file.split("/")
-    for i, part in enumerate(parts):
-        if part.endswith(".csv"):
-            return "/".join(parts[: i + 1])
-    return file
-
-
 def scan_flow_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """All CSV files under ``path`` as text columns with ``timestamp``, ``label`` and ``source_file``.
 
-    One header line per capture is read while planning. Captures sharing a header and an encoding form one
-    scan, so the plan grows with the number of layouts, not of files; a part whose header differs from its
-    capture's fails the scan. Without ``encoding``, captures that are no valid UTF-8 are read as Latin-1,
-    which takes one extra pass over the text.
+    One pass over the text finds the layouts; captures sharing a header and an encoding form one scan, so plan
+    and jobs grow with the number of layouts, not of files. A part whose header differs from its capture's fails
+    the scan. Without ``encoding``, captures that are no valid UTF-8 are read as Latin-1.
     """
-    files = list_files(spark, path)
-    if not files:
-        raise FileNotFoundError(f"no CSV files under {path}")
-    latin = set() if encoding else {_capture(f) for f in non_utf8_files(spark, files)}
-    captures: dict[str, list[str]] = {}
-    for file in files:
-        captures.setdefault(_capture(file), []).append(file)
-
-    def layout(capture: str) -> tuple:
-        charset = encoding or ("ISO-8859-1" if capture in latin else "UTF-8")
-        # Spark may write an empty first part without a header.
-        for file in captures[capture]:
-            header = tuple(spark.read.option("header", "true").option("encoding", charset).csv(file).columns)
-            if header:
-                return header, charset
-        return (), charset
-
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        layouts = dict(zip(captures, pool.map(layout, captures)))
     groups: dict[tuple, list[str]] = {}
-    for capture, members in captures.items():
-        groups.setdefault(layouts[capture], []).extend(members)
+    for row in csv_layouts(spark, path).collect():
+        charset = encoding or ("ISO-8859-1" if row["latin"] else "UTF-8")
+        header = tuple(spark.read.option("header", "true").option("encoding", charset).csv(_plain(row["sample"])).columns)
+        groups.setdefault((header, charset), []).extend(sorted(_plain(f) for f in row["files"]))
+    if not groups:
+        raise FileNotFoundError(f"no CSV files with a header under {path}")
     frames = []
     for (header, charset), members in groups.items():
-        if not header:
-            continue
         schema = StructType([StructField(n, StringType()) for n in header])
         reader = spark.read.schema(schema).option("header", "true").option("enforceSchema", "false")
         raw = reader.option("encoding", charset).csv(members).select("*", source_name().alias("_file"))

@@ -63,6 +63,20 @@ def test_parts_of_one_capture_share_its_header(spark, tmp_path):
         flow_csv.scan_flow_csv(spark, str(tmp_path)).collect()
 
 
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    counts = []
+    for n in (40, 80):
+        folder = tmp_path / f"files-{n}"
+        folder.mkdir()
+        for i in range(n):
+            (folder / f"day-{i:02}.csv").write_text(f"\nTimestamp,Label,x\n14/02/2018 08:31:01,Benign,{i}\n")
+        spark.sparkContext.setJobGroup(f"scan-{n}", "scan")
+        raw = flow_csv.scan_flow_csv(spark, str(folder))
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"scan-{n}")))
+        assert raw.count() == n and raw.select("source_file").distinct().count() == n
+    assert counts[0] == counts[1]
+
+
 def test_clean_rows(spark, raw_dir, mapping):
     got = clean.clean_flows(flow_csv.scan_flow_csv(spark, raw_dir), mapping)
     assert got.columns == ["timestamp", "label", "label_norm", "label_binary", "Alpha", "Flow Byts/s", "Zeta", "source_file"]
