@@ -28,19 +28,19 @@ def score_table(df: DataFrame, keys: list[str], label: str = "label_binary", sco
     negative = (F.col(label) == 0).cast("long")
     rows = df.select(*keys, F.col(score).cast("double").alias("score"), positive.alias("_y"), negative.alias("_z"))
     distinct = rows.where("score is not null and not isnan(score)").groupBy(*keys, "score").agg(F.sum("_y").alias("pos"), F.sum("_z").alias("neg"))
-    placed = in_chunks(distinct, keys, ["score"], "score_values")
     names = [f"`{k}`" for k in keys]
     by = ", ".join(names) or "1"
-    chunks = placed.groupBy(*keys, CHUNK).agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn")).selectExpr(
-        *names,
-        CHUNK,
+    # One key of group and chunk, null only inside, so that the join below and the window after it share one shuffle.
+    at = F.struct(*keys, CHUNK).alias("_at")
+    placed = in_chunks(distinct, keys, ["score"], "score_values").select("*", at)
+    chunks = placed.groupBy(*keys, CHUNK).agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn")).select("*", at).selectExpr(
+        "_at",
         f"sum(_bn) over (partition by {by} order by {CHUNK} rows unbounded preceding) - _bn as _before",
         f"sum(_bp) over (partition by {by}) as n_pos",
         f"sum(_bn) over (partition by {by}) as n_neg",
     )
-    inside = ", ".join([*names, CHUNK])
-    below = f"_before + sum(neg) over (partition by {inside} order by {POSITION} rows unbounded preceding) - neg"
-    joined = join_same(placed, small_side(chunks, "score_chunks"), [*keys, CHUNK], "inner")
+    below = f"_before + sum(neg) over (partition by _at order by {POSITION} rows unbounded preceding) - neg"
+    joined = placed.join(small_side(chunks, "score_chunks"), "_at")
     return joined.selectExpr(*names, "score", "pos", "neg", "n_pos", "n_neg", f"{below} as neg_below").withColumn("neg_from", F.col("n_neg") - F.col("neg_below"))
 
 
