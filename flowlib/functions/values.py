@@ -17,13 +17,30 @@ DEFAULT_PHASE = "measure"
 PHI = 2.0**-53 * (1.0 + 2.0**-52)
 
 
-def parse_timestamp(text: Column) -> Column:
-    """``d/M/yyyy H:m:s``, then ``yyyy-M-d H:m:s``, then ISO text; null when nothing fits."""
+# Shape of a cell and the patterns that can fit it, in order. Ambiguous dates without seconds are month first.
+FREE_FORMS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy H:m:s", "M/d/yyyy H:m", "d/M/yyyy H:m", "M/d/yyyy h:m:s a", "M/d/yyyy h:m a", "M/d/yyyy", "d/M/yyyy"),
+    r"^\d{4}/": ("yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d"),
+    r"^\d{1,2} [A-Za-z]{3} ": ("d MMM yyyy H:m:s", "d MMM yyyy H:m", "d MMM yyyy"),
+    r"^[A-Za-z]{3} \d": ("MMM d, yyyy H:m:s", "MMM d, yyyy H:m", "MMM d, yyyy"),
+}
+
+
+def parse_timestamp(text: Column, free_forms: dict[str, tuple[str, ...]] = FREE_FORMS) -> Column:
+    """``d/M/yyyy H:m:s``, then ``yyyy-M-d H:m:s``, then ISO text, then ``free_forms``; null when nothing fits.
+
+    A pattern is tried only on cells of its shape: a cell that fails one costs an exception each.
+    """
     cell = blank_to_null(text, NULL_TIMESTAMP_WORDS)
+
+    def tried(shape: str, *patterns: str) -> Column:
+        return F.when(cell.rlike(shape), F.coalesce(*[F.try_to_timestamp(cell, F.lit(p)) for p in patterns]))
+
     return F.coalesce(
-        F.try_to_timestamp(cell, F.lit("d/M/yyyy H:m:s")),
-        F.try_to_timestamp(cell, F.lit("yyyy-M-d H:m:s")),
+        tried(r"^\d+/\d+/", "d/M/yyyy H:m:s"),
+        tried(r"^\d+-\d+-\d+ ", "yyyy-M-d H:m:s"),
         F.try_to_timestamp(cell),
+        *[tried(shape, *patterns) for shape, patterns in free_forms.items()],
     )
 
 

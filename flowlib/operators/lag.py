@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from flowlib.functions.values import DEFAULT_PHASE, in_phase
 from flowlib.operators.ordered import join_same, with_previous
-from flowlib.scratch import small_side
 
 REPLAY_END = "measure_replay_end"
 
@@ -20,14 +19,26 @@ def max_offset_per_partition(preds: DataFrame, phase: str | None = DEFAULT_PHASE
     return rows.groupBy(*(keys or []), "kafka_partition").agg(F.max("_o").alias("max_offset"))
 
 
-def offset_lag(preds: DataFrame, watermarks: DataFrame, phase: str | None = DEFAULT_PHASE, control_tail_records: int = 0) -> DataFrame:
-    """Lag at the end of a run over the partitions that have predictions; ``watermarks(topic_partition, low, high)``."""
-    tail = max(int(control_tail_records), 0)
-    seen = max_offset_per_partition(preds, phase).join(watermarks, F.col("kafka_partition") == F.col("topic_partition"), "left")
-    raw = F.coalesce(F.sum(F.greatest(F.col("high") - 1 - F.col("max_offset"), F.lit(0))), F.lit(0))
-    out = seen.agg(raw.alias("_raw"), F.count("*").alias("kafka_lag_partitions"), F.max("high").alias("kafka_high_watermark_max"))
+def offset_lag(
+    preds: DataFrame, watermarks: DataFrame, phase: str | None = DEFAULT_PHASE, control_tail_records: int = 0, keys: list[str] | None = None
+) -> DataFrame:
+    """Lag at the end of a run over the partitions that have predictions; ``watermarks(topic_partition, low, high)``.
+
+    With ``keys`` (such as ``run_tag``), which both sides then carry, there is one row per group of the watermarks, all
+    groups in one pass; a group without predictions is ``artifact_offsets_missing``.
+    """
+    keys, tail = keys or [], max(int(control_tail_records), 0)
+    seen = max_offset_per_partition(preds, phase, keys).withColumnRenamed("kafka_partition", "topic_partition")
+    # A full join: groups without predictions stay, and so do predictions on partitions the watermarks lack.
+    both = watermarks.select(*keys, "topic_partition", "high").join(seen, [*keys, "topic_partition"], "full")
+    done = F.col("max_offset").isNotNull()
+    raw = F.coalesce(F.sum(F.when(done, F.greatest(F.col("high") - 1 - F.col("max_offset"), F.lit(0)))), F.lit(0))
+    out = both.groupBy(*keys).agg(
+        raw.alias("_raw"), F.count_if(done).alias("kafka_lag_partitions"), F.max(F.when(done, F.col("high"))).alias("kafka_high_watermark_max")
+    )
     none = F.col("kafka_lag_partitions") == 0
     return out.select(
+        *keys,
         F.when(none, F.lit("artifact_offsets_missing")).otherwise(F.lit("ok")).alias("kafka_lag_status"),
         F.when(~none, F.greatest(F.col("_raw") - tail, F.lit(0))).alias("kafka_lag_records_end"),
         F.when(~none, F.col("_raw")).alias("kafka_lag_records_raw_end"),
@@ -37,12 +48,16 @@ def offset_lag(preds: DataFrame, watermarks: DataFrame, phase: str | None = DEFA
     )
 
 
-def sampler_lag(preds: DataFrame, watermarks: DataFrame, control_tail_records: int = 0) -> DataFrame:
-    """Lag over all topic partitions; a partition without predictions counts from its low watermark."""
-    done = max_offset_per_partition(preds, phase=None)
-    all_parts = watermarks.join(done, F.col("kafka_partition") == F.col("topic_partition"), "left")
+def sampler_lag(preds: DataFrame, watermarks: DataFrame, control_tail_records: int = 0, keys: list[str] | None = None) -> DataFrame:
+    """Lag over all topic partitions; a partition without predictions counts from its low watermark.
+
+    With ``keys``, which both sides then carry, one row per group of the watermarks.
+    """
+    keys = keys or []
+    done = max_offset_per_partition(preds, None, keys).withColumnRenamed("kafka_partition", "topic_partition")
+    all_parts = join_same(watermarks, done, [*keys, "topic_partition"], "left")
     processed = F.coalesce(F.col("max_offset"), F.col("low") - 1)
-    out = all_parts.agg(
+    out = all_parts.groupBy(*keys).agg(
         F.coalesce(F.sum(F.greatest(F.col("high") - (processed + 1), F.lit(0))), F.lit(0)).alias("raw_lag_records"),
         F.coalesce(F.max("high"), F.lit(0)).alias("high_watermark_max"),
         F.coalesce(F.max(processed), F.lit(-1)).alias("processed_offset_max"),
@@ -84,7 +99,7 @@ def lag_summary(samples: DataFrame) -> DataFrame:
 
 def lag_clear_seconds(samples: DataFrame) -> DataFrame:
     """Seconds from the end of input to the first empty sample; 0 if already empty, null if never."""
-    ends = small_side(replay_end(samples))
+    ends = replay_end(samples)
     placed = join_same(measure_samples(samples), ends, ["run_tag"], "inner")
     empty = (F.col("ts_epoch_ms") >= F.col("end_ms")) & (F.col("lag_records") <= 0)
     cleared = placed.groupBy("run_tag").agg(F.min(F.when(empty, F.col("ts_epoch_ms"))).alias("_cleared"))
@@ -118,4 +133,4 @@ def rebase_lag_series(samples: DataFrame) -> DataFrame:
     ).dropna(subset=["_ms", "value"])
     starts = rows.groupBy("run_tag").agg(F.min("_ms").alias("_start"))
     second = F.floor((F.col("_ms") - F.col("_start")) / 1000.0)
-    return join_same(rows, small_side(starts), ["run_tag"], "inner").select("run_tag", second.alias("second"), "value")
+    return join_same(rows, starts, ["run_tag"], "inner").select("run_tag", second.alias("second"), "value")

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from flowlib.functions.text import format_fixed, format_mean_std, mode_label
 from flowlib.functions.values import first_numeric, metric_phase, numeric_or_null
-from flowlib.operators.lag import backlog_summary
+from flowlib.operators.arrivals import emit_gap_stats
+from flowlib.operators.lag import backlog_summary, offset_lag
 from flowlib.operators.latency import fault_phase_summary, first_emit_delay, latency_distribution, latency_summary
 from flowlib.operators.ordered import join_same
 from flowlib.operators.percentiles import exact_percentiles
-from flowlib.operators.quality import prediction_quality
-from flowlib.operators.rules import classify_overload, evaluate_slo, recovery_status, with_overload_ratios
+from flowlib.operators.quality import prediction_quality, row_barrier
+from flowlib.operators.rules import classify_overload, drain_barrier, evaluate_slo, recovery_status, source_stability, with_overload_ratios
 
 QUALITY_FIELDS = ("quality_status", "precision", "recall", "f1", "fpr", "fnr")
 DISTRIBUTION_FIELDS = ("avg", "min", "max", "q90", "q95", "q99")
@@ -79,13 +80,33 @@ def join_phase_summary(runs: DataFrame, phase_summary: DataFrame) -> DataFrame:
 
 
 def run_summary(
-    preds: DataFrame, samples: DataFrame, runs: DataFrame, phase: str = "measure", limits=None, target_rps: str = "target_rps"
+    preds: DataFrame,
+    samples: DataFrame,
+    runs: DataFrame,
+    phase: str = "measure",
+    limits=None,
+    target_rps: str = "target_rps",
+    watermarks: DataFrame | None = None,
+    expected: DataFrame | None = None,
+    emits: DataFrame | None = None,
+    control_tail_records: int = 0,
 ) -> DataFrame:
-    """One wide row per run: latency, quality, backlog, service level and overload verdict."""
+    """One wide row per run: latency, quality, backlog, service level and overload verdict.
+
+    ``watermarks(run_tag, topic_partition, low, high)`` adds the lag at the end and the drain barrier, ``expected(run_tag,
+    phase, expected)`` the row barrier of each phase it names, and ``emits(run_tag, emit_ts, due_ts, row_index)`` the pace
+    of the source, whose instability then is a reason of failure.
+    """
     wide = join_same(runs, latency_summary(preds, phase, runs), ["run_tag"], "left")
     quality = prediction_quality(preds, phase, runs).select("run_tag", *QUALITY_FIELDS)
     wide = join_same(wide, quality, ["run_tag"], "left")
     wide = join_same(wide, backlog_summary(samples), ["run_tag"], "left")
+    if watermarks is not None:
+        wide = drain_barrier(join_same(wide, offset_lag(preds, watermarks, phase, control_tail_records, ["run_tag"]), ["run_tag"], "left"))
+    if expected is not None:
+        wide = join_same(wide, barrier_columns(row_barrier(preds, expected)), ["run_tag"], "left")
+    if emits is not None:
+        wide = join_same(wide, source_columns(emits, runs, target_rps), ["run_tag"], "left")
     judged = evaluate_slo(wide, target_rps=target_rps, **({"limits": limits} if limits else {}))
     judged = with_overload_ratios(judged, target_rps)
     verdict = classify_overload(F.col("drain_throughput_ratio"), F.col("p95_e2e_ms"), F.col("kafka_lag_peak_ratio"))
@@ -93,6 +114,36 @@ def run_summary(
     return judged.withColumns({"degradation_status": verdict, "status": status})
 
 
+def barrier_columns(barrier: DataFrame, phases: tuple[str, ...] = ("warmup", "measure")) -> DataFrame:
+    """Row barriers of a run side by side: expected and actual rows and status of each phase; null for a phase not expected."""
+    names = {"expected": "rows_expected", "actual": "rows_actual", "status": "barrier_status"}
+    cells = [
+        F.max(F.when(F.col("phase") == phase, F.col(column))).alias(f"{phase}_artifact_{name}") for phase in phases for column, name in names.items()
+    ]
+    return barrier.groupBy("run_tag").agg(*cells)
+
+
+def source_columns(emits: DataFrame, runs: DataFrame, target_rps: str = "target_rps") -> DataFrame:
+    """Pace of the source of each run, and whether it was ``ok`` or ``unstable`` and why."""
+    names = {
+        "actual_rps": "replay_actual_rps",
+        "actual_elapsed_sec": "replay_actual_elapsed_sec",
+        "emit_gap_p95_ms": "replay_emit_gap_p95_ms",
+        "emit_gap_p99_ms": "replay_emit_gap_p99_ms",
+        "emit_gap_max_ms": "replay_emit_gap_max_ms",
+        "tick_lag_p95_ms": "replay_tick_lag_p95_ms",
+        "tick_lag_max_ms": "replay_tick_lag_max_ms",
+    }
+    paced = emit_gap_stats(emits, ["run_tag"]).select("run_tag", *[F.col(c).alias(n) for c, n in names.items()])
+    targets = runs.select("run_tag", numeric_or_null(runs, target_rps).alias("replay_target_rps"))
+    both = join_same(paced, targets, ["run_tag"], "left")
+    reason = source_stability(
+        F.col("replay_target_rps"), F.col("replay_actual_rps"), F.col("replay_emit_gap_max_ms"), F.col("replay_tick_lag_max_ms"), F.lit(0)
+    )
+    both = both.withColumn("replay_failure_reason", reason)
+    return both.withColumn("replay_status", F.when(F.col("replay_failure_reason") == "", F.lit("ok")).otherwise(F.lit("unstable")))
+
+
 def model_feature_run_summary(preds: DataFrame, samples: DataFrame, runs: DataFrame, phase: str = "measure") -> DataFrame:
     """One row per run of a model and feature set: latency, quality and backlog under the names its report reads."""
     names = {
@@ -292,21 +343,16 @@ CONFIGURATION_DEFAULTS = {
     "shuffle_partitions": "4",
     "topic_partitions": "1",
 }
-CONFIGURATION_TEXT = {
-    "offline_environment": "Windows 11, 16 GB RAM, Intel Core i5-1240P, 12 lõi",
-    "streaming_environment": "Docker, 8 GB RAM, 2 GB swap, 8 lõi CPU",
-    "spark_cores": "4 lõi local",
-    "main_model": "RF-Full",
-    "operating_rps": "500",
-    "pressure_rps": "600",
-    "overload_rps": "750+",
-}
 
 
 def selected_configuration(
-    capacity: DataFrame, fallback: DataFrame, order: str = "run_tag", mode: str = "random_forest_full", target_rps: float = 500
+    capacity: DataFrame, fallback: DataFrame, environment: dict[str, str], order: str = "run_tag", mode: str = "random_forest_full",
+    target_rps: float = 500,
 ) -> DataFrame:
-    """Settings of the operating point: first stated value by ``order``; without such a run, those of ``fallback``."""
+    """Settings of the operating point: first stated value by ``order``; without such a run, those of ``fallback``.
+
+    ``environment`` holds what no run states (machines, main model, rates to show) and is added as given.
+    """
     chosen = capacity.where((F.col("mode") == mode) & (numeric_or_null(capacity, "target_rps") == target_rps))
 
     def settings(df: DataFrame, preferred: bool) -> DataFrame:
@@ -323,5 +369,5 @@ def selected_configuration(
     cells = {c: F.when(F.col("a_n") > 0, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) for c in CONFIGURATION_DEFAULTS}
     return both.select(
         *[F.coalesce(cells[c], F.lit(d)).alias("kafka_partitions" if c == "topic_partitions" else c) for c, d in CONFIGURATION_DEFAULTS.items()],
-        *[F.lit(v).alias(k) for k, v in CONFIGURATION_TEXT.items()],
+        *[F.lit(v).alias(k) for k, v in environment.items()],
     )

@@ -83,14 +83,18 @@ _GAP_PICKS = ", ".join(
 )
 
 
-@query("emit_gap_stats", sql=f"""
+# Pace per run of ``emits(run_tag, event_id, e, d)``: emit and due time.
+GAP_SQL = f"""
 SELECT run_tag, count(*) AS sent_rows, (max(epoch_us(e)) - min(epoch_us(d))) / 1e6::DOUBLE AS actual_elapsed_sec, max(gap) AS emit_gap_max_ms, max(late) AS tick_lag_max_ms,
   count(*) / ((max(epoch_us(e)) - min(epoch_us(d))) / 1e6::DOUBLE) AS actual_rps, {_GAP_PICKS}
 FROM (SELECT *, row_number() OVER (PARTITION BY run_tag ORDER BY gap NULLS LAST) AS gr, count(gap) OVER (PARTITION BY run_tag) AS gc, row_number() OVER (PARTITION BY run_tag ORDER BY late) AS lr,
     count(late) OVER (PARTITION BY run_tag) AS lc
   FROM (SELECT *, (epoch_us(e) - lag(epoch_us(e)) OVER (PARTITION BY run_tag ORDER BY e, event_id)) / 1000.0::DOUBLE AS gap, greatest((epoch_us(e) - epoch_us(d)) / 1000.0::DOUBLE, 0) AS late
-    FROM (SELECT 'run'||user_id % 5 AS run_tag, event_id, ts AS e, make_timestamp(epoch_us(ts) + CAST((value - 20) * 1000 AS BIGINT)) AS d FROM events))) GROUP BY 1""",
-       floats="actual_elapsed_sec actual_rps")
+    FROM ({{emits}}))) GROUP BY 1"""
+
+
+@query("emit_gap_stats", sql=GAP_SQL.format(emits="""
+SELECT 'run'||user_id % 5 AS run_tag, event_id, ts AS e, make_timestamp(epoch_us(ts) + CAST((value - 20) * 1000 AS BIGINT)) AS d FROM events"""), floats="actual_elapsed_sec actual_rps")
 def emit_gap_stats(spark, sf):
     rows = views.table(spark, sf, "events").selectExpr(
         "concat('run', user_id % 5) as run_tag", "event_id", "ts as emit_ts", "timestamp_micros(unix_micros(ts) + cast(round((value - 20) * 1000) as bigint)) as due_ts"

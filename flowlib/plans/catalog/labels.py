@@ -71,6 +71,34 @@ def collect_artifact(spark, sf):
     return out.groupBy("run_tag", "benchmark_phase").agg(F.count("*").alias("rows"), F.count("label_binary").alias("labeled"), F.sum("kafka_offset").alias("offsets"))
 
 
+# All runs: labels come from the run's own input records; odd runs expect one row more than there is.
+_ALL_RUNS = """(SELECT p.event_id, p.run_tag, CASE WHEN p.benchmark_phase IN ('warmup', 'post_fault') THEN p.benchmark_phase ELSE 'measure' END AS phase, p.kafka_offset, f.label_binary
+  FROM preds p LEFT JOIN (SELECT *, 'run'||(event_id % 5) AS run_tag FROM flows WHERE event_id % 19 <> 0) f USING (run_tag, kafka_partition, kafka_offset) WHERE coalesce(p.benchmark_phase, '') <> 'cold_start') AS c"""
+
+
+def _collected(spark, sf):
+    inputs = _inputs(spark, sf).withColumn("replay_run_tag", F.expr("concat('run', event_id % 5)"))
+    preds = views.preds(spark, sf, offsets=True)
+    phase = F.expr("case when benchmark_phase in ('warmup', 'post_fault') then benchmark_phase else 'measure' end")
+    seen = preds.where("coalesce(benchmark_phase, '') <> 'cold_start'").groupBy("run_tag", phase.alias("phase"))
+    expected = seen.agg((F.count("*") + F.max(F.expr("event_id % 5 % 2"))).alias("expected"))
+    return labels.collect_artifacts(preds.where("coalesce(benchmark_phase, '') <> 'cold_start'"), inputs, expected)
+
+
+@query("collect_artifacts", sql=f"SELECT run_tag, phase AS benchmark_phase, count(*) AS rows, count(label_binary) AS labeled, sum(kafka_offset)::BIGINT AS offsets FROM {_ALL_RUNS} GROUP BY 1, 2")
+def collect_artifacts(spark, sf):
+    """The stored form of all runs from one pass, by run and phase."""
+    out, _ = _collected(spark, sf)
+    return out.groupBy("run_tag", "benchmark_phase").agg(F.count("*").alias("rows"), F.count("label_binary").alias("labeled"), F.sum("kafka_offset").alias("offsets"))
+
+
+@query("collect_artifacts_barrier", sql=f"""
+SELECT run_tag, phase, count(*) + max(event_id % 5 % 2) AS expected, count(*) AS actual, max(event_id % 5 % 2) AS missing, CASE WHEN max(event_id % 5 % 2) = 0 THEN 'ok' ELSE 'incomplete' END AS status,
+  count(label_binary) AS artifact_collect_labeled_rows FROM {_ALL_RUNS} GROUP BY 1, 2""")
+def collect_artifacts_barrier(spark, sf):
+    return _collected(spark, sf)[1]
+
+
 @query("save_scored_split", sql="SELECT model, split, label, label_binary, score FROM scored")
 def save_scored_split(spark, sf):
     path = new_path(spark, "scored")

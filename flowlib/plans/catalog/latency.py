@@ -111,12 +111,12 @@ def latency_summary_approx(spark, sf):
 
 
 @query("first_emit_delay", sql="""
-SELECT run_tag, greatest((epoch_us(f) // 1000 - since) / 1000.0::DOUBLE, 0) AS first_emit_delay_sec FROM (SELECT run_tag, 1704153600000 + repeat_index * 3600000 AS since FROM base_runs)
-LEFT JOIN (SELECT run_tag, min(emit_time) AS f FROM preds WHERE benchmark_phase = 'post_fault' AND day(emit_time) > 2 GROUP BY 1) USING (run_tag)
+SELECT run_tag, greatest((epoch_us(f) // 1000 - since) / 1000.0::DOUBLE, 0) AS first_emit_delay_sec FROM (SELECT run_tag, 1704067200000 + repeat_index * 60000 AS since FROM base_runs)
+LEFT JOIN (SELECT run_tag, min(emit_time) AS f FROM preds WHERE benchmark_phase = 'post_fault' GROUP BY 1) USING (run_tag)
 """.replace("greatest((epoch_us(f) // 1000 - since) / 1000.0::DOUBLE, 0)", "CASE WHEN f IS NOT NULL THEN greatest((epoch_us(f) // 1000 - since) / 1000.0::DOUBLE, 0) END"))
 def first_emit_delay(spark, sf):
-    starts = views.base_runs(spark, sf).selectExpr("run_tag", "1704153600000 + repeat_index * 3600000 as since_epoch_ms")
-    return latency.first_emit_delay(views.preds(spark, sf).where("day(emit_time) > 2"), starts, "post_fault")
+    starts = views.base_runs(spark, sf).selectExpr("run_tag", "1704067200000 + repeat_index * 60000 as since_epoch_ms")
+    return latency.first_emit_delay(views.preds(spark, sf), starts, "post_fault")
 
 
 FAULT_SQL = """
@@ -219,6 +219,37 @@ def sampler_lag(spark, sf):
     return lag.sampler_lag(views.preds(spark, sf, offsets=True), _watermarks(spark, sf), control_tail_records=2)
 
 
+def per_run(spark, sf):
+    """Predictions whose offset is the event, and the watermarks of every run's own topic: its last offset of any phase."""
+    rows = views.preds(spark, sf).withColumn("kafka_offset", F.col("event_id"))
+    marks = rows.groupBy("run_tag", F.col("kafka_partition").alias("topic_partition")).agg(
+        F.min("kafka_offset").alias("low"), (F.max("kafka_offset") + 1).alias("high")
+    )
+    return rows, marks
+
+
+# Lag at the end of the measured phase over each run's own topic; every run has predictions of that phase.
+RUN_LAG_SQL = """
+SELECT run_tag, 'ok' AS kafka_lag_status, raw AS kafka_lag_records_end, raw AS kafka_lag_records_raw_end, 0 AS kafka_control_tail_records, n AS kafka_lag_partitions, top AS kafka_high_watermark_max
+FROM (SELECT run_tag, (sum(high - 1 - o) FILTER (o IS NOT NULL))::BIGINT AS raw, count(o) AS n, (max(high) FILTER (o IS NOT NULL))::BIGINT AS top
+  FROM (SELECT run_tag, kafka_partition, max(event_id) + 1 AS high, max(event_id) FILTER (lower(coalesce(benchmark_phase, 'measure')) = 'measure') AS o FROM preds GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("offset_lag_by_run", sql=RUN_LAG_SQL)
+def offset_lag_by_run(spark, sf):
+    return lag.offset_lag(*per_run(spark, sf), keys=["run_tag"])
+
+
+@query("sampler_lag_by_run", sql="""
+SELECT run_tag, sum(CASE WHEN o IS NULL THEN high - low ELSE high - 1 - o END)::BIGINT AS raw_lag_records, max(high)::BIGINT AS high_watermark_max, max(coalesce(o, low - 1))::BIGINT AS processed_offset_max,
+  count(*) AS partition_count, greatest(sum(CASE WHEN o IS NULL THEN high - low ELSE high - 1 - o END)::BIGINT - 1, 0) AS lag_records, 'ok' AS status
+FROM (SELECT run_tag, kafka_partition, min(event_id) AS low, max(event_id) + 1 AS high, max(event_id) FILTER (event_id % 20 > 10) AS o FROM preds GROUP BY 1, 2) GROUP BY 1""")
+def sampler_lag_by_run(spark, sf):
+    """Part of the records processed; a run whose records are all unprocessed counts from its low watermark."""
+    rows, marks = per_run(spark, sf)
+    return lag.sampler_lag(rows.where("event_id % 20 > 10"), marks, 1, ["run_tag"])
+
+
 _GOOD = "phase LIKE 'measure%' AND status = 'ok'"
 LAG_SQL = f"""
 SELECT run_tag, count(*) AS kafka_lag_samples, max(lag_records) FILTER ({_GOOD}) AS kafka_lag_peak_records,

@@ -203,11 +203,14 @@ _POSITION = "CASE candidate WHEN 'LR-Full' THEN 0 WHEN 'RF-Full' THEN 1 WHEN 'GB
 
 
 @query("calibration_table", sql=f"""
-SELECT candidate, printf('%.4f', fpr) AS threshold, printf('%.4f', precision) AS precision, printf('%.4f', recall) AS recall, printf('%.4f', f1) AS f1,
-  printf('%.4f', fpr) AS fpr, {_POSITION} AS position FROM ({_CANDIDATES}) AS c WHERE split = 'test_rare_web'""")
+SELECT candidate, printf('%.4f', threshold) AS threshold, printf('%.4f', precision) AS precision, printf('%.4f', recall) AS recall, printf('%.4f', f1) AS f1,
+  printf('%.4f', fpr) AS fpr, {_POSITION} AS position
+FROM (SELECT *, CASE model WHEN 'm0' THEN 'LR-Full' ELSE 'RF-Full' END AS candidate FROM ({POINTS_SQL}) AS x WHERE point = 'fpr_3pct') AS c""")
 def calibration_table(spark, sf):
-    rows = _candidates(spark, sf).where("split = 'test_rare_web'").withColumn("opt_threshold", F.col("fpr"))
-    return quality.calibration_table(rows)
+    """Thresholds chosen on the calibration split under the primary budget."""
+    points = threshold.operating_points(views.scored(spark, sf).where("split = 'calibration'"), ["model"]).where("point = 'fpr_3pct'")
+    code = F.expr("case model when 'm0' then 'logistic_regression' else 'random_forest' end")
+    return quality.calibration_table(points.withColumns({"model": code, "is_reduced": F.lit(False), "opt_threshold": F.col("threshold")}))
 
 
 @query("test_summary_table", sql=f"""

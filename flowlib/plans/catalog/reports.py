@@ -8,7 +8,8 @@ from flowlib.operators import rules, summary
 from flowlib.operators.lag import backlog_summary
 from flowlib.operators.threshold import operating_points
 from flowlib.plans import views
-from flowlib.plans.catalog.latency import AREA_SQL, CLEAR_SQL, FAULT_SQL, LAG_SQL, LATENCY_FLOATS, LATENCY_SQL
+from flowlib.plans.catalog.arrivals import GAP_SQL
+from flowlib.plans.catalog.latency import AREA_SQL, CLEAR_SQL, FAULT_SQL, LAG_SQL, LATENCY_FLOATS, LATENCY_SQL, RUN_LAG_SQL, per_run
 from flowlib.plans.catalog.quality import POINTS_SQL, QUALITY_SQL
 from flowlib.plans.registry import query
 from flowlib.scratch import stored
@@ -53,10 +54,44 @@ def runs(spark, sf):
 _SHOWN_SQL = ", ".join("kafka_lag_peak_records::DOUBLE AS kafka_lag_peak_records" if c == "kafka_lag_peak_records" else c for c in _SHOWN)
 
 
-@query("run_summary_row", sql=f"SELECT {_SHOWN_SQL} FROM ({RUNS_SQL}) AS r", floats=_RUN_FLOATS)
+# What the topic, the row counts and the source add to a run row.
+_END_LAG = ["kafka_lag_status", "kafka_lag_records_end", "kafka_lag_records_raw_end", "kafka_lag_partitions", "drain_status", "drain_reason"]
+_BARRIER = [f"{p}_artifact_{c}" for p in ("warmup", "measure") for c in ("rows_expected", "rows_actual", "barrier_status")]
+_SOURCE = ["replay_status", "replay_failure_reason", "replay_target_rps", "replay_actual_rps", "replay_actual_elapsed_sec", "replay_emit_gap_p95_ms", "replay_emit_gap_p99_ms",
+           "replay_emit_gap_max_ms", "replay_tick_lag_p95_ms", "replay_tick_lag_max_ms"]
+_BARRIER_SQL = """
+SELECT run_tag, nullif(w, 0) AS warmup_artifact_rows_expected, nullif(w, 0) AS warmup_artifact_rows_actual, CASE WHEN w > 0 THEN 'ok' END AS warmup_artifact_barrier_status, m + odd AS measure_artifact_rows_expected,
+  m AS measure_artifact_rows_actual, CASE WHEN odd = 0 THEN 'ok' ELSE 'incomplete' END AS measure_artifact_barrier_status
+FROM (SELECT run_tag, count(*) FILTER (event_id % 20 = 0) AS w, count(*) FILTER (event_id % 20 NOT IN (0, 3, 4)) AS m, max(event_id % 5 % 2) AS odd FROM preds GROUP BY 1)"""
+_PACE_SQL = GAP_SQL.format(emits="""SELECT 'run'||event_id % 5 AS run_tag, event_id, make_timestamp(t) AS e, make_timestamp(t - event_id % 100 * (event_id % 5 + 1) * 4000) AS d
+  FROM (SELECT event_id, 1704067200000000 + event_id * (100 + 50 * (event_id % 5)) * 1000 AS t FROM events)""")
+_FULL_SQL = f"""
+SELECT {', '.join(c for c in _SHOWN_SQL.split(', ') if c not in ('failure_reason', 'slo_status'))}, {', '.join([*_END_LAG, *_BARRIER, *_SOURCE])}, reason AS failure_reason, CASE WHEN reason = '' THEN 'pass' ELSE 'fail' END AS slo_status
+FROM (SELECT *, CASE WHEN drain_reason = '' THEN 'ok' ELSE 'failed' END AS drain_status, concat_ws(';', nullif(failure_reason, ''), CASE WHEN replay_status = 'unstable' THEN 'load_generator_unstable' END) AS reason
+  FROM (SELECT *, CASE WHEN kafka_lag_records_end <> 0 THEN 'kafka_lag_records_end='||kafka_lag_records_end
+      WHEN coalesce(kafka_lag_end_after_drain_records, -1) <> 0 THEN 'kafka_lag_end_after_drain_records='||coalesce(kafka_lag_end_after_drain_records::VARCHAR, 'missing') ELSE '' END AS drain_reason,
+      CASE WHEN replay_failure_reason = '' THEN 'ok' ELSE 'unstable' END AS replay_status
+    FROM ({RUNS_SQL}) AS r JOIN ({RUN_LAG_SQL}) AS k USING (run_tag) JOIN ({_BARRIER_SQL}) AS b USING (run_tag) JOIN (
+      SELECT g.run_tag, offered_rps AS replay_target_rps, actual_rps AS replay_actual_rps, actual_elapsed_sec AS replay_actual_elapsed_sec, emit_gap_p95_ms AS replay_emit_gap_p95_ms,
+        emit_gap_p99_ms AS replay_emit_gap_p99_ms, emit_gap_max_ms AS replay_emit_gap_max_ms, tick_lag_p95_ms AS replay_tick_lag_p95_ms, tick_lag_max_ms AS replay_tick_lag_max_ms,
+        concat_ws(';', CASE WHEN actual_rps < offered_rps * 0.95::DOUBLE THEN 'replay_actual_rps_below_target' END, CASE WHEN emit_gap_max_ms > 1000 THEN 'replay_emit_gap_spike' END,
+          CASE WHEN tick_lag_max_ms > 1000 THEN 'replay_tick_lag_spike' END) AS replay_failure_reason FROM ({_PACE_SQL}) AS g JOIN base_runs USING (run_tag)) AS s USING (run_tag)))"""
+
+
+@query("run_summary_row", sql=_FULL_SQL, floats=_RUN_FLOATS + " replay_target_rps replay_actual_rps replay_actual_elapsed_sec")
 def run_summary_row(spark, sf):
-    rows = summary.run_summary(views.preds(spark, sf), views.lag_samples(spark, sf), views.base_runs(spark, sf), target_rps="offered_rps")
-    return rows.select(*_SHOWN)
+    """The whole run row: end lag over each run's own topic, a row barrier that odd runs miss, a source that some runs drive too slowly."""
+    rows, marks = per_run(spark, sf)
+    odd = F.max(F.expr("event_id % 5 % 2"))
+    expected = rows.groupBy("run_tag").agg(F.count_if(F.expr("event_id % 20 = 0")).alias("w"), (F.count_if(F.expr("event_id % 20 not in (0, 3, 4)")) + odd).alias("m"))
+    expected = expected.selectExpr("run_tag", "stack(2, 'warmup', w, 'measure', m) as (phase, expected)")
+    emits = views.table(spark, sf, "events").selectExpr("event_id", "1704067200000000 + event_id * (100 + 50 * (event_id % 5)) * 1000 as t").selectExpr(
+        "concat('run', event_id % 5) as run_tag", "event_id as row_index", "timestamp_micros(t) as emit_ts", "timestamp_micros(t - event_id % 100 * (event_id % 5 + 1) * 4000) as due_ts"
+    )
+    wide = summary.run_summary(
+        rows, views.lag_samples(spark, sf), views.base_runs(spark, sf), target_rps="offered_rps", watermarks=marks, expected=expected, emits=emits
+    )
+    return wide.select(*_SHOWN, *_END_LAG, *_BARRIER, *_SOURCE)
 
 
 _MF_SHOWN = [
@@ -128,14 +163,17 @@ _HOURLY = """(SELECT user_id, CASE WHEN user_id % 9 > 0 THEN 'ok' ELSE 'latency_
 
 
 @query("evaluate_slo", sql=f"""
-SELECT user_id, throughput_ratio, trigger_interval_ms, failure_reason, CASE WHEN failure_reason = '' THEN 'pass' ELSE 'fail' END AS slo_status FROM (
-SELECT user_id, drain_rps / target_rps AS throughput_ratio, (user_id % 10)::DOUBLE AS trigger_interval_ms, concat_ws(';', CASE WHEN latency_status <> 'ok' OR artifact_rows_total = 0 THEN 'artifact_latency_missing' END,
-  CASE WHEN rows_total < rows_expected * 0.95::DOUBLE THEN 'rows_below_expected' END, CASE WHEN drain_rps IS NULL OR drain_rps / target_rps < 0.9::DOUBLE THEN 'throughput_below_target' END,
-  CASE WHEN p50 IS NULL OR p95 IS NULL THEN 'latency_missing' END, CASE WHEN p50 IS NOT NULL AND p50 > 500 THEN 'p50_e2e_exceeded' END,
-  CASE WHEN p50 IS NOT NULL AND p95 > 1500 THEN 'p95_e2e_exceeded' END, CASE WHEN unstable THEN 'load_generator_unstable' END) AS failure_reason FROM {_HOURLY})""", floats="throughput_ratio")
+SELECT user_id, preset, throughput_ratio, trigger_interval_ms, failure_reason, CASE WHEN failure_reason = '' THEN 'pass' ELSE 'fail' END AS slo_status FROM (
+SELECT user_id, preset, drain_rps / target_rps AS throughput_ratio, (user_id % 10)::DOUBLE AS trigger_interval_ms, concat_ws(';', CASE WHEN latency_status <> 'ok' OR artifact_rows_total = 0 THEN 'artifact_latency_missing' END,
+  CASE WHEN rows_total < rows_expected * min_rows THEN 'rows_below_expected' END, CASE WHEN drain_rps IS NULL OR drain_rps / target_rps < min_ratio THEN 'throughput_below_target' END,
+  CASE WHEN p50 IS NULL OR p95 IS NULL THEN 'latency_missing' END, CASE WHEN p50 IS NOT NULL AND p50 > max_p50 THEN 'p50_e2e_exceeded' END,
+  CASE WHEN p50 IS NOT NULL AND p95 > max_p95 THEN 'p95_e2e_exceeded' END, CASE WHEN unstable THEN 'load_generator_unstable' END) AS failure_reason
+  FROM {_HOURLY}, (VALUES ('strict', 0.9::DOUBLE, 0.95::DOUBLE, 500, 1500), ('practical', 0.9::DOUBLE, 0.95::DOUBLE, 2000, 2000), ('smoke', 0.5::DOUBLE, 1.0::DOUBLE, 2000, 3000)) AS l(preset, min_ratio, min_rows, max_p50, max_p95))""", floats="throughput_ratio")
 def evaluate_slo(spark, sf):
-    judged = rules.evaluate_slo(_hourly(spark, sf))
-    return judged.select("user_id", "throughput_ratio", "trigger_interval_ms", "failure_reason", "slo_status")
+    """Every run against the three presets of limits."""
+    presets = {"strict": rules.STRICT_SLO, "practical": rules.PRACTICAL_SLO, "smoke": rules.SMOKE_SLO}
+    judged = [rules.evaluate_slo(_hourly(spark, sf), limits).withColumn("preset", F.lit(name)) for name, limits in presets.items()]
+    return summary.union_summary_rows(judged).select("user_id", "preset", "throughput_ratio", "trigger_interval_ms", "failure_reason", "slo_status")
 
 
 _OVER = f"""SELECT user_id, drain_rps / target_rps AS drain_throughput_ratio, target_rps / drain_rps AS target_to_drain_ratio, peak / target_rps AS kafka_lag_peak_ratio, p95 FROM {_HOURLY}"""
@@ -211,10 +249,10 @@ def resolve_threshold(spark, sf):
 
 
 @query("union_summary_rows", sql=f"""
-SELECT run_tag, mode, target_rps, kafka_lag_samples, kafka_lag_peak_records FROM (SELECT run_tag, mode, target_rps FROM base_runs WHERE repeat_index < 3
+SELECT run_tag, mode, target_rps, kafka_lag_samples, kafka_lag_peak_records FROM (SELECT run_tag, mode, target_rps FROM base_runs
   UNION ALL BY NAME SELECT run_tag, kafka_lag_samples, kafka_lag_peak_records FROM ({LAG_SQL}) AS l)""")
 def union_summary_rows(spark, sf):
-    first = views.base_runs(spark, sf).where("repeat_index < 3").select("run_tag", "mode", "target_rps")
+    first = views.base_runs(spark, sf).select("run_tag", "mode", "target_rps")
     second = backlog_summary(views.lag_samples(spark, sf)).select("run_tag", "kafka_lag_samples", "kafka_lag_peak_records")
     return summary.union_summary_rows([first, second])
 
@@ -324,9 +362,7 @@ def overload_summary(spark, sf):
 
 @query("selected_configuration", sql="""
 SELECT 'local[4]' AS spark_master, first(trigger_interval ORDER BY run_tag) AS trigger_interval, first(max_offsets_per_trigger ORDER BY run_tag)::VARCHAR AS max_offsets_per_trigger,
-  coalesce(first(shuffle_partitions ORDER BY run_tag) FILTER (shuffle_partitions IS NOT NULL)::VARCHAR, '4') AS shuffle_partitions, '1' AS kafka_partitions,
-  'Windows 11, 16 GB RAM, Intel Core i5-1240P, 12 lõi' AS offline_environment, 'Docker, 8 GB RAM, 2 GB swap, 8 lõi CPU' AS streaming_environment, '4 lõi local' AS spark_cores,
-  'RF-Full' AS main_model, '500' AS operating_rps, '600' AS pressure_rps, '750+' AS overload_rps FROM base_runs WHERE mode = 'random_forest_full' AND target_rps = 500""")
+  coalesce(first(shuffle_partitions ORDER BY run_tag) FILTER (shuffle_partitions IS NOT NULL)::VARCHAR, '4') AS shuffle_partitions, '1' AS kafka_partitions, 'RF-Full' AS main_model, '500' AS operating_rps FROM base_runs WHERE mode = 'random_forest_full' AND target_rps = 500""")
 def selected_configuration(spark, sf):
     rows = views.base_runs(spark, sf)
-    return summary.selected_configuration(rows, rows.where("mode = 'pass_through'"))
+    return summary.selected_configuration(rows, rows.where("mode = 'pass_through'"), {"main_model": "RF-Full", "operating_rps": "500"})

@@ -34,6 +34,13 @@ def test_tags(spark, raw, tag, file_tag):
         ("1/3/2018 8:05:09", dt.datetime(2018, 3, 1, 8, 5, 9)),
         (" 2018-02-15 09:00:00 ", dt.datetime(2018, 2, 15, 9, 0, 0)),
         ("2018-02-15T09:00:00.25", dt.datetime(2018, 2, 15, 9, 0, 0, 250000)),
+        ("04/25/2018 10:11:12", dt.datetime(2018, 4, 25, 10, 11, 12)),
+        ("25/04/2018 10:11", dt.datetime(2018, 4, 25, 10, 11)),
+        ("03/04/2018 10:11", dt.datetime(2018, 3, 4, 10, 11)),
+        ("2/15/2018 1:02:03 PM", dt.datetime(2018, 2, 15, 13, 2, 3)),
+        ("2018/2/15 10:00", dt.datetime(2018, 2, 15, 10, 0)),
+        ("15 Feb 2018 10:00:01", dt.datetime(2018, 2, 15, 10, 0, 1)),
+        ("Feb 15, 2018", dt.datetime(2018, 2, 15)),
         ("Timestamp", None), ("nan", None), ("NaT", None), ("", None), (None, None), ("32/01/2018 00:00:00", None),
     ],
 )

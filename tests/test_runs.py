@@ -116,6 +116,25 @@ def test_offset_lag_forms(spark):
     assert (live.raw_lag_records, live.lag_records, live.partition_count, live.processed_offset_max) == (6, 5, 4, 99)
     none = lag.offset_lag(preds.where("false"), marks).first()
     assert (none.kafka_lag_status, none.kafka_lag_records_end, none.kafka_lag_partitions) == ("artifact_offsets_missing", None, 0)
+    each = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("run_tag")
+    runs = preds.withColumn("run_tag", F.lit("a"))
+    got = rows(lag.offset_lag(runs, marks.select("*", each), "measure", 1, ["run_tag"]), "run_tag")
+    assert [tuple(r) for r in got] == [("a", "ok", 1, 2, 1, 2, 10), ("b", "artifact_offsets_missing", None, None, None, 0, None)]
+    got = rows(lag.sampler_lag(runs, marks.select("*", each), 1, ["run_tag"]).select("run_tag", "raw_lag_records", "partition_count"), "run_tag")
+    assert [tuple(r) for r in got] == [("a", 6, 4), ("b", 118, 4)]
+
+
+def test_collected_runs_hold_their_own_labels(spark):
+    preds = spark.createDataFrame(
+        [("a", "measure", 0, 1), ("a", None, 0, 2), ("a", "warmup", 0, 3), ("b", "measure", 0, 1), ("c", "measure", 0, 1), (None, "measure", 0, 1), ("a", "measure", None, None)],
+        "run_tag string, benchmark_phase string, kafka_partition int, kafka_offset long")
+    inputs = spark.createDataFrame([("a", 0, 1, 1, "x"), ("a", 0, 2, 0, "y"), ("b", 0, 2, 1, "z")], "replay_run_tag string, kafka_partition int, kafka_offset long, label_binary int, label string")
+    expected = spark.createDataFrame([("a", "measure", 3), ("b", "measure", 2), ("d", "measure", 1), ("a", "post_fault", 0)], "run_tag string, phase string, expected long")
+    artifact, barrier = labels.collect_artifacts(preds, inputs, expected)
+    got = sorted((r.run_tag, r.kafka_offset or 0, r.label) for r in artifact.collect())
+    assert got == [("a", 0, None), ("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)]
+    got = [tuple(r) for r in rows(barrier, "run_tag")]
+    assert got == [("a", "measure", 3, 3, 0, "ok", 2), ("b", "measure", 2, 1, 1, "incomplete", 0), ("d", "measure", 1, 0, 1, "incomplete", 0)]
 
 
 def test_label_join_keeps_repeats_and_rows_without_offset(spark):
@@ -220,9 +239,9 @@ def test_selected_configuration(spark):
     schema = "run_tag string, mode string, target_rps string, trigger_interval string, shuffle_partitions int"
     runs = spark.createDataFrame([("r1", "random_forest_full", "500", None, None), ("r2", "random_forest_full", "500", "2 seconds", 8), ("r0", "pass_through", "500", "9 s", 1)], schema)
     other = spark.createDataFrame([("x", "m", "1", "7 s", 3)], schema)
-    got = summary.selected_configuration(runs, other).first()
-    assert (got.trigger_interval, got.shuffle_partitions, got.spark_master, got.kafka_partitions) == ("2 seconds", "8", "local[4]", "1")
-    assert summary.selected_configuration(runs.where("mode = 'pass_through'"), other).first().trigger_interval == "7 s"
+    got = summary.selected_configuration(runs, other, {"machine": "m1"}).first()
+    assert (got.trigger_interval, got.shuffle_partitions, got.spark_master, got.kafka_partitions, got.machine) == ("2 seconds", "8", "local[4]", "1", "m1")
+    assert summary.selected_configuration(runs.where("mode = 'pass_through'"), other, {}).first().trigger_interval == "7 s"
 
 
 def test_summary_csv_keeps_the_union_of_columns(spark, tmp_path):
