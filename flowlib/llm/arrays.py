@@ -8,6 +8,7 @@ A word is a maximal run of bytes other than 00-2F, 3A-60 and 7B-7F after A-Z bec
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SHINGLE_WORDS = 5
 FILTER_BITS = 22
 
@@ -56,6 +57,28 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker outlives its tasks and would hold on to it."""
+    for name, run in _POWERS.items():
+        _POWERS[name] = run[: 1 << 16].copy()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
+    """The batch function ``run``, which gives free memory back when its task has ended."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def rolling(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which :func:`span_hashes` reads the hash of any span of ``data``."""
     up, _ = powers(len(data) + 1)
@@ -195,7 +218,7 @@ def map_texts(
                 arrays = [part.column(i) for i in range(at)] + [x if isinstance(x, pa.Array) else pa.array(x) for x in compute(part.column(at))]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(released(run), schema)
 
 
 def list_array(values, offsets: np.ndarray) -> pa.Array:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlib.llm.arrays import FILTER_BITS, SHINGLE_WORDS, Words, bitmap, byte_slices, list_array, map_texts, shingle_hashes, signed, text_key
+from flowlib.llm.arrays import FILTER_BITS, SHINGLE_WORDS, Words, bitmap, byte_slices, list_array, map_texts, released, shingle_hashes, signed, text_key
 from flowlib.scratch import stored
 
 WINDOW = 10
@@ -83,7 +83,7 @@ def element_counts(docs: DataFrame, tokens: DataFrame, lengths: list[int]) -> Da
                 token, times = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(times.astype(np.int64))], ["token", "times"])
 
-    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token bigint, times bigint").groupBy("token").agg(F.sum("times").alias("times"))
+    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(run), "token bigint, times bigint").groupBy("token").agg(F.sum("times").alias("times"))
     return tokens.join(seen, "token", "left").select("token", F.coalesce("times", F.lit(0)).alias("times"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlib.llm.arrays import Words, byte_slices, map_texts, mix64, rolling, span_hashes, text_key
+from flowlib.llm.arrays import Words, byte_slices, map_texts, mix64, released, rolling, span_hashes, text_key
 from flowlib.scratch import stored
 
 BIN_BITS = 8
@@ -142,7 +142,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         if pending is not None:
             yield edge_row("last", part, pending[0], pending[1], types)
 
-    rows = stored(sorted_docs.mapInArrow(run, schema), "fingerprints")
+    rows = stored(sorted_docs.mapInArrow(released(run), schema), "fingerprints")
     inner = rows.where("edge is null").select("doc_id", *[f.name for f in made])
     # One first and one last row per partition; only their numbers are ordered in one place.
     firsts = rows.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
@@ -157,4 +157,4 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 texts, following = piece.column(1).cast(pa.string()), piece.column(2).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([piece.column(0), *_compared(texts, following)], names[: 1 + len(made)])
 
-    return inner.unionByName(pairs.mapInArrow(finish, T.StructType([id_field, *made])))
+    return inner.unionByName(pairs.mapInArrow(released(finish), T.StructType([id_field, *made])))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlib.llm.arrays import FILTER_BITS, Words, bitmap, byte_slices, list_array, map_texts, mix64, signed, text_key
+from flowlib.llm.arrays import FILTER_BITS, Words, bitmap, byte_slices, list_array, map_texts, mix64, released, signed, text_key
 from flowlib.llm.components import components
 from flowlib.scratch import stored
 
@@ -220,7 +220,7 @@ def candidate_links(nodes: DataFrame, block: int = BLOCK, least: float = ESTIMAT
             pairs = np.unique(np.stack([node[linked], node[root[linked]]], axis=1), axis=0) if len(linked) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return rows.mapInArrow(released(run), "u bigint, v bigint")
 
 
 class Sets:
@@ -277,7 +277,7 @@ def true_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold:
             first = np.array([int.from_bytes(k[:4], "big") for k in batch.column(1).to_pylist()], np.int64) & mask
             yield batch.filter(pa.array(shared.value[first]))
 
-    texts = frame.mapInArrow(likely, frame.schema).join(wanted, F.col("__doc").eqNullSafe(F.col("__rep")) & (F.col("__text_key") == F.col("__key")))
+    texts = frame.mapInArrow(released(likely), frame.schema).join(wanted, F.col("__doc").eqNullSafe(F.col("__rep")) & (F.col("__text_key") == F.col("__key")))
     rows = in_blocks(texts.select("root", "n", "node", "text"), "root", F.col("n"), block).select("block", "node", "text")
 
     def run(batches):
@@ -293,7 +293,7 @@ def true_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold:
             pairs = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "u bigint, v bigint")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(released(run), "u bigint, v bigint")
 
 
 def node_classes(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlib.llm.arrays import FILTER_BITS, bitmap, byte_slices, list_array, map_texts, rolling, signed, span_hashes, text_bytes, text_key
+from flowlib.llm.arrays import FILTER_BITS, bitmap, byte_slices, list_array, map_texts, released, rolling, signed, span_hashes, text_bytes, text_key
 from flowlib.llm.neardup import whole_blocks
 from flowlib.llm.suffixes import common_prefixes, suffix_array, words_at
 from flowlib.scratch import stored
@@ -95,7 +95,7 @@ def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             first = np.array([int.from_bytes(k[:4], "big") for k in batch.column(1).to_pylist()], np.int64) & mask
             yield batch.filter(pa.array(shared.value[first]))
 
-    return frame.mapInArrow(likely, frame.schema).join(wanted, F.col("__doc").eqNullSafe(F.col("__rep")) & (F.col("__text_key") == F.col("__key")))
+    return frame.mapInArrow(released(likely), frame.schema).join(wanted, F.col("__doc").eqNullSafe(F.col("__rep")) & (F.col("__text_key") == F.col("__key")))
 
 
 def segment_texts(docs: DataFrame, nodes: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
@@ -114,7 +114,7 @@ def segment_texts(docs: DataFrame, nodes: DataFrame, distinct: DataFrame, length
                 texts = pa.array([data[a:b].tobytes() for a, b in zip(low, high + length)], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.field(0), rows.field(1), rows.field(2), texts], ["h", "g", "c", "text"])
 
-    return with_texts(docs, wanted).select("text", "list").mapInArrow(run, "h bigint, g bigint, c bigint, text binary")
+    return with_texts(docs, wanted).select("text", "list").mapInArrow(released(run), "h bigint, g bigint, c bigint, text binary")
 
 
 def repeated_windows(texts: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -157,7 +157,7 @@ def repeated_in_blocks(segments: DataFrame, blocks: int, length: int) -> DataFra
                 at = np.array([o[0] for o in out], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(g[at]), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], ["h", "g", "a", "b"])
 
-    return rows.mapInArrow(run, "h bigint, g bigint, a int, b int")
+    return rows.mapInArrow(released(run), "h bigint, g bigint, a int, b int")
 
 
 def repeated_by_digest(segments: DataFrame, length: int) -> DataFrame:
@@ -172,7 +172,7 @@ def repeated_by_digest(segments: DataFrame, length: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["h", "g", "c", "a", "window"])
 
-    windows = segments.mapInArrow(run, "h bigint, g bigint, c bigint, a int, window binary")
+    windows = segments.mapInArrow(released(run), "h bigint, g bigint, c bigint, a int, window binary")
     counted = windows.groupBy("h", "window").agg(F.sum("c").alias("n")).where("n > 1")
     return windows.join(counted, ["h", "window"]).select("h", "g", "a", F.col("a").alias("b"))
 
@@ -220,7 +220,7 @@ def cut_nodes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
                     ["key", "n_removed", "n_spans", "kept"],
                 )
 
-    partly = with_texts(docs, wanted).select("text", "list", F.col("__key").alias("key")).mapInArrow(run, "key binary, n_removed bigint, n_spans bigint, kept binary")
+    partly = with_texts(docs, wanted).select("text", "list", F.col("__key").alias("key")).mapInArrow(released(run), "key binary, n_removed bigint, n_spans bigint, kept binary")
     copies = nodes.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(b"").alias("kept"))
     return partly.union(copies)
 

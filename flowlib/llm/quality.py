@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlib.llm.arrays import byte_slices, list_array, map_texts, mix64, rolling, span_hashes, text_bytes
+from flowlib.llm.arrays import byte_slices, list_array, map_texts, mix64, released, rolling, span_hashes, text_bytes
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -177,4 +177,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             for part in byte_slices(batch, at):
                 yield part.filter(pa.array(shared.value.scores(part.column(at)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlib.llm.arrays import byte_slices, mix64
+from flowlib.llm.arrays import byte_slices, mix64, released
 from flowlib.llm.tokens import SLICE_BYTES, encoder
 
 LENGTH = 512
@@ -88,7 +88,7 @@ def _records(docs: DataFrame, path: str, end: int, length: int, shards_for: int,
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([rooms], pa.int64()), pa.array([check], pa.int64())], ["part", "rooms", "seen"])
 
     # One row of three numbers per input partition.
-    rows = sorted(tuple(r) for r in frame.mapInArrow(measure, "part int, rooms bigint, seen bigint").collect())
+    rows = sorted(tuple(r) for r in frame.mapInArrow(released(measure), "part int, rooms bigint, seen bigint").collect())
     begins, total = {}, 0
     for part, rooms, check in rows:
         begins[part] = (total, check)
@@ -116,7 +116,7 @@ def _records(docs: DataFrame, path: str, end: int, length: int, shards_for: int,
         if check != expected:
             raise RuntimeError("documents came in another order than in the first pass; store them before writing shards")
 
-    return frame.mapInArrow(encode, "shard int, number bigint, record binary"), shards
+    return frame.mapInArrow(released(encode), "shard int, number bigint, record binary"), shards
 
 
 def sequences(ids: pa.Array, texts: pa.Array, base: np.ndarray, path: str, end: int, length: int, total: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +182,6 @@ def read_shards(spark: SparkSession, target: str, length: int = LENGTH, first: i
                         ["slot", "shard", "place", "doc_id", "sequence", "n_ids", "ids"],
                     )
 
-    out = rows.mapInArrow(run, "slot bigint, shard int, place bigint, doc_id bigint, sequence bigint, n_ids bigint, ids binary")
+    out = rows.mapInArrow(released(run), "slot bigint, shard int, place bigint, doc_id bigint, sequence bigint, n_ids bigint, ids binary")
     out = out.where(F.col("slot") >= first)
     return out.where(F.col("slot") < last) if last is not None else out
