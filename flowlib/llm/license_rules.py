@@ -1,7 +1,8 @@
 """Signature rules for licence notices, one per line: label, strength, keywords, pattern.
 
 Patterns see a text as lower-case words joined by single spaces (``Apache-2.0`` is ``apache 2 0``) and match whole
-words only. A rule runs only where all its keywords (joined by ``+``) occur. ``<2>`` stands for a version number with
+words only. A rule runs only where all its keywords (joined by ``+``) occur, so every alternative of its pattern must
+hold them; alternatives without a common word are rules of their own. ``<2>`` stands for a version number with
 or without "version" or "v" and ".0", ``<2.1>`` for one with a minor number, ``<lic>`` for license or licence,
 ``<l>`` for an optional license word, ``<later>`` for "or later".
 """
@@ -17,7 +18,7 @@ mit 80 mit+license mit <lic>
 mit 85 mit+spdx spdx <lic> identifier mit
 mit 95 permission+granted permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit 75 notice+permission the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
-mit 60 merchantability+noninfringement fitness for a particular purpose and noninfringement
+mit 60 noninfringement fitness for a particular purpose and noninfringement
 mit 70 expat expat <lic>
 mit 70 x11 (?:mit )?x11 <lic>
 mit-0 90 mit mit 0(?: <lic>)?
@@ -68,35 +69,37 @@ gpl-2 90 gpl gpl <2>(?: only)?
 gpl-2 90 gplv2 gplv2
 gpl-2 90 gnu+general gnu general public <lic> <2>
 gpl-2 85 gnu+published gnu general public <lic> as published by the free software foundation <2>
-gpl-2+ 95 gpl+later gpl <2><later>
-gpl-2+ 95 gplv2 gplv2 ?(?:plus|<later>)
-gpl-2+ 95 gnu+later gnu general public <lic>(?: as published by the free software foundation(?: either)?)? <2><later>
+gpl-2+ 95 gpl gpl <2><later>
+gpl-2+ 95 gplv2 gplv2(?: plus|<later>)
+gpl-2+ 95 gplv2plus gplv2plus
+gpl-2+ 95 gnu+general gnu general public <lic>(?: as published by the free software foundation(?: either)?)? <2><later>
 gpl-2-classpath 95 classpath gpl <2> with(?: the)? classpath exception
 gpl-2-linking 90 linking+exception gpl <2> with(?: a)? linking exception
 gpl-3 90 gpl gpl <3>(?: only)?
 gpl-3 90 gplv3 gplv3
 gpl-3 90 gnu+general gnu general public <lic> <3>
-gpl-3+ 95 gpl+later gpl <3><later>
-gpl-3+ 95 gplv3 gplv3 ?(?:plus|<later>)
-gpl-3+ 95 gnu+later gnu general public <lic>(?: as published by the free software foundation(?: either)?)? <3><later>
+gpl-3+ 95 gpl gpl <3><later>
+gpl-3+ 95 gplv3 gplv3(?: plus|<later>)
+gpl-3+ 95 gplv3plus gplv3plus
+gpl-3+ 95 gnu+general gnu general public <lic>(?: as published by the free software foundation(?: either)?)? <3><later>
 gpl-3-gcc 95 gcc+exception gcc runtime library exception
 gpl 60 gnu+general gnu general public <lic>
 gpl 55 gpl gnu gpl
 gpl 50 gpl gpl <lic>
 gpl 50 gpl licensed under (?:the )?gpl
-gpl 55 copying+gnu you should have received a copy of the gnu general public <lic>
+gpl 55 received+gnu you should have received a copy of the gnu general public <lic>
 lgpl-2 90 lgpl lgpl <2>(?: only)?
 lgpl-2 90 gnu+library gnu library general public <lic> <2>
-lgpl-2+ 95 lgpl+later lgpl <2><later>
+lgpl-2+ 95 lgpl lgpl <2><later>
 lgpl-2.1 90 lgpl lgpl <2.1>(?: only)?
 lgpl-2.1 90 gnu+lesser gnu lesser general public <lic> <2.1>
-lgpl-2.1+ 95 lgpl+later lgpl <2.1><later>
-lgpl-2.1+ 95 gnu+lesser+later gnu lesser general public <lic> <2.1><later>
+lgpl-2.1+ 95 lgpl lgpl <2.1><later>
+lgpl-2.1+ 95 gnu+lesser gnu lesser general public <lic> <2.1><later>
 lgpl-3 90 lgpl lgpl <3>(?: only)?
 lgpl-3 90 lgplv3 lgplv3
 lgpl-3 90 gnu+lesser gnu lesser general public <lic> <3>
-lgpl-3+ 95 lgpl+later lgpl <3><later>
-lgpl-3+ 95 gnu+lesser+later gnu lesser general public <lic> <3><later>
+lgpl-3+ 95 lgpl lgpl <3><later>
+lgpl-3+ 95 gnu+lesser gnu lesser general public <lic> <3><later>
 lgpl 60 gnu+lesser gnu lesser general public <lic>
 lgpl 60 gnu+library gnu library general public <lic>
 lgpl 55 lgpl gnu lgpl
@@ -104,8 +107,8 @@ agpl-1 90 affero affero general public <lic> <1>
 agpl-3 90 agpl agpl <3>(?: only)?
 agpl-3 90 agplv3 agplv3
 agpl-3 90 affero (?:gnu )?affero general public <lic> <3>
-agpl-3+ 95 agpl+later agpl <3><later>
-agpl-3+ 95 affero+later (?:gnu )?affero general public <lic> <3><later>
+agpl-3+ 95 agpl agpl <3><later>
+agpl-3+ 95 affero (?:gnu )?affero general public <lic> <3><later>
 agpl 60 affero (?:gnu )?affero general public <lic>
 agpl 55 agpl gnu agpl
 gfdl-1.1 90 gfdl gfdl <1.1>
@@ -164,7 +167,8 @@ polyform-sb 90 polyform polyform small business <lic>
 zlib 85 zlib zlib <lic>
 zlib 85 zlib+libpng zlib libpng<l>
 zlib 80 misrepresented the origin of this software must not be misrepresented
-libpng-2 85 libpng (?:libpng|png reference library) <lic> <2>
+libpng-2 85 libpng libpng <lic> <2>
+libpng-2 85 png+reference png reference library <lic> <2>
 ijg 80 jpeg independent jpeg group(?: s)?(?: <lic>)?
 curl 80 curl curl <lic>
 openssl 85 openssl openssl <lic>
@@ -184,7 +188,8 @@ postgresql 85 postgresql postgresql <lic>
 unlicense 90 unlicense (?:the )?unlicense
 unlicense 90 unencumbered this is free and unencumbered software released into the public domain
 wtfpl 90 wtfpl wtfpl
-beerware 85 beer (?:the )?beer ?ware <lic>
+beerware 85 beer+ware (?:the )?beer ware <lic>
+beerware 85 beerware (?:the )?beerware <lic>
 beerware 85 beerware beerware
 blueoak-1 90 blue blue oak model <lic>(?: <1>)?
 mulan-2 90 mulan mulan (?:permissive software|psl) ?(?:<lic>)? ?<2>
@@ -222,30 +227,30 @@ cc-by-sa-2 95 cc cc by sa <2>
 cc-by-sa-3 95 cc cc by sa <3>
 cc-by-sa-4 95 cc cc by sa <4>
 cc-by-sa 80 cc cc by sa
-cc-by-sa 85 creative+sharealike creative commons attribution share ?alike
-cc-by-sa 85 creative+alike creative commons attribution share ?alike
-cc-by-sa-3 95 creative+alike creative commons attribution share ?alike <3>
-cc-by-sa-4 95 creative+sharealike creative commons attribution share ?alike <4>(?: international)?
+cc-by-sa 85 creative+attribution creative commons attribution share ?alike
+cc-by-sa-3 95 creative+attribution creative commons attribution share ?alike <3>
+cc-by-sa-4 95 creative+attribution creative commons attribution share ?alike <4>(?: international)?
 cc-by-nd-3 95 cc cc by nd <3>
 cc-by-nd-4 95 cc cc by nd <4>
 cc-by-nd 80 cc cc by nd
-cc-by-nd 85 creative+noderivatives creative commons attribution no ?derivatives
+cc-by-nd 85 creative+attribution creative commons attribution no ?derivatives
 cc-by-nc-2 95 cc cc by nc <2>
 cc-by-nc-3 95 cc cc by nc <3>
 cc-by-nc-4 95 cc cc by nc <4>
-cc-by-nc 85 creative+noncommercial creative commons attribution non ?commercial
+cc-by-nc 85 creative+attribution creative commons attribution non ?commercial
 cc-by-nc-sa-3 97 cc cc by nc sa <3>
 cc-by-nc-sa-4 97 cc cc by nc sa <4>
 cc-by-nc-sa 90 cc cc by nc sa
-cc-by-nc-sa 90 creative+noncommercial creative commons attribution non ?commercial share ?alike
+cc-by-nc-sa 90 creative+attribution creative commons attribution non ?commercial share ?alike
 cc-by-nc-nd-3 97 cc cc by nc nd <3>
 cc-by-nc-nd-4 97 cc cc by nc nd <4>
 cc-by-nc-nd 90 cc cc by nc nd
-cc-by-nc-nd 90 creative+noncommercial creative commons attribution non ?commercial no ?derivatives
+cc-by-nc-nd 90 creative+attribution creative commons attribution non ?commercial no ?derivatives
 cc-devnations 85 developing creative commons developing nations
 creative-commons 50 creative creative commons(?: <lic>)?
 creative-commons 60 creativecommons creativecommons org licenses
-openrail-m 85 openrail (?:creativeml )?open ?rail m?
+openrail-m 85 openrail (?:creativeml )?openrail m
+openrail-m 85 open+rail (?:creativeml )?open rail m
 llama-community 80 llama llama (?:2 |3 )?community <lic>
 gemma-terms 75 gemma gemma terms of use
 rail 75 responsible responsible ai <lic>
@@ -254,12 +259,15 @@ public-domain 60 domain public domain
 proprietary 70 reserved all rights reserved
 proprietary 75 proprietary proprietary and confidential
 proprietary 70 confidential confidential(?: and)? proprietary information
-proprietary 60 redistribute (?:may not|do not) (?:copy|redistribute|reproduce)
+proprietary 60 not+copy (?:may not|do not) copy
+proprietary 60 not+redistribute (?:may not|do not) redistribute
+proprietary 60 not+reproduce (?:may not|do not) reproduce
 proprietary 65 permission (?:without|no part) .{0,80}?(?:prior )?written permission
 evaluation 60 evaluation for evaluation (?:purposes )?only
 noncommercial 65 commercial (?:for )?non commercial (?:use|purposes)(?: only)?
 noncommercial 65 noncommercial (?:for )?noncommercial (?:use|purposes)(?: only)?
-research-only 65 research (?:for )?(?:academic|research) (?:use|purposes) only
+research-only 65 research+only (?:for )?research (?:use|purposes) only
+research-only 65 academic+only (?:for )?academic (?:use|purposes) only
 eula 60 eula (?:end user <lic> agreement )?eula
 eula 60 agreement end user <lic> agreement
 shareware 55 shareware shareware

@@ -215,6 +215,60 @@ def test_every_license_rule_compiles_and_needs_its_keywords():
         assert 0 < strength <= 100 and all(w == w.lower() for w in words), label
 
 
+def spelled(tree) -> list[str]:
+    """A text for every alternative of a parsed pattern."""
+    texts = [""]
+    for kind, value in tree:
+        match str(kind):
+            case "LITERAL":
+                more = [chr(value)]
+            case "IN":
+                more = [chr(v) for k, v in value if str(k) == "LITERAL"] or ["x"]
+            case "ANY":
+                more = ["x"]
+            case "BRANCH":
+                more = [t for branch in value[1] for t in spelled(branch)]
+            case "SUBPATTERN":
+                more = spelled(value[3])
+            case "ASSERT":
+                more = spelled(value[1])
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                more = [t * n for t in spelled(value[2]) for n in {value[0], min(value[0] + 1, value[1])}]
+            case _:
+                raise ValueError(kind)
+        texts = [a + b for a in texts for b in more]
+    return texts
+
+
+def test_every_alternative_of_a_license_rule_passes_its_keywords():
+    from re import _parser
+
+    scanner = licenses.Scanner(())
+    for (label, _, words, text), rule in zip(licenses.parsed(), scanner.rules):
+        for sentence in sorted({" ".join(t.split()) for t in spelled(_parser.parse(text))}):
+            held = {licenses.SPELLINGS.get(w.encode(), w.encode()) for w in sentence.split()}
+            assert set(map(str.encode, words)) <= held and rule[3].search(sentence.encode()), (label, sentence)
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("Creative Commons Attribution-Non-Commercial", "cc-by-nc"), ("Creative Commons Attribution-NonCommercial", "cc-by-nc"),
+        ("Creative Commons Attribution-No Derivatives", "cc-by-nd"), ("Creative Commons Attribution-NoDerivatives", "cc-by-nd"),
+        ("Creative Commons Attribution-ShareAlike 3.0", "cc-by-sa-3"), ("Creative Commons Attribution Share Alike 4.0", "cc-by-sa-4"),
+        ("Creative Commons Attribution Non-Commercial Share Alike", "cc-by-nc-sa"), ("Creative Commons Attribution Non-Commercial No Derivatives", "cc-by-nc-nd"),
+        ("GPL 2 or newer", "gpl-2+"), ("GPL version 3 plus", "gpl-3+"), ("GPLv2 plus", "gpl-2+"), ("GPLv3plus", "gpl-3+"), ("GNU General Public License v2 or newer", "gpl-2+"),
+        ("LGPL 2 plus", "lgpl-2+"), ("LGPL 2.1 or newer", "lgpl-2.1+"), ("LGPL 3 or any newer version", "lgpl-3+"), ("GNU Lesser General Public License 3 plus", "lgpl-3+"),
+        ("AGPL 3 plus", "agpl-3+"), ("Affero General Public License 3 or newer", "agpl-3+"),
+        ("PNG Reference Library License version 2", "libpng-2"), ("the beerware license", "beerware"), ("beer-ware license", "beerware"), ("CreativeML Open RAIL-M", "openrail-m"),
+        ("you may not copy it", "proprietary"), ("do not reproduce", "proprietary"), ("for academic use only", "research-only"), ("for research purposes only", "research-only"),
+        ("You should have received a copy of the GNU General Public License", "gpl"), ("fitness for a particular purpose and noninfringement", "mit"),
+    ],
+)
+def test_license_alternatives_have_their_own_label(text, label):
+    assert {d[2] for d in licenses.Scanner(()).scan(text.encode())[1]} == {label}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     elements, weights = np.array([1, 2, 3, 4] * 2, np.uint64), np.array([1, 2, 5, 0.5, 3, 2, 1, 0.5])
     s = neardup.dart_signatures(elements, weights, np.array([0, 4, 8, 8]), 8000)
