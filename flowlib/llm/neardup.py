@@ -112,16 +112,15 @@ def text_signatures(column: pa.Array, k: int = K, weighting: str = "set") -> tup
     """Signatures of a text column, and which texts have words."""
     words = Words(column)
     hashes, of, _ = words.shingles()
-    weights = np.ones(len(hashes))
-    if weighting == "count":
-        owner = np.repeat(np.arange(len(column)), np.diff(of))
-        order = np.lexsort((hashes, owner))
-        hashes, owner = hashes[order], owner[order]
-        fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, bool)
-        starts = np.flatnonzero(fresh)
-        weights = np.diff(np.append(starts, len(hashes))).astype(np.float64)
-        hashes, owner = hashes[starts], owner[starts]
-        of = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(column)))])
+    # Darts are thrown for distinct shingles: repeats would cost memory in each of the sets' rounds.
+    owner = np.repeat(np.arange(len(column)), np.diff(of))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, bool)
+    starts = np.flatnonzero(fresh)
+    weights = np.diff(np.append(starts, len(hashes))).astype(np.float64) if weighting == "count" else np.ones(len(starts))
+    hashes, owner = hashes[starts], owner[starts]
+    of = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(column)))])
     return dart_signatures(hashes, weights, of, k), words.counts > 0
 
 

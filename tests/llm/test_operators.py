@@ -277,6 +277,25 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert np.array_equal(twice, neardup.dart_signatures(np.array([7, 9], np.uint64), np.ones(2), np.array([0, 2]), 64))
 
 
+def test_a_line_repeated_throws_the_darts_of_its_distinct_shingles(monkeypatch):
+    line = "the same short line again\n"
+    thrown, throw = [], neardup._throw
+
+    def counted(seed, *rest):
+        thrown.append(len(seed))
+        assert len(seed) <= 20, "an element a repeat"
+        return throw(seed, *rest)
+
+    monkeypatch.setattr(neardup, "_throw", counted)
+    texts = pa.array([line * 100_000, line * 2, "one " * 100_000, "", None])
+    signatures, worded = neardup.text_signatures(texts)
+    # The line twice has all five shingles; a word a hundred thousand times has one.
+    assert np.array_equal(signatures[0], signatures[1]) and thrown[0] == 11
+    assert worded.tolist() == [True, True, True, False, False] and not signatures[3:].any()
+    counts, _ = neardup.text_signatures(pa.array([line * 2, line * 3]), weighting="count")
+    assert 0 < (counts[0] == counts[1]).mean() < 1
+
+
 def test_near_duplicate_classes(docs, rows, empty):
     known = [(d, t) for d, t, _ in rows if d is not None]
     want = plain.classes(known)
