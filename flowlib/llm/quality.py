@@ -6,15 +6,17 @@ inside a word or over one of its edges, each hashed to one of ``BUCKETS`` vector
 a linear layer of two outputs and a softmax; vectors and layer are learned together by stochastic gradient descent in
 numpy, one document a step, with a falling rate.
 
-Learning uses a bounded sample: the ``max_rows`` labelled rows (half of them of each class at most) with the
-smallest seeded hash of doc_id. Only bucket counts of these rows reach the driver, so what it holds doesn't grow with
-the corpus. The sample's balance is corrected by the classes' shares among all labelled rows.
+Learning uses a bounded sample: the ``max_rows`` labelled ids (half of them of each class at most) with the
+smallest seeded hash of doc_id, each with one label and one text whatever its number of rows. Only bucket counts of these rows reach the driver, so what it holds doesn't grow with
+the corpus. The sample's balance is corrected by the classes' shares among all labelled ids.
 
 Scoring reads every text whole. As averaging and the linear layer commute, the trained model is one number per bucket,
 and a score is the logistic function of their mean: no matrix is built per document.
 
 Defined results: null and empty texts have one feature of their own; without labelled rows, or with one class only,
 every score is the (smoothed) share of class 1; labels other than 0 and 1 and null doc_ids aren't learned from;
+an id labelled more than once has its most frequent label (0, if both are as frequent), and one with several texts is
+learned from by that of the smallest text key;
 repeated rows are scored each for itself; extra columns pass through, and one named like a result is replaced.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlib.llm.arrays import byte_slices, list_array, map_texts, mix64, released, rolling, span_hashes, text_bytes
+from flowlib.llm.arrays import byte_slices, list_array, map_texts, mix64, released, rolling, span_hashes, text_bytes, text_key
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -97,7 +99,7 @@ class Model:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Learn from (buckets, counts, label) rows; ``share`` is class 1's share among all labelled rows."""
+    """Learn from (buckets, counts, label) rows; ``share`` is class 1's share among all labelled ids."""
     labels = np.array([r[2] for r in rows], np.int64)
     prior = float(np.log(share / (1 - share)))
     if len(set(labels.tolist())) < 2:
@@ -134,13 +136,16 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Learn ``label`` from a bounded sample of the labelled documents that aren't held out."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
-    usable = marked.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).join(docs.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    usable = marked.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    # One label per id, the more frequent one.
+    usable = usable.groupBy("id").agg((2 * F.sum("y") > F.count("*")).cast("int").alias("y")).join(docs.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     order = [F.md5(F.concat(F.lit(f"{SEED}:"), F.col("id").cast("string"))), "id"]
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
     chosen = usable.where("y = 0").orderBy(*order).limit(max_rows // 2).union(usable.where("y = 1").orderBy(*order).limit(max_rows // 2))
-    # The sample has max_rows rows at most; its size is what makes the broadcast safe.
-    sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    # The sample has max_rows ids at most; its size is what makes the broadcast safe. One text per id reaches the driver.
+    named = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    sample = named.groupBy("id", "y").agg(F.min_by("text", text_key(F.col("text"))).alias("text"))
 
     def counted(column: pa.Array) -> list:
         buckets, of = features(column)

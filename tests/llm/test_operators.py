@@ -72,6 +72,24 @@ def test_quality_learns_and_skips_held_out(spark):
     assert set(r.doc_id for r in quality.accepted(docs, model).collect()) == {i for i, s in got.items() if s >= 0.7}
 
 
+def test_quality_learns_once_from_an_id_of_many_rows(spark, monkeypatch):
+    rows = [(i, plain.prose(i, 30), "s") for i in range(40)]
+    marks = [(i, i % 2, 0) for i in range(40)]
+    schema = "doc_id bigint, quality int, toxic int"
+    often = [(4, f"another text {n}", "s") for n in range(300)] + [rows[9]] * 50
+    table = spark.createDataFrame(marks + [marks[1]] * 20 + [(3, 0, 0)], schema)
+    learned, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda rows, share: learned.append((rows, share)) or train(rows, share))
+    model = quality.fit(frame(spark, rows + often), table)
+    assert np.array_equal(model.weights, quality.fit(frame(spark, often + rows).repartition(5), table).weights)
+    smallest = min((t for d, t, _ in rows + often if d == 4), key=lambda t: hashlib.md5(t.encode()).digest())
+    quality.fit(frame(spark, [(d, smallest if d == 4 else t, s) for d, t, s in rows]), spark.createDataFrame([(i, 0 if i == 3 else y, 0) for i, y, _ in marks], schema))
+    kept = [i for i in range(40) if i not in {r.doc_id for r in frame(spark, rows).where(quality.held_out(F.col("doc_id"))).collect()}]
+    assert {1, 4, 9, 3} <= set(kept) and [len(r) for r, _ in learned] == [len(kept)] * 3
+    assert learned[0][1] == learned[2][1] and [r[2] for r in learned[0][0]] == [r[2] for r in learned[2][0]]
+    assert all(np.array_equal(a[0], b[0]) for a, b in zip(learned[0][0], learned[2][0]))
+
+
 def test_quality_without_labels_and_odd_texts(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = quality.fit(docs, none)
