@@ -12,7 +12,7 @@ parts, one shard each, and inside a shard the numbers are sorted. A sequence's g
 (the line break of a record is the writer's line end), so shards can go to any store that Spark writes to.
 
 Both passes must see the same rows in the same order, as a scan of stored files gives; the second verifies a checksum
-of each partition and fails instead of writing a wrong order. A reader needs only the shards that its slots lie in.
+of each partition's ids and texts in their order and fails instead of writing a wrong order. A reader needs only the shards that its slots lie in.
 
 Defined results: null and empty texts give one sequence that holds the end token alone; repeated rows give sequences of
 their own; a null doc_id is written as -2**63; no documents give no shards.
@@ -20,6 +20,8 @@ their own; a null doc_id is written as -2**63; no documents give no shards.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlib.llm.arrays import byte_slices, mix64, released
+from flowlib.llm.arrays import byte_slices, mix64, released, text_bytes
 from flowlib.llm.tokens import SLICE_BYTES, encoder
 
 LENGTH = 512
@@ -69,23 +71,32 @@ def _rooms(column: pa.Array, length: int) -> np.ndarray:
     return sizes // length + 1
 
 
-def _mixed(check: int, rooms: np.ndarray) -> int:
-    """A running checksum of room counts in their order."""
-    for room in rooms.tolist():
-        check = (check * 1_000_003 + room) & ((1 << 61) - 1)
-    return check
+class Checksum:
+    """A running checksum of ids and texts in their order, the same however the rows are cut into slices."""
+
+    def __init__(self) -> None:
+        self.rows, self.bytes = hashlib.blake2b(), hashlib.blake2b()
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> None:
+        data, offsets = text_bytes(texts)
+        numbers = pc.fill_null(ids, NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.rows.update(np.stack([numbers, np.diff(offsets)], axis=1).tobytes())
+        self.bytes.update(np.ascontiguousarray(data))
+
+    def value(self) -> int:
+        return int.from_bytes(hashlib.blake2b(self.rows.digest() + self.bytes.digest(), digest_size=8).digest(), "little", signed=True)
 
 
 def _records(docs: DataFrame, path: str, end: int, length: int, shards_for: int, seed: int) -> tuple[DataFrame, int]:
     frame = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def measure(batches):
-        rooms, check = 0, 0
+        rooms, check = 0, Checksum()
         for batch in batches:
             for part in byte_slices(batch, 1):
-                each = _rooms(part.column(1), length)
-                rooms, check = rooms + int(each.sum()), _mixed(check, each)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([rooms], pa.int64()), pa.array([check], pa.int64())], ["part", "rooms", "seen"])
+                rooms += int(_rooms(part.column(1), length).sum())
+                check.add(part.column(0), part.column(1))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([rooms], pa.int64()), pa.array([check.value()], pa.int64())], ["part", "rooms", "seen"])
 
     # One row of three numbers per input partition.
     rows = sorted(tuple(r) for r in frame.mapInArrow(released(measure), "part int, rooms bigint, seen bigint").collect())
@@ -98,11 +109,11 @@ def _records(docs: DataFrame, path: str, end: int, length: int, shards_for: int,
 
     def encode(batches):
         begin, expected = shared.value[TaskContext.get().partitionId()]
-        check = 0
+        check = Checksum()
         for batch in batches:
             for part in byte_slices(batch, 1, SLICE_BYTES):
                 rooms = _rooms(part.column(1), length)
-                check = _mixed(check, rooms)
+                check.add(part.column(0), part.column(1))
                 base = begin + np.cumsum(rooms) - rooms
                 begin += int(rooms.sum())
                 slot, out = sequences(part.column(0), part.column(1), base, path, end, length, total, seed)
@@ -113,8 +124,8 @@ def _records(docs: DataFrame, path: str, end: int, length: int, shards_for: int,
                 binary = pa.BinaryArray.from_buffers(pa.binary(), len(out), [None, pa.py_buffer((np.arange(len(out) + 1) * size).astype(np.int32)), flat])
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot), binary], ["shard", "number", "record"])
         encoder(path, "ids").forget()  # the worker goes on to other work
-        if check != expected:
-            raise RuntimeError("documents came in another order than in the first pass; store them before writing shards")
+        if check.value() != expected:
+            raise RuntimeError("documents came with other content or in another order than in the first pass; store them before writing shards")
 
     return frame.mapInArrow(released(encode), "shard int, number bigint, record binary"), shards
 

@@ -379,6 +379,32 @@ def test_shards_round_trip(spark, docs, rows, empty, tmp_path):
     assert shards.read_shards(spark, none, 64).count() == 0
 
 
+@pytest.mark.parametrize("second", [[(2, "bb"), (1, "aa")], [(1, "aa"), (2, "bc")], [(1, "aa"), (3, "bb")], [(1, "aab"), (2, "b")]])
+def test_shards_fail_if_the_second_reading_differs(spark, tmp_path, second):
+    read = str(tmp_path / "read")
+
+    def reading(batches):
+        import os
+
+        for _ in batches:
+            rows = second if os.path.exists(read) else [(1, "aa"), (2, "bb")]
+            open(read, "w").close()
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+
+    docs = spark.range(0, 1, 1, 1).mapInArrow(reading, "doc_id bigint, text string")
+    with pytest.raises(Exception, match="in another order than in the first pass"):
+        shards.write_shards(docs, str(tmp_path / "shards"), RANKS)
+
+
+def test_checksum_does_not_depend_on_slices():
+    ids, texts = pa.array([1, None, 3]), pa.array(["é x", None, "z" * 9])
+    whole, cut = shards.Checksum(), shards.Checksum()
+    whole.add(ids, texts)
+    for i in range(3):
+        cut.add(ids.slice(i, 1), texts.slice(i, 1))
+    assert whole.value() == cut.value() != shards.Checksum().value()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 4096, 5000])
 def test_permutation(n):
     assert sorted(shards.permuted(np.arange(n), n).tolist()) == list(range(n))
