@@ -7,7 +7,7 @@ text, ``<|end|>`` and a line break. ``<|`` inside a text or name becomes ``< |``
 The mask is a list of character spans ``start-end`` that cover the assistant's texts with their end markers.
 
 Conversations of any length: turns are rendered in parts of ``part_turns`` turn numbers, a row per (conversation,
-perspective, part), so no task holds more than one part. Rows that are the same in conv_id, turn, role and text are
+perspective, part). A part is bounded in turn numbers, not in turns: those that tie are in one part, and so in one row. Rows that are the same in conv_id, turn, role and text are
 one turn, whatever their number.
 
 Defined results: a null role is the speaker ``unknown``, a null text is empty, a null turn comes last and is in a part
