@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlib.llm import chat, decontaminate, fingerprints, licenses, mixing, neardup, passages, quality, shards, tokens
+from flowlib.llm import chat, decontaminate, fingerprints, licenses, mixing, neardup, negatives, neighbours, passages, quality, shards, spelling, tokens
 from flowlib.llm.arrays import small_batches
 from flowlib.scratch import new_path
 
@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": decontaminate.SQL,
     "op3_mixing": mixing.SQL,
     "op10_chat_perspectives": chat.SQL,
+    "op11_hard_negatives": negatives.SQL,
 }
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -100,3 +101,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chat_perspectives")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_hard_negatives")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
