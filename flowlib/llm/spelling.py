@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +34,16 @@ from pyspark.sql import functions as F
 
 from flowlib.llm.arrays import LOWER, byte_slices, released, text_bytes
 from flowlib.llm.neardup import in_blocks, whole_blocks
-from flowlib.scratch import stored
+from flowlib.scratch import small_side, stored
 
 EVERY = 97
 LEAST_LETTERS, LEAST_COUNT = 5, 3
-QMIN, QMAX = 2, 5
+QMIN, QMAX = 2, 4
 #: Places of the vocabulary that a gram must exceed to be lengthened, at least, and the most grams of one length above it.
-LONG_LIST, FREQUENT = 64, 16384
+LONG_LIST, FREQUENT = 64, 1 << 16
 BLOCK = 1024
-#: Longer words are verified one by one, shorter ones in matrices of this many letters and pairs.
-WIDE, PAIRS = 64, 1 << 17
+#: Longer words are verified one by one, shorter ones in matrices of this many letters; pairs looked at in one step.
+WIDE, PAIRS = 64, 1 << 18
 
 _TABLE = np.zeros(256, np.uint32)
 for _i in range(256):
@@ -163,7 +164,7 @@ class Grams:
 
     def affected(self, marked: str, grams: list[tuple[int, int]]) -> int:
         """The most grams that one deleted, replaced or inserted letter can change or let go."""
-        change = np.zeros(len(marked) + 1, np.int64)
+        change = [0] * (len(marked) + 1)
         for p, end in grams:
             # Edits at p to end - 1 touch it; from further left it can be swallowed.
             low = p
@@ -171,48 +172,38 @@ class Grams:
                 low -= 1
             change[low] += 1
             change[end] -= 1
-        return int(np.cumsum(change)[: len(marked) - 1].max())
-
-    def rare_first(self, marked: str, grams: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        return sorted(grams, key=lambda g: (self.frequent.get(marked[g[0]: g[1]], 0), marked[g[0]: g[1]], g[0]))
+        return max(accumulate(change[: len(marked) - 1]))
 
     def lists(self, word: str) -> tuple[list[tuple[int, str]], bool]:
-        """Place and text of the grams whose lists the word is in, and whether some gram stays in any case."""
+        """Place and text of the grams whose lists the word is in, rare ones first, and whether some gram stays in any case."""
         marked = f"^{word}$"
         grams = self.cut(marked)
         most = self.affected(marked, grams)
-        return [(p, marked[p:end]) for p, end in self.rare_first(marked, grams)[: most + 1]], most < len(grams)
-
+        rare = sorted([(self.frequent.get(marked[p:end], 0), marked[p:end], p) for p, end in grams])
+        return [(p, gram) for _, gram, p in rare[: most + 1]], most < len(grams)
 
-def list_members(words: DataFrame, grams: Grams, open_only: bool = False) -> DataFrame:
-    """(key, longer, node, word, n, sure): each word in its lists, as one of the list's length and, one letter shorter, as a longer one.
 
-    ``open_only`` keeps words of which every gram can be affected in ``grams``, for the second index.
-    """
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(grams)
-    schema = "word string, n bigint, keys array<string>, others array<string>, sure boolean"
+def word_lists(words: DataFrame, grams: Grams, name: str) -> DataFrame:
+    """Stored words with the places and grams of the lists that each is in, and whether some gram of it stays in any case."""
+    shared = words.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches):
         for batch in batches:
-            for a in range(0, len(batch), 1024):
-                part = batch.slice(a, 1024)
-                keys, others, sure = [], [], []
-                for word in part.column(0).to_pylist():
-                    found, certain = shared.value.lists(word)
-                    size = len(word)
-                    keys.append(sorted({f"{size} {p} {g}" for p, g in found}))
-                    others.append(sorted({f"{size - 1} {q} {g}" for p, g in found for q in (p - 1, p) if q >= 0}))
-                    sure.append(certain)
-                kind = pa.list_(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, kind), pa.array(others, kind), pa.array(sure)], ["word", "n", "keys", "others", "sure"])
-
-    cut = words.select("word", "n").mapInArrow(released(run), schema)
-    if open_only:
-        return cut.where("not sure").select("word", "n")
-    tagged = F.expr("concat(transform(keys, k -> struct(k as key, false as longer)), transform(others, k -> struct(k as key, true as longer)))")
+            found = [shared.value.lists(word) for word in batch.column(0).to_pylist()]
+            of = np.concatenate([[0], np.cumsum([len(f) for f, _ in found])]).astype(np.int32)
+            cells = pa.StructArray.from_arrays([pa.array([p for f, _ in found for p, _ in f], pa.int32()), pa.array([g for f, _ in found for _, g in f], pa.string())], ["p", "g"])
+            lists = pa.ListArray.from_arrays(pa.array(of), cells)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array([c for _, c in found], pa.bool_())], ["word", "n", "lists", "sure"])
+
+    return stored(words.select("word", "n").mapInArrow(released(run), "word string, n bigint, lists array<struct<p: int, g: string>>, sure boolean"), name)
+
+
+def list_members(lists: DataFrame) -> DataFrame:
+    """(key, longer, word, n): each word in its lists, as one of the list's length and, one letter shorter, as a longer one."""
+    own = "struct(xxhash64(length(word), l.p, l.g) as key, false as longer)"
+    other = "struct(xxhash64(length(word) - 1, l.p - {0}, l.g) as key, true as longer)"
     # Lists that share a hash are read as one: their words are verified all the same.
-    return cut.select("word", "n", F.inline(tagged)).withColumns({"key": F.xxhash64("key"), "node": F.xxhash64("word")})
+    return lists.select("word", "n", F.inline(F.expr(f"flatten(transform(lists, l -> array({own}, {other.format(0)}, {other.format(1)})))")))
 
 
 def near_in_matrix(short: np.ndarray, other: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
@@ -237,37 +228,51 @@ def near(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
-def near_pairs(words: list[str], longer: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def letter_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of words as zero-padded rows of one byte each (none of words over ``WIDE``), their numbers, and their letters as a set of 64 bits."""
+    data, offsets = text_bytes(column)
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    flat = np.where(second, data + np.uint8(0x40), data)[data != 0xC3]
+    starts = offsets - np.concatenate([[0], np.cumsum(data == 0xC3)])[offsets]
+    size = np.diff(starts)
+    held = np.bitwise_or.reduceat(np.uint64(1) << (flat & 63).astype(np.uint64), starts[:-1]) if len(size) else np.zeros(0, np.uint64)
+    short = size <= WIDE
+    letters = np.zeros((len(size), int(size[short].max(initial=0)) + 2), np.uint8)
+    wanted = np.repeat(short, size)
+    row = np.repeat(np.arange(len(size)), size)
+    letters[row[wanted], (np.arange(len(flat)) - starts[row])[wanted]] = flat[wanted]
+    return letters, size, held
+
+
+def near_pairs(column: pa.Array, longer: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of near words of one block, i of the list's length; rows of a block stand together."""
-    size = np.array([len(w) for w in words], np.int64)
+    letters, size, held = letter_rows(column)
     starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     ends = np.append(starts[1:], len(block))
     base = np.flatnonzero(~longer)
-    end = np.repeat(ends, ends - starts)[base]
+    counts = (np.repeat(ends, ends - starts) - np.repeat(starts, ends - starts))[base]
     begin = np.repeat(starts, ends - starts)[base]
-    short = size <= WIDE
-    letters = np.zeros((len(words), WIDE + 2), np.uint8)
-    for i in np.flatnonzero(short):
-        row = words[i].encode("latin-1")
-        letters[i, : len(row)] = np.frombuffer(row, np.uint8)
-    width = int(size[short].max(initial=0)) + 2
     left, right = [], []
-    # A base row meets each base row behind it and all longer rows of its block.
-    counts = end - begin
+    # A row of the list's length meets each such row behind it and all longer rows of its block.
     upto = np.concatenate([[0], np.cumsum(counts)])
     a = 0
     while a < len(base):
         b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, side="right")) - 1)
         i = np.repeat(base[a:b], counts[a:b])
-        j = np.arange(len(i)) - np.repeat(upto[a:b] - upto[a], counts[a:b]) + np.repeat(begin[a:b], counts[a:b])
+        j = np.arange(len(i)) + np.repeat(begin[a:b] - (upto[a:b] - upto[a]), counts[a:b])
+        # One edit takes a letter from the set, adds one, or both.
+        like = np.flatnonzero(np.bitwise_count(held[i] ^ held[j]) <= 2)
+        i, j = i[like], j[like]
         meet = longer[j] | (j > i)
         i, j = i[meet], j[meet]
-        fast = short[i] & short[j]
+        fast = (size[i] <= WIDE) & (size[j] <= WIDE)
         x, y = i[fast], j[fast]
-        good = near_in_matrix(letters[x, :width], letters[y, :width], size[x], size[y])
-        slow = np.array([near(words[p], words[q]) for p, q in zip(i[~fast], j[~fast])], bool)
-        left += [x[good], i[~fast][slow]]
-        right += [y[good], j[~fast][slow]]
+        good = near_in_matrix(letters[x], letters[y], size[x], size[y])
+        i, j = i[~fast], j[~fast]
+        slow = np.array([near(column[p].as_py(), column[q].as_py()) for p, q in zip(i.tolist(), j.tolist())], bool)
+        left += [x[good], i[slow]]
+        right += [y[good], j[slow]]
         a = b
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
@@ -275,14 +280,15 @@ def near_pairs(words: list[str], longer: np.ndarray, block: np.ndarray) -> tuple
 
 def merged_lists(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """(word, n, other, other_n) of near words that meet in a list, both ways."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.bool_or(~F.col("longer")).alias("based")).where("size > 1 and based").drop("based")
-    rows = in_blocks(members.join(sizes, "key"), "key", F.col("size"), block).select("block", "longer", "word", "n")
+    # Only long lists are cut; they are so few that the rows needn't be shuffled to learn which they are.
+    long = small_side(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block), "long_lists")
+    sized = members.join(long, "key", "left").select("key", "longer", "word", "n", F.coalesce("size", F.lit(1)).alias("size"), F.xxhash64("word").alias("node"))
+    rows = in_blocks(sized, "key", F.col("size"), block).select("block", "longer", "word", "n")
 
     def run(batches):
         for table in whole_blocks(batches):
-            words, n = table["word"].to_pylist(), table["n"].to_numpy()
-            i, j = near_pairs(words, table["longer"].to_numpy(zero_copy_only=False), table["block"].to_numpy()) if words else (np.zeros(0, np.int64),) * 2
-            names = table["word"].combine_chunks()
+            names, n = table["word"].combine_chunks(), table["n"].to_numpy()
+            i, j = near_pairs(names, table["longer"].to_numpy(), table["block"].to_numpy())
             both, back = np.concatenate([i, j]), np.concatenate([j, i])
             yield pa.RecordBatch.from_arrays([names.take(pa.array(both)), pa.array(n[both]), names.take(pa.array(back)), pa.array(n[back])], ["word", "n", "other", "other_n"])
 
@@ -291,11 +297,10 @@ def merged_lists(members: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def near_words(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, least: int = LONG_LIST, most: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """Stored distinct near pairs (word, n, other, other_n) of a vocabulary, both ways."""
-    grams = Grams(frequent_grams(words, qmin, qmax, least, most), qmin, qmax)
-    left = stored(list_members(words, grams, open_only=True), "open_words")
-    first = merged_lists(list_members(words, grams), block)
-    again = merged_lists(list_members(left, Grams({}, qmin, qmin)), block)
-    return stored(first.union(again).distinct(), "near_words")
+    lists = word_lists(words, Grams(frequent_grams(words, qmin, qmax, least, most), qmin, qmax), "word_lists")
+    again = word_lists(lists.where("not sure"), Grams({}, qmin, qmin), "open_word_lists")
+    found = merged_lists(list_members(lists), block).union(merged_lists(list_members(again), block))
+    return stored(found.distinct(), "near_words")
 
 
 def followed(forms: DataFrame) -> DataFrame:
