@@ -1,9 +1,10 @@
-"""Exact percentiles of groups of any size, on one path whatever the size.
+"""Exact percentiles of groups of any size by radix selection: nothing is sorted by value and no group is gathered.
 
-Values are first collapsed to one counted row per distinct value, combined before the shuffle, so ties cost one row.
-The distinct values are range-partitioned by (group, column, value) and stored once with chunk and position; sums per
-chunk, one small row each, say which chunks hold a wanted rank, and only those chunks are ordered. A chunk is one
-range of the sample, so values that lie close together are spread like any others and no group is gathered whole.
+A double becomes a 64-bit whole number of the same order. The first round counts its leading 24 bits, combined before the
+shuffle; running sums over these counts, one small row each, name the buckets that hold a wanted rank, and what lies
+below them. Only values of those buckets go on, to the next 20 bits and then the last 20. A bucket whose smallest and
+largest value agree is settled, so rounds end as soon as all are: after the first for whole numbers under 4,096. The
+values are stored once as the narrow columns they are, and no round depends on how many or how skewed they are.
 """
 
 from __future__ import annotations
@@ -11,8 +12,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlib.operators.ordered import CHUNK, POSITION, in_chunks, join_same
-from flowlib.scratch import small_side
+from flowlib.operators.ordered import join_same
+from flowlib.scratch import small_side, stored
+
+#: Bits that are still to the right after each round.
+ROUNDS = (40, 20, 0)
+_MANTISSA = 1 << 52
+
+
+def ordered_bits(v: str) -> str:
+    """SQL of a whole number that orders doubles as their values do; 0.0 and -0.0 are one, null stays null.
+
+    Exponent and mantissa of the IEEE form are found by arithmetic that is exact: powers of two, and division by them.
+    The logarithm may be off by one at powers of two, which the comparison after it mends.
+    """
+    size = f"abs({v})"
+    guess = f"greatest(-1022, least(1023, coalesce(cast(floor(log2({size})) as int), -1022)))"
+    exact = f"transform(array({guess}), e -> e + case when {size} >= pow(2D, e + 1) then 1 when e > -1022 and {size} < pow(2D, e) then -1 else 0 end)[0]"
+    bits = f"transform(array({exact}), e -> (e + 1022L) * {_MANTISSA}L + cast({size} / pow(2D, e) * {_MANTISSA}D as bigint))[0]"
+    bits = f"case when {size} = double('Infinity') then {2047 * _MANTISSA}L else {bits} end"
+    return f"case when {v} is null then null when {v} < 0 then -({bits}) else {bits} end"
 
 
 def _rank_sql(q: float, n: str, method: str) -> tuple[str, str, str]:
@@ -30,40 +49,51 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     half to even. A group without any value has nulls. Text that is no number counts as null.
     """
     columns = sorted({column for column, _ in wanted.values()})
-    cells = ", ".join(f"nanvl(try_cast(`{c}` as double), cast(null as double))" for c in columns)
+    # Adding 0.0 makes -0.0 the same value as 0.0.
+    cells = [F.expr(f"nanvl(try_cast(`{c}` as double), cast(null as double)) + 0D").alias(f"__v{i}") for i, c in enumerate(columns)]
+    narrow = stored(df.select(*keys, *cells), "percentile_values")
     group = [*keys, "_m"]
-    # A null is kept as a row that counts nothing, so that a group without values isn't lost.
-    values = df.select(*keys, F.expr(f"posexplode(array({cells})) as (_m, _v)")).groupBy(*group, "_v").agg(F.count("_v").alias("_c"))
-    rows = in_chunks(values, group, ["_v"], "percentile_values")
-
     names = [f"`{k}`" for k in group]
     by = ", ".join(names)
-    chunks = rows.groupBy(*group, CHUNK).agg(F.sum("_c").alias("_c")).selectExpr(
-        *names, CHUNK, "_c",
-        f"sum(_c) over (partition by {by} order by {CHUNK} rows unbounded preceding) - _c as _base",
-        f"sum(_c) over (partition by {by}) as _n",
-    )
+    values = narrow.selectExpr(*names[:-1], f"posexplode(array({', '.join(f'__v{i}' for i in range(len(columns)))})) as (_m, _v)")
+
     qs = sorted({q for _, q in wanted.values()})
     ends = [r for q in qs for r in _rank_sql(q, "_n", method)[:2]]
     hit = " or ".join(f"({r} >= _base and {r} < _base + _c)" for r in dict.fromkeys(ends))
-    # Stored, the wanted chunks have a known size: while they are few, the values aren't shuffled again.
-    targets = small_side(chunks.where(hit).drop("_c"), "percentile_chunks")
-    ordered = join_same(rows, targets, [*group, CHUNK], "inner").selectExpr(
-        *names, "_v", "_n", "_c", f"_base + sum(_c) over (partition by {by}, {CHUNK} order by {POSITION} rows unbounded preceding) - _c as _below"
-    )
+    counts = [F.count("_v").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+
+    def wanted_buckets(counted: DataFrame, within: str, base: str, total: str) -> DataFrame:
+        below = f"{base} + sum(_c) over (partition by {within} order by _b rows unbounded preceding) - _c as _base"
+        placed = counted.selectExpr(*names, "_b", "_c", "_lo", "_hi", below, f"{total} as _n")
+        # A row of nulls is kept, so that a group without values isn't lost. Stored, the buckets have a known size.
+        return small_side(placed.where(f"_b is null or {hit}"), "percentile_buckets")
+
+    first = values.withColumn("_b", F.shiftright(F.expr(ordered_bits("_v")), ROUNDS[0])).groupBy(*group, "_b").agg(*counts)
+    found = wanted_buckets(first, by, "0L", f"sum(_c) over (partition by {by})")
+    settled = found.where("_lo is null or _lo = _hi")
+    for shift in ROUNDS[1:]:
+        if not found.where("_lo < _hi").limit(1).count():
+            break
+        # An open bucket is a range of values: only those in it are looked at again.
+        open_ = found.where("_lo < _hi").selectExpr(*names, "_b as _of", "_lo as _from", "_hi as _to", "_base as _under", "_n")
+        inside = join_same(values, open_, group, "inner").where("_v >= _from and _v <= _to")
+        inside = inside.withColumn("_b", F.shiftright(F.expr(ordered_bits("_v")), shift))
+        counted = inside.groupBy(*group, "_of", "_under", "_n", "_b").agg(*counts)
+        found = wanted_buckets(counted, f"{by}, _of", "_under", "_n")
+        settled = settled.union(found.where("_lo = _hi"))
+
     picks = []
     for i, q in enumerate(qs):
         low, high, _ = _rank_sql(q, "_n", method)
         for side, r in (("lo", low), ("hi", high)):
-            picks.append(F.expr(f"max(case when {r} >= _below and {r} < _below + _c then _v end) as _{side}{i}"))
-    per_column = ordered.groupBy(*group).agg(F.expr("max(_n) as _n"), *picks)
+            picks.append(F.expr(f"max(case when {r} >= _base and {r} < _base + _c then _lo end) as _{side}{i}"))
+    per_column = settled.groupBy(*group).agg(F.expr("max(_n) as _n"), *picks)
     exprs = []
     for i, q in enumerate(qs):
         share = _rank_sql(q, "_n", method)[2]
         exprs.append(f"case when _lo{i} = _hi{i} then _lo{i} else _lo{i} * (1 - {share}) + _hi{i} * {share} end as _q{i}")
     out = [F.expr(f"max(case when _m = {columns.index(c)} then _q{qs.index(q)} end) as `{name}`") for name, (c, q) in wanted.items()]
-    found = per_column.selectExpr(*names, *exprs).groupBy(*keys).agg(*out)
-    return join_same(rows.select(*keys).distinct(), found, keys, "left") if keys else found
+    return per_column.selectExpr(*names, *exprs).groupBy(*keys).agg(*out)
 
 
 def approx_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000) -> DataFrame:

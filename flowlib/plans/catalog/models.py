@@ -8,7 +8,7 @@ from flowlib.operators import ml, quality, threshold
 from flowlib.plans import views
 from flowlib.plans.experiment import ExperimentConfig, run_experiment
 from flowlib.plans.registry import query
-from flowlib.scratch import new_path
+from flowlib.scratch import new_path, stored
 
 DIMENSIONS = 64
 EMBEDDED = [f"x{i}" for i in range(DIMENSIONS)]
@@ -83,9 +83,9 @@ def _fit(spark, sf, name, weighted=False):
 
 def _report(scored, name):
     """What holds of any sound fit: class totals of the confusion counts, and scores that tell the classes apart."""
-    rows = scored.withColumn("model", F.lit(name))
-    counts = quality.confusion_metrics(rows, ["model"])
-    return counts.join(threshold.roc_auc(rows, ["model"]), "model").select(
+    rows = stored(scored.select("label_binary", "prediction", "score"), "scored").withColumn("model", F.lit(name))
+    both = quality.confusion_metrics(rows, ["model"]).unionByName(threshold.roc_auc(rows, ["model"]), allowMissingColumns=True)
+    return both.groupBy("model").agg(*[F.max(c).alias(c) for c in ("tp", "fn", "fp", "tn", "roc_auc")]).select(
         "model", (F.col("tp") + F.col("fn")).cast("bigint").alias("positives"), (F.col("fp") + F.col("tn")).cast("bigint").alias("negatives"), (F.col("roc_auc") > 0.5).alias("above_chance")
     )
 

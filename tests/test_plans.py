@@ -62,16 +62,15 @@ def test_selected_percentiles_never_gather_a_group(spark):
     df = exact_percentiles(views.preds(spark, SF), ["run_tag"], {"p": ("end_to_end_ms", 0.95)})
     text = plan(df)
     assert "percentile(" not in text and "collect_list" not in text and "ObjectHashAggregate" not in text
-    # Ordered windows run inside (group, chunk); the stored target side is broadcast.
-    assert "BroadcastHashJoin" in text and "SinglePartition" not in text
-    ordered = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[(_position[^\]]*)\]", text)
-    assert ordered and all("_chunk" in keys for keys, _ in ordered)
+    # Values are only counted by buckets: no range partition, and no window over values.
+    assert "rangepartitioning" not in text and "SinglePartition" not in text and "_v#" not in text.split("Window", 1)[0]
+    assert not re.findall(r"Window \[[^\]]*\], \[[^\]]*\], \[_v", text)
 
 
 def test_scores_are_ordered_inside_chunks(spark):
     text = plan(roc_auc(views.scored(spark, SF), ["model"]))
     ordered = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[([^\]]*)\]", text)
-    assert ordered and all("_chunk" in keys and order.startswith("_position") for keys, order in ordered)
+    assert ordered and all("_at" in keys and order.startswith("_position") for keys, order in ordered)
 
 
 def test_label_join_is_one_equi_join(spark):
