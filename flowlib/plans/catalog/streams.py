@@ -8,7 +8,8 @@ from flowlib.functions import timing
 from flowlib.plans import views
 from flowlib.plans.registry import query
 from flowlib.scratch import new_path
-from flowlib.streaming import runs, scoring, source, twins
+from flowlib.sources import record_log
+from flowlib.streaming import closing, observed, runs, scoring, source, twins
 
 FEATURES = ["value", "k"]
 STARTED_MS = 1704500000000
@@ -262,3 +263,78 @@ def latency_by_window_append(spark, sf):
     """The bounded form, with a watermark; windows of the last days may still be open when the run ends."""
     windows = twins.latency_by_window(_emitted(spark, sf), "1 hour", "1 hour")
     return _run(windows, spark, "closed-windows").where("window_start < timestamp '2024-01-28'")
+
+
+@query("stream_label_join_closed", sql="""
+SELECT p.event_id, p.kafka_partition, p.kafka_offset, f.label_binary, f.label FROM preds p LEFT JOIN (SELECT * FROM flows WHERE event_id % 19 <> 0) f USING (kafka_partition, kafka_offset)""")
+def stream_label_join_closed(spark, sf):
+    """Every prediction, with its label or without one: both streams end with a record that closes them."""
+    sent, labelled = new_path(spark, "sent"), new_path(spark, "labelled")
+    rows = views.preds(spark, sf, offsets=True)
+    closing.write_stream_input(rows.select("event_id", "emit_time", "kafka_partition", "kafka_offset"), sent, "emit_time", "1 day")
+    inputs = rows.where("event_id % 19 <> 0").select(
+        "kafka_partition", "kafka_offset", F.col("event_time_ts").alias("event_time"), F.expr("cast(label = 'error' as int)").alias("label_binary"), "label"
+    )
+    closing.write_stream_input(inputs, labelled, "event_time", "1 day")
+    left, right = (spark.readStream.schema(spark.read.parquet(p).schema).parquet(p) for p in (sent, labelled))
+    joined = twins.stream_label_join(left, right, closing=True)
+    return _run(joined, spark, "closed-labels").select("event_id", "kafka_partition", "kafka_offset", "label_binary", "label")
+
+
+@query("latency_by_window_closed", sql=f"""
+SELECT run_tag, coalesce(benchmark_phase, 'measure') AS benchmark_phase, date_trunc('hour', emit_time) AS window_start, count(*) AS rows, max(end_to_end_ms) AS e2e_max_ms, {_WINDOW_QUANTILES}
+FROM preds GROUP BY 1, 2, 3""")
+def latency_by_window_closed(spark, sf):
+    """The bounded form with all its windows: the stream ends with a record that closes the last ones."""
+    path = new_path(spark, "closing-input")
+    rows = views.preds(spark, sf).select("run_tag", "benchmark_phase", "emit_time", "end_to_end_ms")
+    closing.write_stream_input(rows, path, "emit_time", "1 day")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return _run(twins.latency_by_window(stream, "1 hour", "1 hour", closing=True), spark, "all-windows")
+
+
+@query("capped_stream", sql="""
+SELECT kafka_partition, count(*) AS rows, count(*) AS distinct_rows, max(kafka_offset) AS max_offset, true AS capped, true AS several_batches FROM records GROUP BY 1""")
+def capped_stream(spark, sf):
+    """A source that takes about a seventh of the records a batch at most, read half, and restarted from its checkpoint when the rest has come."""
+    log, out, checkpoint = (new_path(spark, n) for n in ("record-log", "capped", "capped-checkpoint"))
+    rows = _batch(spark, sf)
+    middle = rows.agg(F.floor(F.avg("kafka_offset"))).first()[0]
+    most = max(4, rows.count() // 7)
+
+    def attempt():
+        records = source.parse_json_flow(record_log.log_envelope(spark, log, f"{checkpoint}-position", most), FEATURES)
+        runs.until_idle(runs.batch_writer(records, out, checkpoint, "capped"))
+
+    record_log.append_records(rows.where(F.col("kafka_offset") < middle), log)
+    attempt()
+    record_log.append_records(rows.where(F.col("kafka_offset") >= middle), log)
+    attempt()
+    batches = spark.read.parquet(out)
+    most_in_batch = batches.groupBy("batch_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("_most"), F.count("*").alias("_batches"))
+    counts = batches.groupBy("kafka_partition").agg(F.count("*").alias("rows"), F.count_distinct("kafka_offset").alias("distinct_rows"), F.max("kafka_offset").alias("max_offset"))
+    limits = most_in_batch.first()
+    return counts.select("*", F.lit(limits[0] <= most).alias("capped"), F.lit(limits[1] >= 7).alias("several_batches"))
+
+
+_SHARE = "(SELECT greatest(1, (count(*) // 9) // count(DISTINCT kafka_partition)) FROM records)"
+
+
+@query("stream_lag_series", sql=f"""
+SELECT b AS batch_id, q.kafka_partition, coalesce(rows, 0) AS rows,
+  max(top) OVER (PARTITION BY q.kafka_partition ORDER BY b) AS processed_offset_max,
+  high - 1 - coalesce(max(top) OVER (PARTITION BY q.kafka_partition ORDER BY b), -1) AS lag_records
+FROM (SELECT kafka_partition, max(kafka_offset) + 1 AS high FROM records GROUP BY 1) q
+CROSS JOIN (SELECT DISTINCT kafka_offset // {_SHARE} AS b FROM records) n
+LEFT JOIN (SELECT kafka_partition, kafka_offset // {_SHARE} AS b, count(*) AS rows, max(kafka_offset) AS top FROM records GROUP BY 1, 2) r USING (kafka_partition, b)""")
+def stream_lag_series(spark, sf):
+    """Backlog of every partition after every batch, from metrics observed inside the batches of a source capped by records."""
+    log, checkpoint, progress = (new_path(spark, n) for n in ("lag-log", "lag-checkpoint", "lag-progress"))
+    rows = _batch(spark, sf)
+    record_log.append_records(rows, log)
+    parts = record_log.log_partitions(spark, log)
+    envelope = record_log.log_envelope(spark, log, f"{checkpoint}-position", max(len(parts), rows.count() // 9))
+    watched = observed.with_batch_metrics(envelope, parts)
+    with runs.logged_progress(spark, progress):
+        runs.until_idle(runs.table_writer(source.parse_json_flow(watched, FEATURES), new_path(spark, "lag-rows"), checkpoint, "lag-series"))
+    return observed.lag_series(spark.read.schema(runs.LOGGED_SCHEMA).parquet(progress), record_log.high_watermarks(spark, log))

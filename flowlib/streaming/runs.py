@@ -8,7 +8,7 @@ import threading
 from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
@@ -18,6 +18,8 @@ PROGRESS_SCHEMA = (
     "query_name string, batch_id bigint, ts_utc string, input_rows bigint, processed_rows_per_sec double, "
     "batch_ms bigint, add_batch_ms bigint, source string, start_offset string, end_offset string, latest_offset string"
 )
+#: Logged reports also hold the metrics that a query observed inside its batches, as JSON.
+LOGGED_SCHEMA = f"{PROGRESS_SCHEMA}, observed string"
 
 
 def prediction_records(scored: DataFrame) -> DataFrame:
@@ -50,6 +52,15 @@ def table_writer(df: DataFrame, path: str, checkpoint: str, name: str) -> DataSt
     return _append(df, checkpoint, name).format("parquet").option("path", path)
 
 
+def batch_writer(df: DataFrame, path: str, checkpoint: str, name: str) -> DataStreamWriter:
+    """Every micro-batch under its own number, ``batch_id``: a batch that is tried again replaces what it wrote before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName(name)
+
+
 def processing_trigger(writer: DataStreamWriter, interval: str) -> DataStreamWriter:
     """Fixed micro-batch interval; a blank one is an error."""
     interval = str(interval).strip()
@@ -70,6 +81,16 @@ def drain(writer: DataStreamWriter, timeout_sec: float = 600.0) -> StreamingQuer
     return query
 
 
+def until_idle(writer: DataStreamWriter) -> StreamingQuery:
+    """Process batch after batch until the source has nothing new, and stop: for sources that cap their batches themselves."""
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def _file_system(spark: SparkSession, path: str):
     """Hadoop path and its file system, so that any shared storage works."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -105,6 +126,7 @@ def _progress_cells(report) -> list[tuple]:
             data.get("name"), int(data.get("batchId", 0)), data.get("timestamp"), int(source.get("numInputRows", 0)),
             float(source.get("processedRowsPerSecond") or 0.0), int(took.get("triggerExecution", 0)), int(took.get("addBatch", 0)),
             source.get("description"), *[json.dumps(source.get(k)) for k in ("startOffset", "endOffset", "latestOffset")],
+            json.dumps({name: row.asDict() if isinstance(row, Row) else row for name, row in data.get("observedMetrics", {}).items()}),
         )
         for source in data.get("sources", [])
     ]
@@ -119,7 +141,7 @@ def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     reports, kept = query.recentProgress, int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
     if len(reports) >= kept:
         raise RuntimeError(f"only the last {kept} progress reports are kept: log them while the query runs")
-    return spark.createDataFrame([cells for report in reports for cells in _progress_cells(report)], PROGRESS_SCHEMA)
+    return spark.createDataFrame([cells for report in reports for cells in _progress_cells(report)], LOGGED_SCHEMA)
 
 
 class ProgressLog(StreamingQueryListener):
@@ -152,7 +174,7 @@ class ProgressLog(StreamingQueryListener):
         """Append the buffered rows to ``path``; the number of rows written."""
         taken = [self._rows.popleft() for _ in range(len(self._rows))]
         if taken:
-            spark.createDataFrame(taken, PROGRESS_SCHEMA).write.mode("append").parquet(path)
+            spark.createDataFrame(taken, LOGGED_SCHEMA).write.mode("append").parquet(path)
         return len(taken)
 
 
