@@ -20,18 +20,20 @@ ROUNDS = (40, 20, 0)
 _MANTISSA = 1 << 52
 
 
-def ordered_bits(v: str) -> str:
-    """SQL of a whole number that orders doubles as their values do; 0.0 and -0.0 are one, null stays null.
+def with_ordered_bits(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds a whole number ``name`` that orders doubles as their values do; 0.0 and -0.0 are one, null stays null.
 
     Exponent and mantissa of the IEEE form are found by arithmetic that is exact: powers of two, and division by them.
-    The logarithm may be off by one at powers of two, which the comparison after it mends.
+    The logarithm may be off by one at powers of two, which the comparison after it mends. Each step is a projection of its
+    own, so that none is worked out twice.
     """
-    size = f"abs({v})"
-    guess = f"greatest(-1022, least(1023, coalesce(cast(floor(log2({size})) as int), -1022)))"
-    exact = f"transform(array({guess}), e -> e + case when {size} >= pow(2D, e + 1) then 1 when e > -1022 and {size} < pow(2D, e) then -1 else 0 end)[0]"
-    bits = f"transform(array({exact}), e -> (e + 1022L) * {_MANTISSA}L + cast({size} / pow(2D, e) * {_MANTISSA}D as bigint))[0]"
-    bits = f"case when {size} = double('Infinity') then {2047 * _MANTISSA}L else {bits} end"
-    return f"case when {v} is null then null when {v} < 0 then -({bits}) else {bits} end"
+    size = f"abs({value})"
+    guessed = df.withColumn("__e", F.expr(f"cast(greatest(-1022L, least(1023L, coalesce(floor(log2({size})), -1022L))) as int)"))
+    scaled = guessed.withColumn("__p", F.expr("pow(2D, __e)"))
+    exact = scaled.withColumn("__f", F.expr(f"case when {size} >= 2D * __p then 1 when __e > -1022 and {size} < __p then -1 else 0 end"))
+    bits = f"(__e + __f + 1022L) * {_MANTISSA}L + cast({size} / __p / (case __f when 1 then 2D when -1 then 0.5D else 1D end) * {_MANTISSA}D as bigint)"
+    signed = f"case when {value} is null then null when {size} = double('Infinity') then {2047 * _MANTISSA}L else {bits} end"
+    return exact.withColumn(name, F.expr(f"({signed}) * (case when {value} < 0 then -1L else 1L end)")).drop("__e", "__p", "__f")
 
 
 def _rank_sql(q: float, n: str, method: str) -> tuple[str, str, str]:
@@ -68,7 +70,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
         # A row of nulls is kept, so that a group without values isn't lost. Stored, the buckets have a known size.
         return small_side(placed.where(f"_b is null or {hit}"), "percentile_buckets")
 
-    first = values.withColumn("_b", F.shiftright(F.expr(ordered_bits("_v")), ROUNDS[0])).groupBy(*group, "_b").agg(*counts)
+    first = with_ordered_bits(values, "_v", "_b").withColumn("_b", F.shiftright("_b", ROUNDS[0])).groupBy(*group, "_b").agg(*counts)
     found = wanted_buckets(first, by, "0L", f"sum(_c) over (partition by {by})")
     settled = found.where("_lo is null or _lo = _hi")
     for shift in ROUNDS[1:]:
@@ -77,7 +79,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
         # An open bucket is a range of values: only those in it are looked at again.
         open_ = found.where("_lo < _hi").selectExpr(*names, "_b as _of", "_lo as _from", "_hi as _to", "_base as _under", "_n")
         inside = join_same(values, open_, group, "inner").where("_v >= _from and _v <= _to")
-        inside = inside.withColumn("_b", F.shiftright(F.expr(ordered_bits("_v")), shift))
+        inside = with_ordered_bits(inside, "_v", "_b").withColumn("_b", F.shiftright("_b", shift))
         counted = inside.groupBy(*group, "_of", "_under", "_n", "_b").agg(*counts)
         found = wanted_buckets(counted, f"{by}, _of", "_under", "_n")
         settled = settled.union(found.where("_lo = _hi"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flowlib.operators.ordered import in_chunks, with_previous, with_row_number
-from flowlib.operators.percentiles import exact_percentiles, ordered_bits
+from flowlib.operators.percentiles import exact_percentiles, with_ordered_bits
 
 
 @pytest.fixture(scope="module")
@@ -146,7 +146,7 @@ def test_bits_order_doubles(spark):
     some += [2.0**e for e in range(-1074, 1024, 7)] + [np.nextafter(2.0**e, d) for e in range(-1070, 1023, 11) for d in (0, np.inf)]
     some += rng.integers(0, 0x7FF0000000000000, 2000).view(np.float64).tolist()
     data = [float(x) for v in some for x in (v, -v)]
-    rows = spark.createDataFrame([(v,) for v in data], "v double").select("v", F.expr(ordered_bits("v")).alias("b")).collect()
+    rows = with_ordered_bits(spark.createDataFrame([(v,) for v in data], "v double"), "v", "b").collect()
     plain = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1)
     assert [r.b for r in rows] == [plain(r.v) for r in rows]
 
