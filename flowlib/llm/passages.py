@@ -226,11 +226,12 @@ def cut_nodes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
 
 
 def removal(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_SEGMENTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``cut`` (whether it lost bytes) of every document."""
     found = cut_nodes(docs, length, gram, hot).select(F.col("key").alias("__key"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("whole"), text_key(F.col("text")).alias("__text"))
     none = F.lit(0).cast("bigint")
     return rows.join(found, F.col("__text") == F.col("__key"), "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
+        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        (F.coalesce("n_removed", none) > 0).alias("cut"),
     )

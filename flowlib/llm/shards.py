@@ -15,7 +15,9 @@ Both passes must see the same rows in the same order, as a scan of stored files
 of each partition's ids and texts in their order and fails instead of writing a wrong order. A reader needs only the shards that its slots lie in.
 
 Defined results: null and empty texts give one sequence that holds the end token alone; repeated rows give sequences of
-their own; a null doc_id is written as -2**63; no documents give no shards.
+their own; a null doc_id is written as -2**63; no documents give no shards; ids that don't fit 16 bits are an error, and the
+end token is a parameter (``END`` is that of one public vocabulary). A corpus has ``MAX_SHARDS`` shards at most: from 16 TB of
+records on, shards grow instead, and with them what a reading task holds.
 """
 
 from __future__ import annotations
@@ -133,6 +135,8 @@ def _records(docs: DataFrame, path: str, end: int, length: int, shards_for: int,
 def sequences(ids: pa.Array, texts: pa.Array, base: np.ndarray, path: str, end: int, length: int, total: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Permuted numbers and records of all sequences of a slice."""
     tokens, of = encoder(path, "ids").encode(texts)
+    if max(int(tokens.max(initial=0)), end) > 0xFFFF:
+        raise ValueError("an id over 65,535 doesn't fit the 16 bits of a record: this format is for vocabularies of 65,536 entries at most")
     sizes = np.diff(of) + 1
     parts = -(-sizes // length)
     out = np.zeros(int(parts.sum()), record_type(length))

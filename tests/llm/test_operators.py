@@ -448,3 +448,22 @@ def test_perspectives(spark):
     spans = [tuple(map(int, s.split("-"))) for s in ann["mask"].split(",")]
     assert [ann.rendered[a:b] for a, b in spans] == ["hi < |end|><|end|>", "bye<|end|>"] and ann.n_masked_chars == 28 and ann.n_turns == 4
     assert chat.perspectives(table.where("false")).count() == 0
+
+
+def test_ids_beyond_16_bits_are_an_error(monkeypatch):
+    class Wide:
+        def __init__(self, top):
+            self.top = top
+
+        def encode(self, texts):
+            return np.array([5, self.top], np.int64), np.array([0, 2])
+
+    ids, texts = pa.array([1]), pa.array(["two words"])
+    monkeypatch.setattr(shards, "encoder", lambda path, use: Wide(65535))
+    _, out = shards.sequences(ids, texts, np.zeros(1, np.int64), "any", 50256, 8, 4, 1)
+    assert out["ids"][0][:3].tolist() == [5, 65535, 50256]
+    with pytest.raises(ValueError, match="16 bits"):
+        shards.sequences(ids, texts, np.zeros(1, np.int64), "any", 70000, 8, 4, 1)
+    monkeypatch.setattr(shards, "encoder", lambda path, use: Wide(70000))
+    with pytest.raises(ValueError, match="16 bits"):
+        shards.sequences(ids, texts, np.zeros(1, np.int64), "any", 50256, 8, 4, 1)
