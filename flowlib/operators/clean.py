@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlib.operators.digests import distinct_rows, row_copies
 from flowlib.functions.text import blank_to_null, strip
 from flowlib.functions.values import (
     TIMESTAMP_FLOOR,
@@ -78,22 +79,26 @@ def checked_rows(raw: DataFrame, mapping: DataFrame, floor: str = TIMESTAMP_FLOO
     return cleaned.select(*[F.col(f"`{c}`") for c in silver_columns([c for c in cleaned.columns if c not in (RULE, UNMAPPED)])], RULE, UNMAPPED)
 
 
-def dedup_within_file(df: DataFrame) -> DataFrame:
-    """Drop exact duplicates of a row inside its own source file; copies in other files stay."""
-    return df.dropDuplicates()
+def dedup_within_file(df: DataFrame, by_digest: bool = False) -> DataFrame:
+    """Drop exact duplicates of a row inside its own source file; copies in other files stay.
+
+    ``by_digest`` reads the input twice and moves whole only rows that may have a copy (see ``digests``): for wide rows of few copies.
+    """
+    return distinct_rows(df) if by_digest else df.dropDuplicates()
 
 
-def clean_flows(raw: DataFrame, mapping: DataFrame, floor: str = TIMESTAMP_FLOOR) -> DataFrame:
+def clean_flows(raw: DataFrame, mapping: DataFrame, floor: str = TIMESTAMP_FLOOR, by_digest: bool = False) -> DataFrame:
     """Silver rows of a raw scan."""
     kept = checked_rows(raw, mapping, floor).where(F.col(RULE) == "kept").drop(RULE, UNMAPPED)
-    return dedup_within_file(kept)
+    return dedup_within_file(kept, by_digest)
 
 
-def cleaning_stats(raw: DataFrame, mapping: DataFrame, floor: str = TIMESTAMP_FLOOR) -> DataFrame:
+def cleaning_stats(raw: DataFrame, mapping: DataFrame, floor: str = TIMESTAMP_FLOOR, by_digest: bool = False) -> DataFrame:
     """Per file and in total (``source_file`` = ``*``): raw, kept, dropped per rule, duplicates, unmapped labels.
 
     One pass: rows are counted per distinct clean row, dropped rows collapse to one key per rule and file
-    before the shuffle, and the counts of counts give kept rows and duplicates.
+    before the shuffle, and the counts of counts give kept rows and duplicates. ``by_digest`` counts digests first and
+    moves whole only rows that may have a copy.
     """
     rows = checked_rows(raw, mapping, floor)
     content = [c for c in rows.columns if c not in (SOURCE_FILE, RULE, UNMAPPED)]
@@ -101,7 +106,8 @@ def cleaning_stats(raw: DataFrame, mapping: DataFrame, floor: str = TIMESTAMP_FL
     keyed = rows.select(
         SOURCE_FILE, RULE, (keep & F.col(UNMAPPED)).alias(UNMAPPED), *[F.when(keep, F.col(f"`{c}`")).alias(c) for c in content]
     )
-    copies = keyed.groupBy(*[F.col(f"`{c}`") for c in keyed.columns]).agg(F.count("*").alias("_copies"))
+    by_rows = keyed.groupBy(*[F.col(f"`{c}`") for c in keyed.columns])
+    copies = row_copies(keyed, "_copies") if by_digest else by_rows.agg(F.count("*").alias("_copies"))
     n = F.col("_copies")
     stats = [
         F.sum(n).alias("rows_raw"),

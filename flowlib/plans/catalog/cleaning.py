@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from flowlib.functions import text, values
@@ -11,6 +12,7 @@ from flowlib.plans.registry import query
 from flowlib.scratch import new_path
 from flowlib.sources import flow_csv
 from flowlib.sources.lookups import FULL_FEATURES, label_mapping
+from flowlib.streaming import captures
 
 _NA = "('', '#N/A', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null', '<NA>')"
 
@@ -53,6 +55,28 @@ def write_silver(spark, sf):
     return back.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query("incremental_silver", sql=_CLEAN)
+def incremental_silver(spark, sf):
+    """Two rounds of captures, the second tried again after it had written its rows: the silver rows of one full run."""
+    inbox, silver, checkpoint = (new_path(spark, n) for n in ("captures", "silver", "captures-checkpoint"))
+    stops = iter([False, True, False])
+
+    def stop_once() -> None:
+        if next(stops):
+            raise RuntimeError("stopped after the rows were written")
+
+    for f in (0, 1):
+        views.write_capture(spark, sf, f, inbox)
+        for _ in range(2):
+            try:
+                captures.take_captures(spark, inbox, silver, checkpoint, label_mapping(spark), encoding="UTF-8", after_write=stop_once)
+            except StreamingQueryException:
+                continue
+            break
+    back = captures.read_taken(spark, silver)
+    return back.withColumnsRenamed({"Flow Byts/s": "byts", "Flow Pkts/s": "pkts", "Extra": "extra"})
+
+
 @query("dedup_within_file", sql=f"SELECT source_file, count(*) AS rows, count(byts) AS numbers, sum(label_binary)::BIGINT AS attacks FROM ({_CLEAN}) AS c GROUP BY 1")
 def dedup_within_file(spark, sf):
     return _clean(spark, sf).groupBy("source_file").agg(
@@ -60,7 +84,15 @@ def dedup_within_file(spark, sf):
     )
 
 
-@query("cleaning_stats", sql="""
+@query("dedup_by_digest", sql=_CLEAN)
+def dedup_by_digest(spark, sf):
+    """Every clean row once; only rows whose digest repeats were moved whole."""
+    raw = flow_csv.scan_flow_csv(spark, views.dirty_csv(spark, sf), encoding="UTF-8")
+    kept = clean.clean_flows(raw, label_mapping(spark), by_digest=True)
+    return kept.withColumnsRenamed({"Flow Byts/s": "byts", "Flow Pkts/s": "pkts", "Extra": "extra"})
+
+
+_STATS = """
 SELECT coalesce(a.source_file, '*') AS source_file, sum(a.rows_raw)::BIGINT AS rows_raw, sum(b.rows_kept)::BIGINT AS rows_kept,
   sum(a.dropped_timestamp)::BIGINT AS dropped_timestamp, sum(a.dropped_null_label)::BIGINT AS dropped_null_label,
   sum(a.passed - b.rows_kept)::BIGINT AS dropped_duplicates, sum(a.unmapped_labels)::BIGINT AS unmapped_labels
@@ -69,7 +101,15 @@ FROM (SELECT source_file, count(*) AS rows_raw, count(*) FILTER (rule = 'timesta
     count(*) FILTER (rule = 'kept' AND unmapped) AS unmapped_labels FROM checked GROUP BY 1) a
 JOIN (SELECT source_file, count(*) AS rows_kept FROM (SELECT DISTINCT source_file, ts, label_text, label_norm, byts_num, pkts_num, extra_num
     FROM checked WHERE rule = 'kept') GROUP BY 1) b ON a.source_file = b.source_file
-GROUP BY ROLLUP (a.source_file)""")
+GROUP BY ROLLUP (a.source_file)"""
+
+
+@query("cleaning_stats_by_digest", sql=_STATS)
+def cleaning_stats_by_digest(spark, sf):
+    return clean.cleaning_stats(flow_csv.scan_flow_csv(spark, views.dirty_csv(spark, sf), encoding="UTF-8"), label_mapping(spark), by_digest=True)
+
+
+@query("cleaning_stats", sql=_STATS)
 def cleaning_stats(spark, sf):
     return clean.cleaning_stats(flow_csv.scan_flow_csv(spark, views.dirty_csv(spark, sf), encoding="UTF-8"), label_mapping(spark))
 

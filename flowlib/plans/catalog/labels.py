@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flowlib.operators import labels
 from flowlib.plans import views
 from flowlib.plans.registry import query
 from flowlib.scratch import new_path
-from flowlib.sources import tables
+from flowlib.sources import bucketed, tables
 from flowlib.sources.tables import ARTIFACT_COLUMNS
 
 # Predictions of the join: every 13th is sent twice, every 17th has no offset.
@@ -39,6 +41,27 @@ def label_coverage(spark, sf):
     return labels.label_coverage(labels.join_labels_by_offset(_sent(spark, sf), _inputs(spark, sf)), ["run_tag"])
 
 
+def _stored_by_offset(spark, rows, name):
+    table = f"{name}_{uuid.uuid4().hex}"
+    bucketed.store_by_offset(rows, table, new_path(spark, name), 8)
+    return table
+
+
+@query("join_labels_bucketed", sql=f"SELECT event_id, run_tag, s.kafka_partition, s.kafka_offset, i.label_binary, i.label FROM {_SENT} LEFT JOIN {_INPUT} USING (kafka_partition, kafka_offset)")
+def join_labels_bucketed(spark, sf):
+    """The same join over tables stored in buckets: no shuffle on either side."""
+    preds, inputs = _stored_by_offset(spark, _sent(spark, sf), "sent"), _stored_by_offset(spark, _inputs(spark, sf), "inputs")
+    return bucketed.join_labels_stored(spark, preds, inputs).select("event_id", "run_tag", "kafka_partition", "kafka_offset", "label_binary", "label")
+
+
+@query("semi_join_bucketed", sql="""
+SELECT event_id, kafka_partition, kafka_offset FROM flows WHERE event_id % 19 <> 0 AND (kafka_partition, kafka_offset) IN (SELECT (kafka_partition, kafka_offset) FROM preds WHERE run_tag = 'run2')""")
+def semi_join_bucketed(spark, sf):
+    preds = _stored_by_offset(spark, views.preds(spark, sf, offsets=True).where("run_tag = 'run2'"), "needed")
+    inputs = _stored_by_offset(spark, _inputs(spark, sf), "inputs")
+    return bucketed.needed_inputs_stored(spark, preds, inputs).select("event_id", "kafka_partition", "kafka_offset")
+
+
 @query("semi_join_required_keys", sql="""
 SELECT event_id, kafka_partition, kafka_offset FROM flows WHERE event_id % 19 <> 0 AND (kafka_partition, kafka_offset) IN (SELECT (kafka_partition, kafka_offset) FROM preds WHERE run_tag = 'run2')""")
 def semi_join_required_keys(spark, sf):

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlib.functions.values import in_phase
-from flowlib.operators import lag, latency
+from flowlib.operators import lag, latency, sketches
 from flowlib.operators.percentiles import exact_percentiles
 from flowlib.plans import views
 from flowlib.plans.registry import query
-from flowlib.scratch import new_path
+from flowlib.scratch import new_path, stored
 
 _Q = [(n, c, q) for n, c in (("source", "source_to_ingest_ms"), ("processing", "processing_ms"), ("e2e", "end_to_end_ms")) for q in (0.5, 0.95, 0.99)]
 LATENCY_FLOATS = " ".join([*[f"artifact_{n}_p{int(q * 100)}_ms" for n, _, q in _Q], "drain_rps", "measure_wall_clock_sec"])
@@ -71,6 +72,27 @@ def latency_distribution_fault(spark, sf):
     )
 
 
+_RANGE = ", ".join(f"{a}({c}) AS {n}_{a}_ms" for n, c in latency.LATENCIES.items() for a in ("min", "max"))
+_SKETCHED = ", ".join(f"count({c}) AS {n}_n, true AS {n}_close" for n, c in latency.LATENCIES.items())
+
+
+@query("sketched_latencies", sql=f"""
+SELECT mode, target_rps, count(*) AS rows, {_RANGE}, {_SKETCHED} FROM preds JOIN base_runs USING (run_tag) WHERE emit_time IS NOT NULL GROUP BY 1, 2""")
+def sketched_latencies(spark, sf):
+    """Latencies pooled over repeats from stored sketches per second, and whether the ranks of all quantiles lie within the bound."""
+    preds, runs = views.preds(spark, sf), views.base_runs(spark, sf)
+    kept = stored(sketches.latency_sketches(preds), "latency_sketches")
+    keys, quantiles = ["mode", "target_rps"], (0.5, 0.95, 0.99)
+    report = stored(sketches.merged_latencies(kept.join(runs.select("run_tag", *keys), "run_tag"), keys, quantiles), "merged_latencies")
+    rows = preds.where("emit_time is not null").join(runs.select("run_tag", *keys), "run_tag")
+    out = report.select(*keys, "rows", *[c for c in report.columns if c.endswith(("_min_ms", "_max_ms", "_n"))])
+    for name, column in latency.LATENCIES.items():
+        errors = [sketches.observed_rank_error(rows, keys, column, report, f"{name}_q{int(q * 100)}_ms", q) for q in quantiles]
+        worst = functools.reduce(DataFrame.union, errors).groupBy(*keys).agg((F.max("rank_error") <= 3 * sketches.rank_error()).alias(f"{name}_close"))
+        out = out.join(worst, keys)
+    return out
+
+
 @query("pool_runs", sql="SELECT run_tag, end_to_end_ms, processing_ms FROM preds")
 def pool_runs(spark, sf):
     rows = views.preds(spark, sf)

@@ -157,20 +157,24 @@ def dirty_csv(spark: SparkSession, sf: str) -> str:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _DIRTY_PATHS:
         path = new_path(spark, "dirty-csv")
-        rows = dirty(spark, sf)
-        layouts = {
-            0: {" Timestamp ": "timestamp", "Label": "label", "Flow Byts/s": "byts", "Flow Pkts/s": "pkts"},
-            1: {"Flow Pkts/s": "pkts", "TIMESTAMP": "timestamp", " Flow Byts/s": "byts", " label": "label", "Extra": "extra"},
-        }
-        for f, layout in layouts.items():
-            part = rows.where(F.col("f") == f).select(*[F.col(c).alias(h) for h, c in layout.items()])
-            part.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option(
-                "ignoreTrailingWhiteSpace", "false"
-            ).csv(f"{path}/capture-{f}.csv")
+        for f in _LAYOUTS:
+            write_capture(spark, sf, f, path)
         _DIRTY_PATHS[key] = path
     return _DIRTY_PATHS[key]
 
 
+_LAYOUTS = {
+    0: {" Timestamp ": "timestamp", "Label": "label", "Flow Byts/s": "byts", "Flow Pkts/s": "pkts"},
+    1: {"Flow Pkts/s": "pkts", "TIMESTAMP": "timestamp", " Flow Byts/s": "byts", " label": "label", "Extra": "extra"},
+}
+
+
+def write_capture(spark: SparkSession, sf: str, f: int, folder: str) -> None:
+    """The messy rows of one capture as CSV of its layout below ``folder``."""
+    part = dirty(spark, sf).where(F.col("f") == f).select(*[F.col(c).alias(h) for h, c in _LAYOUTS[f].items()])
+    part.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{folder}/capture-{f}.csv")
+
+
 def envelope(spark: SparkSession, sf: str) -> DataFrame:
     """Events as topic records: JSON text with odd, malformed and control records, and the envelope columns."""
     iso = "date_format(event_time, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"

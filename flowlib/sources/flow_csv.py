@@ -37,7 +37,7 @@ def _plain(uri: str) -> str:
     return re.sub(r"^file:/+", "file:/", unquote(uri))
 
 
-def csv_layouts(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+def csv_layouts(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
     """One row per distinct layout: ``latin`` (some line is no valid UTF-8), ``sample`` (a file with the header) and its ``files``.
 
     One pass over the text, whatever the number of files: a file's header is its first line that isn't blank, in the
@@ -67,8 +67,8 @@ def union_schemas(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def scan_flow_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All CSV files under ``path`` as text columns with ``timestamp``, ``label`` and ``source_file``.
+def scan_flow_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
+    """All CSV files under ``path`` (a folder, or files) as text columns with ``timestamp``, ``label`` and ``source_file``.
 
     One pass over the text finds the layouts; captures sharing a header and an encoding form one scan, so plan
     and jobs grow with the number of layouts, not of files. A part whose header differs from its capture's fails
