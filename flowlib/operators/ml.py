@@ -24,7 +24,7 @@ HARD_PREDICTION = "spark_prediction"
 
 # Defaults of the three model kinds.
 DEFAULT_PARAMS: dict[str, dict[str, Any]] = {
-    "logistic_regression": {"max_iter": 50, "reg_param": 0.0, "elastic_net_param": 0.0},
+    "logistic_regression": {"max_iter": 50, "reg_param": 0.0, "elastic_net_param": 0.0, "tol": 1e-6},
     "random_forest": {"num_trees": 64, "max_depth": 12, "min_instances_per_node": 1, "seed": 42},
     "gradient_boosting": {"max_iter": 40, "max_depth": 6, "step_size": 0.1, "min_instances_per_node": 1, "seed": 42},
 }
@@ -97,7 +97,7 @@ def estimator(spec: ModelSpec, label: str = "label_binary", weight: str | None =
     named = {**common, "probabilityCol": "probability", "rawPredictionCol": "raw_prediction"}
     if spec.kind == "logistic_regression":
         est = LogisticRegression(
-            maxIter=p["max_iter"], regParam=p["reg_param"], elasticNetParam=p["elastic_net_param"], standardization=True, **named
+            maxIter=p["max_iter"], regParam=p["reg_param"], elasticNetParam=p["elastic_net_param"], standardization=True, tol=p["tol"], **named
         )
     elif spec.kind == "random_forest":
         est = RandomForestClassifier(

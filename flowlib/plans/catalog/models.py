@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowlib.operators import ml, quality, threshold
@@ -66,7 +67,6 @@ _FILLED = ", ".join(
 def impute_assemble(spark, sf):
     """Cells of the assembled vector, gaps filled by the mean."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
 
     rows = _gappy_lines(spark, sf)
     filled = Pipeline(stages=ml.impute_stages(LINE_FEATURES, "mean")).fit(rows).transform(rows)
@@ -111,6 +111,59 @@ def weighted_fit(spark, sf):
     return _report(_fit(spark, sf, "random_forest", weighted=True)[1], "random_forest")
 
 
+def _penalty_free(spark, sf, weighted):
+    """A logistic fit without penalty on one class against the rest, with its rows: score, label and weight."""
+    rows = embedded(spark, sf).withColumn("label_binary", F.expr("cast(label = 'c1' as int)"))
+    rows = ml.with_class_weight(rows) if weighted else rows.withColumn("class_weight", F.lit(1.0))
+    spec = ml.ModelSpec("plain", "logistic_regression", {"max_iter": 400, "tol": 1e-10})
+    fitted = ml.fit_model(rows, EMBEDDED, spec, weight="class_weight")
+    out = fitted.model.transform(rows)
+    return out.select("label_binary", "class_weight", "features", ml.score_column(out.columns).alias("score"))
+
+
+@query("logistic_gradient", sql=" UNION ALL ".join(
+    f"SELECT '{weights}' AS weights, 'x{i}' AS feature, count(*) AS rows, true AS vanishes FROM embeddings" for weights in ("none", "class") for i in range(DIMENSIONS)
+))
+def logistic_gradient(spark, sf):
+    """At the fitted coefficients of a logistic model the gradient of its weighted log loss is zero in every feature."""
+    parts = []
+    for weights in ("none", "class"):
+        rows = stored(_penalty_free(spark, sf, weights == "class").select("*", vector_to_array("features").alias("x")), "gradient")
+        off = F.col("class_weight") * (F.col("score") - F.col("label_binary"))
+        sums = rows.agg(F.count("*").alias("rows"), F.sum("class_weight").alias("w"), *[F.sum(off * F.col("x")[i]).alias(f"x{i}") for i in range(DIMENSIONS)])
+        cells = [F.struct(F.lit(f"x{i}").alias("feature"), (F.abs(F.col(f"x{i}") / F.col("w")) < 1e-4).alias("vanishes")) for i in range(DIMENSIONS)]
+        parts.append(sums.select(F.lit(weights).alias("weights"), "rows", F.inline(F.array(*cells))))
+    return parts[0].union(parts[1])
+
+
+@query("weighted_balance", sql="""
+SELECT w.weights, count(*) AS rows, count(*) FILTER (label = 1) AS positives, true AS balanced FROM embeddings CROSS JOIN (VALUES ('none'), ('class')) w(weights) GROUP BY 1""")
+def weighted_balance(spark, sf):
+    """Class weights move the mean score: without them it is the share of the positive class, with them, weighted, one half."""
+    parts = []
+    for weights in ("none", "class"):
+        rows = _penalty_free(spark, sf, weights == "class")
+        mean = F.sum(F.col("class_weight") * F.col("score")) / F.sum("class_weight")
+        share = F.lit(0.5) if weights == "class" else F.avg("label_binary")
+        parts.append(rows.agg(F.count("*").alias("rows"), F.sum("label_binary").alias("positives"), (F.abs(mean - share) < 1e-4).alias("balanced")).select(F.lit(weights).alias("weights"), "*"))
+    return parts[0].union(parts[1])
+
+
+@query("tree_fit_loss", sql="""
+SELECT model, count(*) AS rows, true AS ranks_its_rows, true AS better_than_the_share FROM embeddings CROSS JOIN (VALUES ('random_forest'), ('gradient_boosting')) m(model) GROUP BY 1""")
+def tree_fit_loss(spark, sf):
+    """Tree models know the rows they were fitted on: nearly all pairs in order, and a log loss under half that of the class share."""
+    parts = []
+    for name in ("random_forest", "gradient_boosting"):
+        rows = stored(_fit(spark, sf, name)[1].select("label_binary", "score").withColumn("model", F.lit(name)), "tree-scores")
+        y, p = F.col("label_binary"), F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("score")))
+        loss = rows.groupBy("model").agg(F.count("*").alias("rows"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("loss"), F.avg(y).alias("share"))
+        entropy = -(F.col("share") * F.log("share") + (1 - F.col("share")) * F.log(1 - F.col("share")))
+        both = loss.select("model", "rows", (F.col("loss") < 0.5 * entropy).alias("better_than_the_share")).unionByName(threshold.roc_auc(rows, ["model"]), allowMissingColumns=True)
+        parts.append(both.groupBy("model").agg(F.max("rows").alias("rows"), (F.max("roc_auc") > 0.99).alias("ranks_its_rows"), F.bool_or("better_than_the_share").alias("better_than_the_share")))
+    return parts[0].union(parts[1])
+
+
 @query("score_batch", sql="SELECT vec_id, CAST(label % 2 = 1 AS INTEGER) AS label_binary, 'c' || label AS label, true AS in_range, true AS agrees FROM embeddings")
 def score_batch(spark, sf):
     """Every row with its labels, whether its score is a probability, and whether its prediction follows from the score."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlib.operators import rules, summary
+from flowlib.operators import rules, summary, variant_rows
 from flowlib.operators.lag import backlog_summary
 from flowlib.operators.threshold import operating_points
 from flowlib.plans import views
@@ -12,7 +12,7 @@ from flowlib.plans.catalog.arrivals import GAP_SQL
 from flowlib.plans.catalog.latency import AREA_SQL, CLEAR_SQL, FAULT_SQL, LAG_SQL, LATENCY_FLOATS, LATENCY_SQL, RUN_LAG_SQL, per_run
 from flowlib.plans.catalog.quality import POINTS_SQL, QUALITY_SQL
 from flowlib.plans.registry import query
-from flowlib.scratch import stored
+from flowlib.scratch import new_path, stored
 
 _QUALITY = QUALITY_SQL.format(phase="measure")
 
@@ -265,6 +265,27 @@ def upsert_summary(spark, sf):
     return merged.select("user_id", "value", "part")
 
 
+@query("union_summary_variant", sql=f"""
+SELECT run_tag, mode, target_rps, kafka_lag_samples, kafka_lag_peak_records FROM (SELECT run_tag, mode, target_rps FROM base_runs
+  UNION ALL BY NAME SELECT run_tag, kafka_lag_samples, kafka_lag_peak_records FROM ({LAG_SQL}) AS l)""")
+def union_summary_variant(spark, sf):
+    """The same union over stored parts, each a VARIANT column of its own cells."""
+    path = new_path(spark, "variant-rows")
+    variant_rows.append_rows(views.base_runs(spark, sf).select("run_tag", "mode", "target_rps"), path, 0)
+    variant_rows.append_rows(backlog_summary(views.lag_samples(spark, sf)).select("run_tag", "kafka_lag_samples", "kafka_lag_peak_records"), path, 1)
+    return variant_rows.read_rows(spark, path).drop("_part")
+
+
+@query("upsert_summary_variant", sql="""
+SELECT user_id, last(value ORDER BY part, event_id) AS value, max(part)::INT AS part FROM (SELECT user_id, event_id, value, CASE WHEN event_id % 3 = 0 AND user_id % 2 = 0 THEN 1 ELSE 0 END AS part FROM events) GROUP BY 1""")
+def upsert_summary_variant(spark, sf):
+    path = new_path(spark, "variant-history")
+    rows = views.table(spark, sf, "events").selectExpr("user_id", "event_id as version", "value", "cast(event_id % 3 = 0 and user_id % 2 = 0 as int) as part")
+    for part in (0, 1):
+        variant_rows.append_rows(rows.where(F.col("part") == part), path, part)
+    return variant_rows.newest_rows(spark, path, ["user_id"], [F.desc("value")]).select("user_id", "value", "part")
+
+
 _METRICS = ["n_chars"]
 
 
