@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlib.functions import timing
+from flowlib.operators.ordered import with_row_number
 from flowlib.plans import views
 from flowlib.plans.registry import query
-from flowlib.scratch import new_path
+from flowlib.scratch import new_path, stored
 from flowlib.sources import record_log
-from flowlib.streaming import closing, observed, runs, scoring, source, twins
+from flowlib.streaming import closing, completion, observed, runs, scoring, source, twins
 
 FEATURES = ["value", "k"]
 STARTED_MS = 1704500000000
@@ -338,3 +340,27 @@ def stream_lag_series(spark, sf):
     with runs.logged_progress(spark, progress):
         runs.until_idle(runs.table_writer(source.parse_json_flow(watched, FEATURES), new_path(spark, "lag-rows"), checkpoint, "lag-series"))
     return observed.lag_series(spark.read.schema(runs.LOGGED_SCHEMA).parquet(progress), record_log.high_watermarks(spark, log))
+
+
+@query("stream_run_completion", sql="""
+SELECT replay_run_tag AS run_tag, CASE WHEN k = 0 THEN 'complete' WHEN k = 1 THEN 'gap' ELSE 'no_marker' END AS status, CASE WHEN k = 1 THEN n - 1 ELSE n END AS rows, CAST(CASE WHEN k = 1 THEN 1 ELSE 0 END AS BIGINT) AS missing
+FROM (SELECT replay_run_tag, count(*) AS n, (row_number() OVER (ORDER BY replay_run_tag) - 1) % 3 AS k FROM records WHERE replay_run_tag IS NOT NULL GROUP BY 1)""")
+def stream_run_completion(spark, sf):
+    """Every third run is whole, lacks a record or lacks its end marker; the state of each says so."""
+    tagged = _records(spark, sf).where("replay_run_tag is not null")
+    numbered = with_row_number(tagged.selectExpr("replay_run_tag as run_tag", "kafka_partition as p", "kafka_offset as o"), ["run_tag"], ["p", "o"], "n", "total")
+    rows = stored(numbered.selectExpr("run_tag", "0 as kafka_partition", "cast(n as bigint) - 1 as kafka_offset", "total"), "run-offsets")
+    ends = rows.groupBy("run_tag").agg(F.max("total").alias("end_offset")).withColumn("_k", (F.dense_rank().over(Window.orderBy("run_tag")) - 1) % 3)
+    kept = rows.join(ends, "run_tag").where("not (_k = 1 and kafka_offset = 0)").selectExpr("run_tag", "kafka_partition", "kafka_offset", "cast(null as bigint) as end_offset", "cast(null as int) as parts")
+    marks = ends.where("_k <> 2").selectExpr("run_tag", "0 as kafka_partition", "cast(null as bigint) as kafka_offset", "end_offset", "1 as parts")
+    at = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, coalesce(kafka_offset, end_offset) / 1000000)")
+    path = new_path(spark, "completion-input")
+    closing.write_stream_input(kept.unionByName(marks).withColumn("at", at), path, "at", "1 day")
+    stream = closing.until_end(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), "at", "1 hour")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, completion.PROVIDER)
+    try:
+        return _run(completion.run_completion(stream, 60_000), spark, "run-completion")
+    finally:
+        spark.conf.set(name, before)
