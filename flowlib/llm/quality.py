@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlib.llm.arrays import byte_slices, list_array, map_texts, mix64, released, rolling, span_hashes, text_bytes, text_key
+from flowlib.llm.arrays import byte_slices, list_array, map_texts, mix64, release, released, rolling, span_hashes, text_bytes, text_key
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -99,7 +100,7 @@ class Model:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Learn from (buckets, counts, label) rows; ``share`` is class 1's share among all labelled ids."""
+    """Learn from (buckets, shares of the text, label) rows; ``share`` is class 1's share among all labelled ids."""
     labels = np.array([r[2] for r in rows], np.int64)
     prior = float(np.log(share / (1 - share)))
     if len(set(labels.tolist())) < 2:
@@ -107,11 +108,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, epochs:
     draw = np.random.default_rng(seed)
     vectors = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-    parts = [(buckets, (counts / counts.sum()).astype(np.float32)) for buckets, counts, _ in rows]
     steps, step = epochs * len(rows), 0
     for _ in range(epochs):
         for i in draw.permutation(len(rows)):
-            buckets, parts_of = parts[i]
+            buckets, parts_of, _ = rows[i]
             mean = parts_of @ vectors[buckets]
             logits = mean @ layer + bias
             chance = np.exp(logits - logits.max())
@@ -151,15 +151,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         buckets, of = features(column)
         pairs = [np.unique(buckets[a:b], return_counts=True) for a, b in zip(of[:-1], of[1:])]
         at = np.concatenate([[0], np.cumsum([len(b) for b, _ in pairs])])
-        flat = [np.concatenate([p[k] for p in pairs]).astype(np.int32) for k in (0, 1)]
+        flat = [np.concatenate([p[0] for p in pairs]).astype(np.int32), np.concatenate([(n / n.sum()).astype(np.float32) for _, n in pairs])]
         return [list_array(pa.array(flat[0]), at), list_array(pa.array(flat[1]), at)]
 
-    collected = map_texts(sample, [F.col("id"), F.col("y")], F.col("text"), "buckets array<int>, counts array<int>", counted).toArrow().sort_by([("id", "ascending")])
-    rows = [
-        (b.values.to_numpy(), c.values.to_numpy(), y.as_py())
-        for b, c, y in zip(collected["buckets"], collected["counts"], collected["y"])
-    ]
-    return train(rows, share)
+    collected = map_texts(sample, [F.col("id"), F.col("y")], F.col("text"), "buckets array<int>, shares array<float>", counted).toArrow()
+    # Rows in the order of ids, as views: the sample is in the driver once.
+    order = pc.sort_indices(collected["id"]).to_pylist()
+    rows = [(collected["buckets"][i].values.to_numpy(), collected["shares"][i].values.to_numpy(), collected["y"][i].as_py()) for i in order]
+    model = train(rows, share)
+    del collected, rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
