@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlib.llm.grouped import with_totals
 from flowlib.scratch import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the smallest node it knows."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    told = with_totals(both, "u", "v", {"m": (F.min("v"), F.min)})
+    return told.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    told = with_totals(down, "u", "v", {"m": (F.min("v"), F.min)})
+    return told.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table (u, v) of longs; root is the component's smallest node.
 
-    Groups are only ever reduced to a minimum, so a component of any size is spread over all tasks. What reaches the
-    driver is one count per round, by which it sees that nothing changes any more. The number of rounds grows with
+    Groups are only ever reduced to a minimum, and a node of very many neighbours hears it piece by piece, so a component of any
+    size is spread over all tasks. What reaches the driver is one count per round, by which it sees that nothing changes any more. The number of rounds grows with
     the logarithm of the longest path.
     """
     now = stored(edges.where("u <> v").select("u", "v").distinct(), "edges")

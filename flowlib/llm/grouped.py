@@ -1,0 +1,190 @@
+"""Links inside groups of any size: representatives first, pairs of parts only for what they leave apart.
+
+A group of one block is compared in one task. A larger one is cut in parts, bounded in rows and in bytes, and every row is
+in one part only; what links there keeps one head. Heads of a group are cut and compared again while a round at least
+halves them. Most groups are of one class then, and done. In those that aren't, only rows outside the
+largest class are still dealt out: each of their parts meets each part of the largest class, and each other. A group of n rows
+with r of them outside its largest class moves about n rows in the first rounds and 2 n r / ``block`` in the last, so a tight group of
+near copies costs rows in proportion, and only one without a large class the square.
+
+Rows of one group are never read or joined by the group alone: they are cut by a hash of a second column, and what belongs
+to the group is handed to those pieces.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from flowlib.llm.arrays import byte_slices, released
+from flowlib.scratch import stored
+
+PIECES = 1024
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+
+
+def _in_pieces(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("__piece", F.pmod(F.xxhash64(by), F.lit(PIECES)).cast("int"))
+
+
+def handed(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows with the columns that ``table`` has for their key (one row each); the rows of a key are spread by ``by``."""
+    cut = _in_pieces(rows, by)
+    pieces = cut.select(key, "__piece").distinct().join(table, key)
+    return cut.join(pieces, [key, "__piece"]).drop("__piece")
+
+
+def with_totals(rows: DataFrame, key: str, by: str, totals: dict[str, tuple[Column, Callable[[str], Column]]], keep: Column | None = None) -> DataFrame:
+    """Rows with totals of their key: name -> (aggregate of rows, function that merges it over pieces).
+
+    ``keep`` is a condition on the totals under which the rows of a key are returned.
+    """
+    cut = _in_pieces(rows, by)
+    pieces = cut.groupBy(key, "__piece").agg(*[first.alias(name) for name, (first, _) in totals.items()])
+    whole = pieces.groupBy(key).agg(*[merge(name).alias(name) for name, (_, merge) in totals.items()])
+    if keep is not None:
+        whole = whole.where(keep)
+    return cut.join(pieces.select(key, "__piece").join(whole, key), [key, "__piece"]).drop("__piece")
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables in which every block (sorted, first column) is whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        block = batch.column(0).to_numpy()
+        cut = int(np.flatnonzero(block != block[-1])[-1] + 1) if block[0] != block[-1] else 0
+        if held and (cut or held[-1].column(0)[-1].as_py() != block[0]):
+            # What is held ends with the block that this batch begins with, or before it.
+            if held[-1].column(0)[-1].as_py() == block[0]:
+                first = int(np.flatnonzero(block != block[0])[0])
+                held.append(batch.slice(0, first))
+                batch, cut = batch.slice(first), cut - first
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def merged(near: Callable[[int], np.ndarray], root: np.ndarray, loose: np.ndarray) -> np.ndarray:
+    """For each row the row it stands for: rows of one ``root`` are linked already, and ``loose`` ones are held against all."""
+    _, first, number = np.unique(root, return_index=True, return_inverse=True)
+    label = first[number]
+    for i in np.flatnonzero(loose):
+        if (label == label[0]).all():
+            break
+        hit = near(i) & (label != label[i])
+        if hit.any():
+            joined = np.unique(np.append(label[hit], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def linked_rows(rows: DataFrame, compare: Callable[[pa.Array], Callable[[int], np.ndarray]]) -> DataFrame:
+    """(group, node, size, head): compares block, group, node, size, root, loose and load inside each block.
+
+    ``head`` is a node that the row is newly linked to; else the node itself.
+    """
+    names = ["block", "group", "node", "size", "root", "loose", "load"]
+
+    def run(batches):
+        for table in whole_blocks(small for batch in batches for small in byte_slices(batch, 6)):
+            block, node, root, loose = (table[c].to_numpy() for c in ("block", "node", "root", "loose"))
+            load = table["load"].combine_chunks()
+            head = node.copy()
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            for a, b in zip(starts, np.append(starts[1:], len(node))):
+                if b - a > 1:
+                    label = merged(compare(load.slice(a, b - a)), root[a:b], loose[a:b])
+                    new = root[a:b][label] != root[a:b]
+                    head[a:b][new] = node[a:b][label[new]]
+            arrays = [table[c].combine_chunks() for c in ("group", "node", "size")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(head)], ["group", "node", "size", "head"])
+
+    dealt = rows.select(*names).repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(released(run), "group bigint, node bigint, size bigint, head bigint")
+
+
+def _parts(n: str, size: str, block: int, block_bytes: int) -> Column:
+    return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(size) / block_bytes), F.lit(1)).cast("int")
+
+
+def group_links(
+    members: DataFrame,
+    loads: Callable[[DataFrame], DataFrame],
+    compare: Callable[[pa.Array], Callable[[int], np.ndarray]],
+    components: Callable[[DataFrame], DataFrame],
+    small: Callable[[DataFrame], DataFrame] | None = None,
+    block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Links (u, v) whose components are those of all near pairs of one group.
+
+    ``members`` has group, node (longs) and size (bytes); ``loads`` adds the column ``load`` to rows with a node; ``compare``
+    makes, of the loads of a block, a function from a row to the mask of rows near it. ``small`` may replace
+    the comparison in groups of one block, given block, node and load.
+    """
+    totals = {"n": (F.count("*"), F.sum), "bytes": (F.sum("size"), F.sum)}
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return with_totals(rows, "group", "node", totals, F.col("n") > 1).withColumn("parts", _parts("n", "bytes", block, block_bytes))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"root": F.col("node"), "loose": F.lit(True)})
+
+    sized = stored(cut(members), "members")
+    one = loads(sized.where("parts = 1")).withColumn("block", F.col("group"))
+    if small is None:
+        links = linked_rows(apart(one), compare).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    else:
+        links = small(one)
+    large = sized.where("parts > 1")
+    if large.isEmpty():
+        return links
+    links = stored(links, "links")
+    # A repeated row has the text of its node once more; one is enough.
+    kept = stored(loads(large.select("node").distinct()).groupBy("node").agg(F.any_value("load").alias("load")), "loads")
+    heads, turn = large, 0
+    while True:
+        own = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts"))
+        dealt = apart(heads.join(kept, "node")).withColumn("block", F.xxhash64("group", own))
+        found = stored(linked_rows(dealt, compare), "heads")
+        links = links.union(found.where("node <> head").select("node", "head"))
+        # Heads of one part have all been compared; those of several go on while they get fewer.
+        before = heads.select("group", F.col("parts").alias("cut"), F.col("n").alias("before")).distinct()
+        left = cut(found.where("node = head").select("group", "node", "size"))
+        heads = stored(handed(left, before, "group", "node").where("cut > 1 and 2 * n <= before").drop("cut", "before"), "heads_left")
+        turn += 1
+        if heads.isEmpty():
+            break
+    classes = components(links)
+    rows = large.select("group", "node", "size").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stored(rows, "large_rows")
+    each = rows.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    largest = F.max(F.struct("n", "bytes", "root"))
+    whole = each.groupBy("group").agg(largest.alias("top"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes")).where("`all` > top.n")
+    whole = whole.select(
+        "group", F.col("top.root").alias("top"), F.col("top.n").alias("n"), F.col("top.bytes").alias("bytes"),
+        (F.col("all") - F.col("top.n")).alias("loose_n"), (F.col("all_bytes") - F.col("top.bytes")).alias("loose_bytes"),
+    ).withColumns({"parts": _parts("n", "bytes", block, block_bytes), "loose_parts": _parts("loose_n", "loose_bytes", block, block_bytes)})
+    open_rows = handed(rows, whole.select("group", "top", "parts", "loose_parts"), "group", "node").withColumn("loose", F.col("root") != F.col("top"))
+    return links.union(linked_rows(dealt_in_pairs(open_rows.join(kept, "node")), compare).where("node <> head").select("node", "head"))
+
+
+def dealt_in_pairs(rows: DataFrame) -> DataFrame:
+    """Rows with a ``block``: every part of the loose rows meets every part of the largest class, and of the loose ones."""
+    own = rows.withColumn("__own", F.pmod(F.xxhash64("node"), F.when(F.col("loose"), F.col("loose_parts")).otherwise(F.col("parts"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_top = F.transform(every("parts"), lambda i: F.xxhash64("group", F.lit("top"), i, F.col("__own")))
+    with_loose = F.transform(every("loose_parts"), lambda j: F.xxhash64("group", F.lit("loose"), F.least("__own", j), F.greatest("__own", j)))
+    from_top = F.transform(every("loose_parts"), lambda j: F.xxhash64("group", F.lit("top"), F.col("__own"), j))
+    blocks = F.when(F.col("loose"), F.concat(with_top, with_loose)).otherwise(from_top)
+    return own.withColumn("block", F.explode(blocks)).drop("__own")

@@ -10,11 +10,12 @@ similarity. Elements are shingles of five words, of weight 1 or weighted by thei
 1. Rows of the same text become one node; its signature of ``K`` darts makes ``BANDS`` band hashes of ``ROWS`` darts.
 2. Nodes that share a band hash meet in a task with one byte per dart, where those of estimated similarity
    ``ESTIMATE`` or more are linked (7 standard errors under the threshold), and stars of the linked are the output.
-   Buckets over ``BLOCK`` nodes are dealt out as pairs of parts, so that any two still meet.
-3. Components of these links are small groups of similar texts. A group's texts meet in a task (large groups again as
-   pairs of parts) and all pairs that aren't yet connected are compared exactly; components of the true links are the
+3. Components of these links are small groups of similar texts. A group's texts meet in a task and all pairs that aren't
+   yet connected are compared exactly, by the weights that the signatures use; components of the true links are the
    classes. Pairs are compared inside tasks and never written.
 
+Buckets and groups over ``BLOCK`` rows, or over 8 MB of texts, go through representatives first (see ``grouped``).
+
 Two texts of similarity 0.8 are missed by the bands with probability (1 - 0.8 ** 6) ** 40 = 5e-6, others less.
 
 Defined results: null is the empty text; texts without words are near copies of equal texts only; a text of fewer
@@ -24,22 +25,20 @@ members like others; extra columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlib.llm.arrays import FILTER_BITS, Words, bitmap, byte_slices, list_array, map_texts, mix64, released, signed, text_key
+from flowlib.llm.arrays import FILTER_BITS, Words, bitmap, list_array, map_texts, mix64, released, signed, text_key
 from flowlib.llm.components import components
+from flowlib.llm.grouped import BLOCK, group_links, whole_blocks
 from flowlib.scratch import stored
 
 THRESHOLD = 0.8
 ESTIMATE = 0.62
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
-BLOCK = 1024
 
 _ARRIVAL = np.uint64(0xA24BAED4963EE407)
 _LAYER = np.uint64(0x9FB21C651E98DF25)
@@ -132,7 +131,7 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def signature_nodes(docs: DataFrame, weighting: str = "set") -> DataFrame:
-    """One stored row per distinct text: node, key, rep (smallest doc_id), copies, bands and one byte per dart."""
+    """One stored row per distinct text: node, key, rep (smallest doc_id), copies, size (bytes), bands and one byte per dart."""
 
     def compute(column: pa.Array) -> list:
         signatures, worded = text_signatures(column, weighting=weighting)
@@ -140,10 +139,11 @@ def signature_nodes(docs: DataFrame, weighting: str = "set") -> DataFrame:
         small = (signatures & np.uint64(0xFF)).astype(np.uint8)
         return [list_array(signed(band_hashes(signatures[worded]).ravel()), of), pa.array([r.tobytes() for r in small], pa.binary())]
 
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint")
     rows = map_texts(
-        docs.select("doc_id", "text", text_key(F.col("text")).alias("key")), [F.col("doc_id"), F.col("key")], F.col("text"), "bands array<bigint>, darts binary", compute
+        docs.select("doc_id", "text", text_key(F.col("text")).alias("key")), [F.col("doc_id"), F.col("key"), size.alias("size")], F.col("text"), "bands array<bigint>, darts binary", compute
     )
-    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("darts").alias("darts"))
+    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("darts").alias("darts"))
     return stored(nodes.withColumn("node", F.monotonically_increasing_id()), "dart_nodes")
 
 
@@ -156,29 +156,6 @@ def in_blocks(rows: DataFrame, group: str, size: Column, block: int = BLOCK) ->
     return placed.withColumn("block", F.xxhash64(F.col(group), name)).drop("__parts", "__own", "__other")
 
 
-def whole_blocks(batches: Iterator[pa.RecordBatch], limit: int = 50_000) -> Iterator[pa.Table]:
-    """Tables in which every block (sorted, first column) is whole."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        block = batch.column(0).to_numpy()
-        cut = int(np.flatnonzero(block != block[-1])[-1] + 1) if block[0] != block[-1] else 0
-        if held and (cut or held[-1].column(0)[-1].as_py() != block[0]):
-            # What is held ends with the block that this batch begins with, or before it.
-            if held[-1].column(0)[-1].as_py() == block[0]:
-                first = int(np.flatnonzero(block != block[0])[0])
-                held.append(batch.slice(0, first))
-                batch, cut = batch.slice(first), cut - first
-            yield pa.Table.from_batches(held)
-            held = []
-        if cut:
-            yield pa.Table.from_batches([batch.slice(0, cut)])
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def linked_by_darts(darts: np.ndarray, block: np.ndarray, least: float) -> np.ndarray:
     """For each row the row of its block whose star it joins (itself, if none); rows of a block stand together."""
     starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -204,102 +181,94 @@ def linked_by_darts(darts: np.ndarray, block: np.ndarray, least: float) -> np.nd
 
 
 def candidate_links(nodes: DataFrame, block: int = BLOCK, least: float = ESTIMATE) -> DataFrame:
-    """Stored stars (u, v) of nodes that share a band and whose darts agree often enough."""
-    spread = nodes.select("node", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = in_blocks(spread.join(shared, "band"), "band", F.col("n"), block).select("block", "node")
-    rows = members.join(nodes.select("node", "darts"), "node").select("block", "node", "darts").repartition("block").sortWithinPartitions("block")
+    """Stars (u, v) of nodes that share a band and whose darts agree often enough."""
+    spread = nodes.select(F.explode("bands").alias("group"), "node", F.lit(K).cast("bigint").alias("size"))
 
     def run(batches):
         for table in whole_blocks(batches):
             node = table["node"].to_numpy()
-            darts = np.frombuffer(b"".join(table["darts"].to_pylist()), np.uint8).reshape(len(node), -1)
+            darts = np.frombuffer(b"".join(table["load"].to_pylist()), np.uint8).reshape(len(node), -1)
             root = linked_by_darts(darts, table["block"].to_numpy(), least)
             linked = np.flatnonzero(node[root] != node)
             pairs = np.unique(np.stack([node[linked], node[root[linked]]], axis=1), axis=0) if len(linked) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    return rows.mapInArrow(released(run), "u bigint, v bigint")
+    def compare(column: pa.Array):
+        darts = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+        return lambda i: (darts == darts[i]).sum(axis=1) >= least * darts.shape[1]
+
+    def loads(rows: DataFrame) -> DataFrame:
+        return rows.join(nodes.select("node", F.col("darts").alias("load")), "node")
+
+    def small(rows: DataFrame) -> DataFrame:
+        return rows.select("block", "node", "load").repartition("block").sortWithinPartitions("block").mapInArrow(released(run), "u bigint, v bigint")
+
+    return group_links(spread, loads, compare, components, small, block)
 
 
 class Sets:
-    """Distinct shingles of texts, numbered across the texts, with the texts that hold each."""
+    """Distinct shingles of texts with their weights, numbered across the texts, and the texts that hold each."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, weighting: str = "set"):
         hashes, of, _ = Words(column).shingles()
         owner = np.repeat(np.arange(len(column)), np.diff(of))
         _, number = np.unique(hashes, return_inverse=True)
-        pair = np.unique(owner.astype(np.int64) << 32 | number)
-        self.owner, self.number = pair >> 32, pair & 0xFFFFFFFF
-        self.sizes = np.bincount(self.owner, minlength=len(column))
-        self.of = np.concatenate([[0], np.cumsum(self.sizes)])
+        pair, counts = np.unique(owner.astype(np.int64) << 32 | number, return_counts=True)
+        weight = counts if weighting == "count" else np.ones(len(pair), np.int64)
+        text, self.number, self.weight = pair >> 32, pair & 0xFFFFFFFF, weight
+        self.of = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(column)))])
+        self.sizes = np.bincount(text, weights=weight, minlength=len(column))
         order = np.argsort(self.number, kind="stable")
-        self.holders = self.owner[order]
+        self.holders, self.held = text[order], weight[order]
         counts = np.bincount(self.number, minlength=int(self.number.max()) + 1 if len(self.number) else 0)
         self.holders_of = np.concatenate([[0], np.cumsum(counts)])
 
     def shared(self, i: int) -> np.ndarray:
-        """Shingles that text i has in common with each text."""
+        """Weight that text i has in common with each text."""
         mine = self.number[self.of[i]: self.of[i + 1]]
         begin, size = self.holders_of[mine], self.holders_of[mine + 1] - self.holders_of[mine]
         at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-        return np.bincount(self.holders[at], minlength=len(self.sizes))
-
-
-def linked_exactly(column: pa.Array, threshold: float) -> np.ndarray:
-    """For each text of a group the first text of its component of true links."""
-    sets = Sets(column)
-    label = np.arange(len(sets.sizes))
-    for i in range(len(label)):
-        if (label == label[i]).all():
-            break
-        common = sets.shared(i)
-        near = (common >= threshold * (sets.sizes[i] + sets.sizes - common)) & (common > 0)
-        near &= label != label[i]
-        if near.any():
-            joined = np.unique(np.append(label[near], label[i]))
-            label[np.isin(label, joined)] = joined[0]
-    return label
-
-
-def true_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Stars (u, v) of nodes whose shingle sets reach the threshold; ``groups`` says which nodes to compare."""
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    wanted = nodes.select("node", F.col("rep").alias("__rep"), F.col("key").alias("__key")).join(groups, "node").join(sizes, "root")
+        common = np.minimum(self.held[at], np.repeat(self.weight[self.of[i]: self.of[i + 1]], size))
+        return np.bincount(self.holders[at], weights=common, minlength=len(self.sizes))
+
+
+def true_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, weighting: str = "set") -> DataFrame:
+    """Stars (u, v) of nodes whose similarity reaches the threshold; ``groups`` says which nodes to compare."""
+    members = nodes.join(groups, "node").select(F.col("root").alias("group"), "node", "size")
     mask = (1 << FILTER_BITS) - 1
-    place = F.conv(F.substring(F.hex("__key"), 1, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(mask))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("token")).distinct(), FILTER_BITS))
-    frame = docs.select(F.col("doc_id").alias("__doc"), text_key(F.col("text")).alias("__text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    frame = docs.select(F.col("doc_id").alias("__doc"), text_key(F.col("text")).alias("__text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("load"))
 
-    def likely(batches):
-        for batch in batches:
-            first = np.array([int.from_bytes(k[:4], "big") for k in batch.column(1).to_pylist()], np.int64) & mask
-            yield batch.filter(pa.array(shared.value[first]))
+    def loads(rows: DataFrame) -> DataFrame:
+        wanted = nodes.select("node", F.col("rep").alias("__rep"), F.col("key").alias("__key")).join(rows, "node")
+        place = F.conv(F.substring(F.hex("__key"), 1, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(mask))
+        shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("token")).distinct(), FILTER_BITS))
 
-    texts = frame.mapInArrow(released(likely), frame.schema).join(wanted, F.col("__doc").eqNullSafe(F.col("__rep")) & (F.col("__text_key") == F.col("__key")))
-    rows = in_blocks(texts.select("root", "n", "node", "text"), "root", F.col("n"), block).select("block", "node", "text")
+        def likely(batches):
+            for batch in batches:
+                first = np.array([int.from_bytes(k[:4], "big") for k in batch.column(1).to_pylist()], np.int64) & mask
+                yield batch.filter(pa.array(shared.value[first]))
 
-    def run(batches):
-        for table in whole_blocks(small for batch in batches for small in byte_slices(batch, 2)):
-            block_of, node, text = table["block"].to_numpy(), table["node"].to_numpy(), table["text"].combine_chunks()
-            starts = np.flatnonzero(np.concatenate([[True], block_of[1:] != block_of[:-1]]))
-            u, v = [], []
-            for a, b in zip(starts, np.append(starts[1:], len(node))):
-                if b - a > 1:
-                    label = linked_exactly(text.slice(a, b - a), threshold)
-                    u.append(node[a:b])
-                    v.append(node[a + label])
-            pairs = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v)]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+        texts = frame.mapInArrow(released(likely), frame.schema)
+        found = texts.join(wanted, F.col("__doc").eqNullSafe(F.col("__rep")) & (F.col("__text_key") == F.col("__key")))
+        return found.drop("__doc", "__text_key", "__rep", "__key")
+
+    def compare(column: pa.Array):
+        sets = Sets(column, weighting)
+
+        def near(i: int) -> np.ndarray:
+            common = sets.shared(i)
+            return (common >= threshold * (sets.sizes[i] + sets.sizes - common)) & (common > 0)
+
+        return near
 
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(released(run), "u bigint, v bigint")
+    return group_links(members, loads, compare, components, block=block)
 
 
 def node_classes(docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:
     """Stored rows (key, rep, copies, root): every distinct text with the root of its class."""
     nodes = signature_nodes(docs, weighting)
     groups = components(candidate_links(nodes))
-    links = components(true_links(docs, nodes, groups, threshold))
+    links = components(true_links(docs, nodes, groups, threshold, weighting=weighting))
     return stored(nodes.select("node", "key", "rep", "copies").join(links, "node", "left").select("key", "rep", "copies", F.coalesce("root", "node").alias("root")), "dart_classes")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowlib.llm import chat, decontaminate, fingerprints, licenses, mixing, neardup, passages, quality, shards, suffixes, tokens
+from flowlib.llm import chat, decontaminate, fingerprints, grouped, licenses, mixing, neardup, passages, quality, shards, suffixes, tokens
 from flowlib.llm.components import components
 from tests.llm import plain
 
@@ -344,6 +345,70 @@ def test_large_buckets_and_groups_are_dealt_in_parts(spark, monkeypatch):
     assert {r.node: r.root for r in links.collect()} == whole
 
 
+def near_copies(count, words, changed, seed):
+    base = plain.prose(seed, words, 10**6).split()
+    out = []
+    for i in range(count):
+        copy = list(base)
+        for j in random.Random(i).sample(range(words), changed):
+            copy[j] = f"s{seed}e{i}q{j}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_tight_groups_move_rows_in_proportion(spark, monkeypatch):
+    moved = []
+    linked_rows = grouped.linked_rows
+
+    def counted(rows, compare):
+        moved.append(rows.count())
+        return linked_rows(rows, compare)
+
+    monkeypatch.setattr(grouped, "linked_rows", counted)
+    for size in (600, 2400):
+        moved.clear()
+        # 2 of 200 words differ: any two copies reach 0.8. The nine others reach it with none.
+        texts = near_copies(size, 200, 2, 60) + near_copies(9, 200, 13, 60)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        nodes = neardup.signature_nodes(docs)
+        one = nodes.select("node", F.lit(0).cast("bigint").alias("root"))
+        links = components(neardup.true_links(docs, nodes, one, block=64)).groupBy("root").count().collect()
+        assert max(r["count"] for r in links) >= size
+        # Once in parts, few heads, and once more against the rows outside the class; pairs of parts were size / 64 times as many.
+        assert sum(moved) < 3 * len(texts)
+
+
+def test_groups_without_a_large_class_lose_no_link(spark):
+    texts = [t for seed in range(70, 76) for t in near_copies(11, 90, 1 + seed % 3, seed)] + ["", "one two", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    nodes = neardup.signature_nodes(docs)
+    one = nodes.select("node", F.lit(0).cast("bigint").alias("root"))
+    rep = {r.node: r.rep for r in nodes.collect()}
+    want = plain.classes(list(enumerate(texts)))
+    for block in (2, 5, 1024):
+        got = {rep[r.node]: r.root for r in components(neardup.true_links(docs, nodes, one, block=block)).collect()}
+        for a in rep.values():
+            for b in rep.values():
+                assert (got.get(a, -1 - a) == got.get(b, -1 - b)) == (want[a] == want[b])
+
+
+def test_counted_shingles_are_compared_by_weight():
+    line = "a b c d e f g h i j"
+    once, often = " ".join([line] * 2), " ".join([line] * 12)
+    plain_sets, weighted = neardup.Sets(pa.array([once, often])), neardup.Sets(pa.array([once, often]), "count")
+    assert plain_sets.shared(0)[1] == plain_sets.sizes[0] == plain_sets.sizes[1] == 10
+    counts = [Counter(tuple(t.split()[i: i + 5]) for i in range(len(t.split()) - 4)) for t in (once, often)]
+    assert list(weighted.sizes) == [c.total() for c in counts]
+    assert weighted.shared(0)[1] == (counts[0] & counts[1]).total()
+
+
+def test_totals_of_hot_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(1)).alias("u"), F.col("id").alias("v"))
+    told = grouped.with_totals(rows, "u", "v", {"n": (F.count("*"), F.sum), "m": (F.min("v"), F.min)})
+    want = rows.join(rows.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")), "u")
+    assert sorted(told.collect()) == sorted(want.select(told.columns).collect())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (200, 201)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
