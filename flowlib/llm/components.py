@@ -27,14 +27,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table (u, v) of longs; root is the component's smallest node.
 
     Groups are only ever reduced to a minimum, and a node of very many neighbours hears it piece by piece, so a component of any
-    size is spread over all tasks. What reaches the driver is one count per round, by which it sees that nothing changes any more. The number of rounds grows with
+    size is spread over all tasks. What reaches the driver is whether a node is left with two roles, one row a round. The number of rounds grows with
     the logarithm of the longest path.
     """
-    now = stored(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    mark = None
-    while True:
+    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _are_stars(now):
         now = stored(_small_star(_large_star(now)), "stars")
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = tuple(row)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a center or has one smaller neighbour, which is a center: nothing is left to contract."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    roles = edges.select(F.explode(ends).alias("end")).groupBy("end.node").agg(F.sum("end.up").alias("up"), F.max("end.down").alias("down"))
+    return roles.where("up + down > 1").isEmpty()

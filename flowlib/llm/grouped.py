@@ -89,14 +89,14 @@ def merged(near: Callable[[int], np.ndarray], root: np.ndarray, loose: np.ndarra
 
 
 def linked_rows(rows: DataFrame, compare: Callable[[pa.Array], Callable[[int], np.ndarray]]) -> DataFrame:
-    """(group, node, size, head): compares block, group, node, size, root, loose and load inside each block.
+    """(group, node, size, n, parts, head): compares node by root, loose and load inside each block, and keeps the rest.
 
     ``head`` is a node that the row is newly linked to; else the node itself.
     """
-    names = ["block", "group", "node", "size", "root", "loose", "load"]
+    names = ["block", "group", "node", "size", "n", "parts", "root", "loose", "load"]
 
     def run(batches):
-        for table in whole_blocks(small for batch in batches for small in byte_slices(batch, 6)):
+        for table in whole_blocks(small for batch in batches for small in byte_slices(batch, len(names) - 1)):
             block, node, root, loose = (table[c].to_numpy() for c in ("block", "node", "root", "loose"))
             load = table["load"].combine_chunks()
             head = node.copy()
@@ -106,11 +106,11 @@ def linked_rows(rows: DataFrame, compare: Callable[[pa.Array], Callable[[int], n
                     label = merged(compare(load.slice(a, b - a)), root[a:b], loose[a:b])
                     new = root[a:b][label] != root[a:b]
                     head[a:b][new] = node[a:b][label[new]]
-            arrays = [table[c].combine_chunks() for c in ("group", "node", "size")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(head)], ["group", "node", "size", "head"])
+            arrays = [table[c].combine_chunks() for c in ("group", "node", "size", "n", "parts")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(head)], ["group", "node", "size", "n", "parts", "head"])
 
     dealt = rows.select(*names).repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(released(run), "group bigint, node bigint, size bigint, head bigint")
+    return dealt.mapInArrow(released(run), "group bigint, node bigint, size bigint, n bigint, parts int, head bigint")
 
 
 def _parts(n: str, size: str, block: int, block_bytes: int) -> Column:
@@ -130,7 +130,7 @@ def group_links(
 
     ``members`` has group, node (longs) and size (bytes); ``loads`` adds the column ``load`` to rows with a node; ``compare``
     makes, of the loads of a block, a function from a row to the mask of rows near it. ``small`` may replace
-    the comparison in groups of one block, given block, node and load.
+    the comparison in groups of one block, given block, node and load; ``members`` then has n and bytes of each group too.
     """
     totals = {"n": (F.count("*"), F.sum), "bytes": (F.sum("size"), F.sum)}
 
@@ -140,18 +140,22 @@ def group_links(
     def apart(rows: DataFrame) -> DataFrame:
         return rows.withColumns({"root": F.col("node"), "loose": F.lit(True)})
 
-    sized = stored(cut(members), "members")
-    one = loads(sized.where("parts = 1")).withColumn("block", F.col("group"))
     if small is None:
+        sized = stored(loads(cut(members)), "members")
+        one = sized.where("parts = 1").withColumn("block", F.col("group"))
         links = linked_rows(apart(one), compare).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     else:
-        links = small(one)
+        # Groups that are counted already, in great numbers: loads come when they are needed.
+        sized = stored(members.withColumn("parts", _parts("n", "bytes", block, block_bytes)), "members")
+        links = small(loads(sized.where("parts = 1")).withColumn("block", F.col("group")))
     large = sized.where("parts > 1")
     if large.isEmpty():
         return links
     links = stored(links, "links")
     # A repeated row has the text of its node once more; one is enough.
-    kept = stored(loads(large.select("node").distinct()).groupBy("node").agg(F.any_value("load").alias("load")), "loads")
+    held = large if small is None else loads(large.select("node").distinct())
+    kept = stored(held.groupBy("node").agg(F.any_value("load").alias("load")), "loads")
+    large = large.select("group", "node", "size", "n", "parts").distinct()
     heads, turn = large, 0
     while True:
         own = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts"))
@@ -159,13 +163,13 @@ def group_links(
         found = stored(linked_rows(dealt, compare), "heads")
         links = links.union(found.where("node <> head").select("node", "head"))
         # Heads of one part have all been compared; those of several go on while they get fewer.
-        before = heads.select("group", F.col("parts").alias("cut"), F.col("n").alias("before")).distinct()
-        left = cut(found.where("node = head").select("group", "node", "size"))
-        heads = stored(handed(left, before, "group", "node").where("cut > 1 and 2 * n <= before").drop("cut", "before"), "heads_left")
+        left = found.where("node = head and parts > 1").select("group", "node", "size", F.col("n").alias("before"))
+        heads = stored(cut(left).where("2 * n <= before").drop("before"), "heads_left")
         turn += 1
         if heads.isEmpty():
             break
     classes = components(links)
+    links = classes.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     rows = large.select("group", "node", "size").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = stored(rows, "large_rows")
     each = rows.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
@@ -175,7 +179,7 @@ def group_links(
         "group", F.col("top.root").alias("top"), F.col("top.n").alias("n"), F.col("top.bytes").alias("bytes"),
         (F.col("all") - F.col("top.n")).alias("loose_n"), (F.col("all_bytes") - F.col("top.bytes")).alias("loose_bytes"),
     ).withColumns({"parts": _parts("n", "bytes", block, block_bytes), "loose_parts": _parts("loose_n", "loose_bytes", block, block_bytes)})
-    open_rows = handed(rows, whole.select("group", "top", "parts", "loose_parts"), "group", "node").withColumn("loose", F.col("root") != F.col("top"))
+    open_rows = handed(rows, whole.select("group", "top", "n", "parts", "loose_parts"), "group", "node").withColumn("loose", F.col("root") != F.col("top"))
     return links.union(linked_rows(dealt_in_pairs(open_rows.join(kept, "node")), compare).where("node <> head").select("node", "head"))
 
 

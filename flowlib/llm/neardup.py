@@ -182,7 +182,9 @@ def linked_by_darts(darts: np.ndarray, block: np.ndarray, least: float) -> np.nd
 
 def candidate_links(nodes: DataFrame, block: int = BLOCK, least: float = ESTIMATE) -> DataFrame:
     """Stars (u, v) of nodes that share a band and whose darts agree often enough."""
-    spread = nodes.select(F.explode("bands").alias("group"), "node", F.lit(K).cast("bigint").alias("size"))
+    spread = nodes.select("node", F.explode("bands").alias("group"))
+    shared = spread.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    members = spread.join(shared, "group").withColumns({"size": F.lit(K).cast("bigint"), "bytes": F.col("n") * K})
 
     def run(batches):
         for table in whole_blocks(batches):
@@ -203,7 +205,7 @@ def candidate_links(nodes: DataFrame, block: int = BLOCK, least: float = ESTIMAT
     def small(rows: DataFrame) -> DataFrame:
         return rows.select("block", "node", "load").repartition("block").sortWithinPartitions("block").mapInArrow(released(run), "u bigint, v bigint")
 
-    return group_links(spread, loads, compare, components, small, block)
+    return group_links(members, loads, compare, components, small, block)
 
 
 class Sets:
