@@ -55,6 +55,15 @@ def file_envelope(spark: SparkSession, path: str, max_files_per_trigger: int | N
     return reader.parquet(path)
 
 
+def files_per_batch(spark: SparkSession, path: str, batches: int = 4) -> int:
+    """A cap for ``file_envelope``: one file for each core, so that no batch leaves cores idle, in ``batches`` batches at least.
+
+    The number of batches follows from files and cores, not from rows: a batch costs its rows over the cores and a fixed time.
+    """
+    files = len(spark.read.schema("value string").parquet(path).inputFiles())
+    return max(1, min(spark.sparkContext.defaultParallelism, files // batches))
+
+
 def parse_json_flow(envelope: DataFrame, features: list[str], drop_malformed: bool = False) -> DataFrame:
     """Typed columns from the JSON text.
 
