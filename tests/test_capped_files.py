@@ -61,3 +61,29 @@ def test_progress_of_batches_that_fill_the_cores(spark, events, batches):
     got = streams.stream_progress_lag(spark, sf).first()
     assert tuple(got) == (400, True, True)
     assert sum(batches) == 400 and len(batches) == expected(spark, files)
+
+
+@pytest.mark.parametrize("name", ["rate_limited_source", "micro_batch_trigger"])
+def test_rate_limited_batches_fill_the_cores(spark, events, batches, monkeypatch, name):
+    sf, files = events
+    trigger = runs.processing_trigger
+
+    class Started:
+        """Starts the writer and keeps the batches when it stops."""
+
+        def __init__(self, writer):
+            self.writer = writer
+
+        def start(self):
+            self.query = self.writer.start()
+            self.processAllAvailable = self.query.processAllAvailable
+            return self
+
+        def stop(self):
+            batches.extend(p["numInputRows"] for p in self.query.recentProgress if p["numInputRows"])
+            self.query.stop()
+
+    monkeypatch.setattr(runs, "processing_trigger", lambda *a: Started(trigger(*a)))
+    got = getattr(streams, name)(spark, sf)
+    assert (got.count() if name == "rate_limited_source" else got.agg(F.sum("rows")).first()[0]) == 400
+    assert sum(batches) == 400 and len(batches) == expected(spark, files)
